@@ -68,6 +68,7 @@ def key_at_rank(df: DataFrame, key: str, rank: int, probes: int = 20_000, final_
         counted = window.agg(
             F.count_if(under).alias("under"), F.count_if(upto).alias("upto")
         ).first()
+        previous = size
         if rank <= before + counted.under:
             window, size = window.where(under), counted.under
         elif rank > before + counted.upto:
@@ -75,4 +76,6 @@ def key_at_rank(df: DataFrame, key: str, rank: int, probes: int = 20_000, final_
         else:
             window = window.where(upto & ~under)
             before, size = before + counted.under, counted.upto - counted.under
+        if size == previous:
+            raise ValueError(f"{key} repeats too often to rank by; a unique key is needed")
     return window.orderBy("k").limit(rank - before).agg(F.max("k")).first()[0]
