@@ -39,7 +39,7 @@ def collect_samples(
             *key,
             "page",
             F.size("_rows").alias("n"),
-            *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in cols],
+            *[F.col("_rows")[c].alias(c) for c in cols],
         )
     )
 

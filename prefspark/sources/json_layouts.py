@@ -120,7 +120,7 @@ def list_layout(df: DataFrame, order_by: str) -> Column:
     """Aggregate expression: the rows of a bounded group as one ``{column: […]}`` document in ``order_by`` order."""
     columns = [c for c in df.columns if c != order_by]
     rows = F.array_sort(F.collect_list(F.struct(order_by, *columns)))
-    return F.to_json(F.struct(*[F.transform(rows, lambda r, c=c: r[c]).alias(c) for c in columns]))
+    return F.to_json(F.struct(*[rows[c].alias(c) for c in columns]))
 
 
 def map_layout(df: DataFrame, order_by: str) -> Column:
