@@ -47,24 +47,27 @@ def add_features(
     return df.withColumns(columns)
 
 
-def lexical_signals(response: str | Column, context: str | Column) -> Column:
-    """Integer counts of a response and its overlap with the context, as one struct."""
-    response = F.col(response) if isinstance(response, str) else response
-    context = F.col(context) if isinstance(context, str) else context
-    reply_words = words(response)
-    context_words = F.array_distinct(words(context))
+def add_lexical_signals(df: DataFrame, response: str, context: str, out: str = "signals") -> DataFrame:
+    """Integer counts of a response and its overlap with the context, as one struct (null for a null response).
+
+    The word lists and the struct are columns of their own, and the struct is conditional, so that the optimizer
+    keeps each of them as one evaluation instead of copying it into every expression that reads a field.
+    """
+    text, asked, reply = F.col(response), f"_asked_{out}", f"_reply_{out}"
 
     def occurrences(characters: str) -> Column:
-        return F.length(response) - F.length(F.translate(response, characters, ""))
-
-    return F.struct(
-        F.length(response).alias("chars"),
-        F.size(reply_words).alias("words"),
-        F.size(F.array_distinct(reply_words)).alias("distinct_words"),
-        F.size(context_words).alias("context_words"),
-        F.size(F.array_intersect(context_words, reply_words)).alias("shared_words"),
+        return F.length(text) - F.length(F.translate(text, characters, ""))
+
+    counts = F.struct(
+        F.length(text).alias("chars"),
+        F.size(reply).alias("words"),
+        F.size(F.array_distinct(reply)).alias("distinct_words"),
+        F.size(asked).alias("context_words"),
+        F.size(F.array_intersect(asked, reply)).alias("shared_words"),
         occurrences("0123456789").alias("digits"),
         occurrences(".!?").alias("stops"),
         occurrences("!").alias("shouts"),
         occurrences("\n").alias("line_breaks"),
     )
+    listed = df.withColumns({reply: words(text), asked: F.array_distinct(words(context))})
+    return listed.withColumn(out, F.when(text.isNotNull(), counts)).drop(reply, asked)

@@ -32,7 +32,7 @@ def randomize_sides(
     All sided columns of a row move together. The ``chosen`` and ``rejected`` columns themselves become
     ``<response>_a`` and ``<response>_b``; ``response=None`` says there are none.
     """
-    heads = coin(key, seed)
+    heads = F.col("_heads")
     named = _stem_columns(stems, ("chosen", "rejected"), response is not None)
     used = {name for pair in named.values() for name in pair}
     columns = [F.col(f"`{c}`") for c in df.columns if c not in used]
@@ -42,7 +42,7 @@ def randomize_sides(
         winner, loser = F.col(f"`{chosen}`"), F.col(f"`{rejected}`")
         columns.append(F.when(heads, winner).otherwise(loser).alias(f"{target}_a"))
         columns.append(F.when(heads, loser).otherwise(winner).alias(f"{target}_b"))
-    return df.select(*columns)
+    return df.withColumn("_heads", coin(key, seed)).select(*columns)
 
 
 def orient_by_label(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.functions.features import lexical_signals
+from prefspark.functions.features import add_lexical_signals
 from prefspark.functions.text import parse_rating, strip_role_headers
 
 
@@ -148,7 +148,7 @@ def _band(signal: Column, step: int, falling: bool = False) -> Column:
 
 
 def lexical_ratings(signals: str | Column) -> dict[str, Column]:
-    """A 1–10 rating per rubric feature from the counts of :func:`lexical_signals`."""
+    """A 1–10 rating per rubric feature from the counts of :func:`add_lexical_signals`."""
     s = F.col(signals) if isinstance(signals, str) else signals
     shared_percent = _ratio(s["shared_words"] * 100, s["context_words"])
     ratings = (
@@ -226,7 +226,7 @@ def rate_samples(
 ) -> DataFrame:
     """Long ratings (sample columns, feature, rating) of every sample on every rubric feature."""
     if rater is None:
-        measured = samples.withColumn("signals", lexical_signals(response, context))
+        measured = add_lexical_signals(samples, response, context)
         kept = [c for c in samples.columns if c not in (context, response)]
         named = F.array(
             *[
@@ -245,7 +245,9 @@ def rate_pairs_wide(
     pairs: DataFrame, context: str = "context", sides: Sequence[str] = ("chosen", "rejected"), prefix: str = ""
 ) -> DataFrame:
     """Lexical ratings of both sides as ``<prefix><feature>_<side>`` columns: row-local, no shuffle."""
-    measured = pairs.withColumns({f"_signals_{s}": lexical_signals(s, context) for s in sides})
+    measured = pairs
+    for side in sides:
+        measured = add_lexical_signals(measured, side, context, f"_signals_{side}")
     ratings = {
         f"{prefix}{name}_{side}": rating
         for side in sides

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prefspark.plans.registered import curation
+from prefspark.plans.registered import curation, pairs
 
-_MODULES = (curation,)
+_MODULES = (curation, pairs)
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from prefspark.operators.labels import randomize_sides
 from prefspark.operators.models import RewardModel
 from prefspark.operators.rating import RUBRIC_FEATURES, rate_pairs_wide
 from prefspark.plans import inputs
+from prefspark.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,16 +39,17 @@ MODEL_A, MODEL_B = given_model("model_a"), given_model("model_b", -0.5)
 
 
 def rated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with the rubric ratings and the length of both sides."""
+    """Pairs with the rubric ratings and the length of both sides, stored without their texts."""
     rated = rate_pairs_wide(inputs.pairs(spark, sf_dir))
-    return add_features(
+    measured = add_features(
         rated, {"chosen": "chosen", "rejected": "rejected"}, "context", {"length": response_length}
     )
+    return settle(measured.drop("chosen", "rejected"), "rated_pairs")
 
 
 def sided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rated pairs with keyed sides a and b, without their texts."""
-    return randomize_sides(rated_pairs(spark, sf_dir), "pair_id", SIDE_SEED, FEATURES).drop("response_a", "response_b")
+    """Rated pairs with keyed sides a and b."""
+    return randomize_sides(rated_pairs(spark, sf_dir), "pair_id", SIDE_SEED, FEATURES, response=None)
 
 
 def r6(value: str | Column) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -55,3 +55,15 @@ def shared_root(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for an intermediate table."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and continue from the written copy.
+
+    Later steps then start from stored columns instead of repeating the work, and a lost executor costs a
+    read. The caller keeps such tables narrow.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
