@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prefspark.plans.registered import curation, pairs
+from prefspark.plans.registered import curation, energy, pairs, selection
 
-_MODULES = (curation, pairs)
+_MODULES = (curation, pairs, selection, energy)
 
 
 def queries() -> dict:
