@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefspark.functions.ordering import key_at_rank, keyed_draw
 from prefspark.functions.text import (
@@ -39,7 +40,14 @@ def max_length_filter(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows without a null or NaN in the given columns (all by default). Run before any best-of-n ranking."""
-    return df.na.drop("any", subset=list(cols) if cols is not None else None)
+    names = list(cols) if cols is not None else df.columns
+    present = []
+    for name in names:
+        col = F.col(f"`{name}`")
+        present.append(col.isNotNull())
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+            present.append(~F.isnan(col))
+    return df.where(reduce(lambda a, b: a & b, present))
 
 
 def _require_rows(cut: Column, found: Column, n: int, allow_fewer: bool) -> Column:

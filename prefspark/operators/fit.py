@@ -21,6 +21,8 @@ STRENGTHS = tuple(float(c) for c in np.logspace(-5, 5, 12))
 FOLDS = 8
 SCALE_EPS = 1e-7
 
+SUMMARIES = 64
+
 FORMS = ("difference", "concatenation")
 
 
@@ -105,11 +107,11 @@ class Setting:
     fold: int
 
 
-def _derivatives(rows: DataFrame, weights: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _derivatives(rows: DataFrame, weights: np.ndarray, folds: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loss, gradient and Hessian of every setting's training rows in one pass over ``rows`` (x, y, fold).
 
-    A task turns its Arrow batches into one summary row; summaries are added up in groups on the way to the
-    driver, which receives at most 64 of them, whatever the number of rows.
+    A task turns its Arrow batches into one summary row. Where there are many tasks (``wide``), summaries are
+    added up in groups on the way, so the driver receives at most 64 of them whatever the number of rows.
     """
     models, k = weights.shape
     upper = np.triu_indices(k)
@@ -132,7 +134,7 @@ def _derivatives(rows: DataFrame, weights: np.ndarray, folds: np.ndarray) -> tup
         if total is not None:
             yield _summary(total)
 
-    summed = _add_up(rows.mapInPandas(summarize, "part array<double>")).reshape(models, -1)
+    summed = _add_up(rows.mapInPandas(summarize, "part array<double>"), wide).reshape(models, -1)
     hessian = np.zeros((models, k, k))
     hessian[:, upper[0], upper[1]] = summed[:, 1 + k :]
     hessian[:, upper[1], upper[0]] = summed[:, 1 + k :]
@@ -145,7 +147,7 @@ def _summary(total: np.ndarray):
     return pd.DataFrame({"part": [total]})
 
 
-def _add_up(parts: DataFrame, groups: int = 64) -> np.ndarray:
+def _add_up(parts: DataFrame, wide: bool, groups: int = SUMMARIES) -> np.ndarray:
     def add(batches):
         total = None
         for batch in batches:
@@ -154,40 +156,62 @@ def _add_up(parts: DataFrame, groups: int = 64) -> np.ndarray:
         if total is not None:
             yield _summary(total)
 
-    wide = parts.rdd.getNumPartitions() > groups
-    collected = (parts.repartition(groups).mapInPandas(add, "part array<double>") if wide else parts).collect()
+    if wide:
+        parts = parts.repartition(groups).mapInPandas(add, "part array<double>")
+    collected = parts.collect()
     return np.sum([np.asarray(row.part) for row in collected], axis=0)
 
 
-def _penalty(weights: np.ndarray, setting: Setting) -> float:
-    size = np.abs(weights).sum() if setting.penalty == "l1" else 0.5 * (weights @ weights)
-    return float(size) / setting.C
-
-
-def _newton_target(weights, gradient, hessian, setting) -> np.ndarray:
-    """Minimum of the local quadratic model plus the penalty (coordinate descent for l1)."""
-    k = len(weights)
-    ridge = hessian + np.eye(k) * (1e-10 * max(1.0, np.trace(hessian) / k))
-    if setting.penalty == "l2":
-        return weights - np.linalg.solve(ridge + np.eye(k) / setting.C, gradient + weights / setting.C)
-    target, threshold = weights.copy(), 1.0 / setting.C
-    slope = gradient.copy()
-    for _ in range(1000):
-        largest = 0.0
-        for j in range(k):
-            free = ridge[j, j] * target[j] - slope[j]
-            moved = np.sign(free) * max(abs(free) - threshold, 0.0) / ridge[j, j]
-            if moved != target[j]:
-                slope += ridge[:, j] * (moved - target[j])
-                largest = max(largest, abs(moved - target[j]))
-                target[j] = moved
-        if largest < 1e-12:
+def _lasso_targets(hessian: np.ndarray, pull: np.ndarray, start: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+    """Minima of ½·w·H·w − pull·w + threshold·|w|₁, one per row.
+
+    A few rounds of coordinate descent settle which weights are zero and the signs of the others; given those,
+    a linear solve gives the minimum, which is kept once it agrees with the signs and the zeros.
+    """
+    result, open_rows = start.copy(), np.arange(len(start))
+    w, k = start.copy(), start.shape[1]
+    for _ in range(100):
+        h, b, t = hessian[open_rows], pull[open_rows], threshold[open_rows]
+        slope = np.einsum("mij,mj->mi", h, w) - b
+        for _ in range(5):
+            for j in range(k):
+                free = h[:, j, j] * w[:, j] - slope[:, j]
+                moved = np.sign(free) * np.maximum(np.abs(free) - t, 0.0) / h[:, j, j]
+                slope += h[:, :, j] * (moved - w[:, j])[:, None]
+                w[:, j] = moved
+        signs = np.sign(w)
+        used = signs != 0
+        system = np.where(used[:, :, None] & used[:, None, :], h, 0.0) + np.eye(k) * ~used[:, :, None]
+        exact = np.linalg.solve(system, np.where(used, b - t[:, None] * signs, 0.0)[..., None])[..., 0]
+        left = np.abs(np.einsum("mij,mj->mi", h, exact) - b)
+        fits = (np.sign(exact) == signs).all(1) & (used | (left <= t[:, None] * (1 + 1e-9) + 1e-12)).all(1)
+        result[open_rows] = np.where(fits[:, None], exact, w)
+        open_rows, w = open_rows[~fits], w[~fits]
+        if not len(open_rows):
             break
+    return result
+
+
+def _newton_targets(
+    weights: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, strengths: np.ndarray, lasso: np.ndarray
+) -> np.ndarray:
+    """Minimum of every setting's local quadratic model plus its penalty."""
+    k = weights.shape[1]
+    scale = np.maximum(1.0, np.trace(hessian, axis1=1, axis2=2) / k)
+    ridge = hessian + np.eye(k) * (1e-10 * scale)[:, None, None]
+    target, inverse, smooth = weights.copy(), 1.0 / strengths, ~lasso
+    if smooth.any():
+        system = ridge[smooth] + np.eye(k) * inverse[smooth][:, None, None]
+        push = gradient[smooth] + weights[smooth] * inverse[smooth][:, None]
+        target[smooth] -= np.linalg.solve(system, push[..., None])[..., 0]
+    if lasso.any():
+        pull = np.einsum("mij,mj->mi", ridge[lasso], weights[lasso]) - gradient[lasso]
+        target[lasso] = _lasso_targets(ridge[lasso], pull, weights[lasso], inverse[lasso])
     return target
 
 
 def fit_settings(
-    rows: DataFrame, settings: Sequence[Setting], k: int, max_passes: int = 60, tol: float = 1e-9
+    rows: DataFrame, settings: Sequence[Setting], k: int, wide: bool = False, max_passes: int = 60, tol: float = 1e-9
 ) -> np.ndarray:
     """Weights of all settings by damped Newton steps that share their passes over the data.
 
@@ -197,35 +221,34 @@ def fit_settings(
     best = np.zeros((len(settings), k))
     trial = best.copy()
     objective = np.full(len(settings), np.inf)
-    active = list(range(len(settings)))
     halvings = np.zeros(len(settings), dtype=int)
+    folds = np.array([s.fold for s in settings])
+    strengths = np.array([s.C for s in settings])
+    lasso = np.array([s.penalty == "l1" for s in settings])
+    active = np.arange(len(settings))
     for _ in range(max_passes):
-        loss, gradient, hessian = _derivatives(
-            rows, trial[active], np.array([settings[i].fold for i in active])
+        loss, gradient, hessian = _derivatives(rows, trial[active], folds[active], wide)
+        size = np.where(lasso[active], np.abs(trial[active]).sum(1), 0.5 * (trial[active] ** 2).sum(1))
+        value = loss + size / strengths[active]
+        worse = (value > objective[active] * (1 + 1e-12)) & (halvings[active] < 30)
+        back, kept = active[worse], active[~worse]
+        trial[back] = (trial[back] + best[back]) / 2
+        halvings[back] += 1
+        gain = objective[kept] - value[~worse]
+        best[kept], objective[kept], halvings[kept] = trial[kept], value[~worse], 0
+        target = _newton_targets(best[kept], gradient[~worse], hessian[~worse], strengths[kept], lasso[kept])
+        step = np.abs(target - best[kept]).max(1, initial=0.0)
+        moving = (step > tol * np.maximum(1.0, np.abs(best[kept]).max(1, initial=0.0))) & (
+            gain > 1e-11 * np.abs(objective[kept])
         )
-        remaining = []
-        for row, i in enumerate(active):
-            value = loss[row] + _penalty(trial[i], settings[i])
-            if value > objective[i] + 1e-12 * abs(objective[i]) and halvings[i] < 30:
-                trial[i] = (trial[i] + best[i]) / 2
-                halvings[i] += 1
-                remaining.append(i)
-                continue
-            gain = objective[i] - value
-            best[i], objective[i], halvings[i] = trial[i], value, 0
-            target = _newton_target(best[i], gradient[row], hessian[row], settings[i])
-            step = np.abs(target - best[i]).max()
-            if step <= tol * max(1.0, np.abs(best[i]).max()) or gain <= 1e-13 * abs(value):
-                continue
-            trial[i] = target
-            remaining.append(i)
-        active = remaining
-        if not active:
+        trial[kept[moving]] = target[moving]
+        active = np.concatenate([back, kept[moving]])
+        if not len(active):
             break
     return best
 
 
-def _fold_accuracy(rows: DataFrame, weights: np.ndarray, settings: Sequence[Setting]) -> np.ndarray:
+def _fold_accuracy(rows: DataFrame, weights: np.ndarray, settings: Sequence[Setting], wide: bool) -> np.ndarray:
     """Held-out accuracy of every setting that leaves a fold out, in one pass."""
     folds = np.array([s.fold for s in settings])
 
@@ -242,7 +265,7 @@ def _fold_accuracy(rows: DataFrame, weights: np.ndarray, settings: Sequence[Sett
         if total is not None:
             yield _summary(total)
 
-    hits, rows_held = _add_up(rows.mapInPandas(count, "part array<double>")).reshape(2, -1)
+    hits, rows_held = _add_up(rows.mapInPandas(count, "part array<double>"), wide).reshape(2, -1)
     return hits / np.maximum(rows_held, 1)
 
 
@@ -273,8 +296,9 @@ def grid_search_cv(
     settings = [Setting(c, p, fold) for c, p in grid for fold in [*range(folds), -1]]
     k = len(means) if form == "concatenation" else len(features)
     try:
-        weights = fit_settings(rows, settings, k)
-        accuracy = _fold_accuracy(rows, weights, settings).reshape(len(grid), folds + 1)[:, :folds].mean(1)
+        wide = rows.rdd.getNumPartitions() > SUMMARIES
+        weights = fit_settings(rows, settings, k, wide)
+        accuracy = _fold_accuracy(rows, weights, settings, wide).reshape(len(grid), folds + 1)[:, :folds].mean(1)
     finally:
         rows.unpersist()
     winner = int(np.argmax(np.round(accuracy, 12)))

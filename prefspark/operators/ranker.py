@@ -16,6 +16,7 @@ from prefspark.operators.labels import randomize_sides
 from prefspark.operators.stats import pairwise_accuracy
 
 NUM_FEATURES = 1 << 16
+FITTED = "_word_counts"
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class TextPairRanker:
         mirror = ElementwiseProduct(
             scalingVec=Vectors.dense([-1.0] * self.num_features), inputCol="_x", outputCol="_minus_x"
         )
-        joined = VectorAssembler(inputCols=["_x", "_minus_x"], outputCol="_both").transform(mirror.transform(hashed))
+        joined = VectorAssembler(inputCols=["_x", "_minus_x"], outputCol=FITTED).transform(mirror.transform(hashed))
         margin = self.model.transform(joined).withColumn(out, vector_to_array(self.model.getRawPredictionCol())[1] / 2)
         return margin.select(*[F.col(f"`{c}`") for c in df.columns], out)
 
@@ -67,16 +68,16 @@ def text_pair_ranker(
     sided = randomize_sides(train.select(key, "chosen", "rejected"), key, seed, [])
     hashed = _hash_words(_hash_words(sided, "response_a", "_a", num_features), "response_b", "_b", num_features)
     rows = (
-        VectorAssembler(inputCols=["_a", "_b"], outputCol="x")
+        VectorAssembler(inputCols=["_a", "_b"], outputCol=FITTED)
         .transform(hashed)
-        .select("x", F.col("labels").cast("double").alias("y"))
+        .select(FITTED, F.col("labels").cast("double").alias("y"))
         .persist()
     )
     best = None
     try:
         for reg in regs:
             fitter = LogisticRegression(
-                featuresCol="x", labelCol="y", fitIntercept=False, standardization=False, regParam=reg, maxIter=max_iter
+                featuresCol=FITTED, labelCol="y", fitIntercept=False, standardization=False, regParam=reg, maxIter=max_iter
             )
             ranker = TextPairRanker(fitter.fit(rows), num_features, reg)
             acc = pairwise_accuracy(ranker.score_pairs(test, keep=(key,)), by=()).first().accuracy or 0.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,27 +12,57 @@ from pyspark.sql import functions as F
 from prefspark.functions.rewards import beats, softplus
 
 
-def pooled_expressions(cols: Sequence[str], ddof: int = 0) -> tuple[Column, Column, Column]:
-    """Aggregate expressions (mean, standard deviation, count) over several columns taken as one.
+def pooled_summaries(df: DataFrame, stems: dict[str, Sequence[str]], by: Sequence[str] = (), ddof: int = 0) -> DataFrame:
+    """``mean_<stem>``, ``std_<stem>`` and ``n_<stem>`` over the listed columns of each stem taken as one column.
 
-    Each column is summarized in place and the summaries are combined, so rows are not multiplied and the
-    variance never passes through a difference of large sums.
+    Each column is summarized in place and the summaries are combined afterwards, so rows are not multiplied
+    and the variance never passes through a difference of large sums.
     """
-    counts = [F.count(F.col(f"`{c}`")).cast("double") for c in cols]
-    means = [F.coalesce(F.avg(F.col(f"`{c}`")), F.lit(0.0)) for c in cols]
-    variances = [F.coalesce(F.var_pop(F.col(f"`{c}`")), F.lit(0.0)) for c in cols]
-    total = sum(counts[1:], counts[0])
-    mean = sum((n * m for n, m in zip(counts[1:], means[1:])), counts[0] * means[0]) / F.nullif(total, F.lit(0.0))
-    squares = [n * (v + (m - mean) * (m - mean)) for n, m, v in zip(counts, means, variances)]
-    spread = sum(squares[1:], squares[0]) / F.nullif(F.greatest(total - ddof, F.lit(0.0)), F.lit(0.0))
-    return mean, F.sqrt(spread), total
+    columns = list(dict.fromkeys(c for cols in stems.values() for c in cols))
+    position = {c: i for i, c in enumerate(columns)}
+    parts = [
+        part
+        for c, i in position.items()
+        for part in (
+            F.count(F.col(f"`{c}`")).cast("double").alias(f"_n{i}"),
+            F.avg(F.col(f"`{c}`")).alias(f"_m{i}"),
+            F.var_pop(F.col(f"`{c}`")).alias(f"_v{i}"),
+        )
+    ]
+    table = df.groupBy(*by).agg(*parts) if by else df.agg(*parts)
+
+    def total(terms: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, terms)
+
+    numbers = {stem: [position[c] for c in cols] for stem, cols in stems.items()}
+    counts = {f"n_{stem}": total([F.col(f"_n{i}") for i in at]) for stem, at in numbers.items()}
+    means = {
+        f"mean_{stem}": total([F.col(f"_n{i}") * F.coalesce(f"_m{i}", F.lit(0.0)) for i in at])
+        / F.nullif(F.col(f"n_{stem}"), F.lit(0.0))
+        for stem, at in numbers.items()
+    }
+
+    def squares(stem: str, i: int) -> Column:
+        shift = F.coalesce(f"_m{i}", F.lit(0.0)) - F.col(f"mean_{stem}")
+        return F.col(f"_n{i}") * (F.coalesce(f"_v{i}", F.lit(0.0)) + shift * shift)
+
+    stds = {
+        f"std_{stem}": F.sqrt(
+            total([squares(stem, i) for i in at])
+            / F.nullif(F.greatest(F.col(f"n_{stem}") - ddof, F.lit(0.0)), F.lit(0.0))
+        )
+        for stem, at in numbers.items()
+    }
+    table = table.withColumns(counts).withColumns(means).withColumns(stds)
+    return table.select(*by, *[f"{part}_{stem}" for stem in stems for part in ("mean", "std", "n")])
 
 
 def pooled_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), ddof: int = 0) -> DataFrame:
     """Mean and standard deviation over the listed columns pooled, per group of ``by``."""
-    mean, std, n = pooled_expressions(cols, ddof)
-    summary = [mean.alias("mean"), std.alias("std"), n.cast("bigint").alias("n")]
-    return df.groupBy(*by).agg(*summary) if by else df.agg(*summary)
+    summary = pooled_summaries(df, {"all": cols}, by, ddof)
+    return summary.select(
+        *by, F.col("mean_all").alias("mean"), F.col("std_all").alias("std"), F.col("n_all").cast("bigint").alias("n")
+    )
 
 
 def _scalar(row: DataFrame) -> Column:
@@ -43,11 +74,11 @@ def pooled_feature_moments(
     df: DataFrame, features: Sequence[str], sides: tuple[str, str] = ("a", "b"), eps: float = 0.0
 ) -> DataFrame:
     """One row with ``mean_<i>`` and ``std_<i>`` per feature over both sides together (population)."""
-    columns = []
-    for i, feature in enumerate(features):
-        mean, std, _ = pooled_expressions([f"{feature}_{side}" for side in sides])
-        columns += [mean.alias(f"mean_{i}"), (std + F.lit(eps)).alias(f"std_{i}")]
-    return df.agg(*columns)
+    stems = {str(i): [f"{feature}_{side}" for side in sides] for i, feature in enumerate(features)}
+    summary = pooled_summaries(df, stems)
+    return summary.select(
+        *[F.col(f"mean_{i}") for i in stems], *[(F.col(f"std_{i}") + F.lit(eps)).alias(f"std_{i}") for i in stems]
+    )
 
 
 def pooled_standardize(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prefspark.plans.registered import curation, energy, pairs, selection
+from prefspark.plans.registered import curation, energy, files, fitting, pairs, selection
 
-_MODULES = (curation, pairs, selection, energy)
+_MODULES = (files, curation, pairs, selection, energy, fitting)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import parse_judge_scores, has_judge_scores, parse_rating
@@ -155,7 +157,8 @@ def rate_with(spark, sf_dir):
 
 def _count_words():
     """A rater that needs the task text itself: it stands where a model would, one call per batch."""
-    return lambda texts: [f"{min(10, 1 + len(text.split()) // 40)} of 10" for text in texts]
+    word = re.compile(r"\S+", re.ASCII)
+    return lambda texts: [f"{min(10, 1 + len(word.findall(text)) // 40)} of 10" for text in texts]
 
 
 def rate_with_plugin(spark, sf_dir):
@@ -202,8 +205,8 @@ base AS (SELECT {keys}, response AS baseline FROM {source} QUALIFY row_number()
 candidates AS (SELECT model, {keys}, baseline, best FROM best JOIN base USING ({keys}))"""
 
 
-def _rating_task_sql() -> str:
-    opening, context_mark, reply_mark = rating._FRAMES["shp"]
+def _rating_task_sql(kind: str, response: str, result: str) -> str:
+    opening, context_mark, reply_mark = rating._FRAMES[kind]
     rubric = " UNION ALL ".join(
         f"SELECT {i} AS feature_pos, {quote(r.feature)} AS feature, {quote(r.description)} AS d, {quote(r.low)} AS lo, {quote(r.high)} AS hi"
         for i, r in enumerate(rating.RUBRIC)
@@ -211,11 +214,11 @@ def _rating_task_sql() -> str:
     text = " || ".join(
         [
             quote(opening), "d", quote(". Use whole numbers from 1 ("), "lo", quote(") to 10 ("), "hi", quote(")."),
-            quote(context_mark), "context", quote(reply_mark), "chosen", quote("\n\nReply with the number alone.\n\nNumber:"),
+            quote(context_mark), "context", quote(reply_mark), response, quote("\n\nReply with the number alone.\n\nNumber:"),
         ]
     )
     return sql(
-        PAIRS, f"rubric AS ({rubric})", body=f"SELECT pair_id, feature_pos, feature, md5({text}) AS task_md5 FROM pairs CROSS JOIN rubric"
+        PAIRS, f"rubric AS ({rubric})", body=f"SELECT pair_id, feature, {result.format(text)} FROM pairs CROSS JOIN rubric"
     )
 
 
@@ -282,7 +285,10 @@ ORACLES: dict[str, str] = {
         PAIRS, _JUDGED,
         body="SELECT split, " + ", ".join(f"{q6(_share(t))} AS {o}" for o, t in _WINS.items()) + ", count(*) AS n FROM debiased GROUP BY split",
     ),
-    "render_rating_task": _rating_task_sql(),
+    "render_rating_task": _rating_task_sql("shp", "chosen", "feature_pos, md5({0}) AS task_md5"),
+    "rate_with_plugin": _rating_task_sql(
+        "hh", "rejected", "cast(least(10, 1 + len(regexp_extract_all({0}, '\\S+')) // 40) AS bigint) AS rating"
+    ),
     "render_judge_task": _judge_task_sql(),
     "parse_rating": sql(
         RATING_REPLIES, body=r"SELECT event_id, try_cast(nullif(regexp_extract(reply, '^\d+'), '') AS bigint) AS rating FROM rating_replies"
