@@ -3,29 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(vector: str | Column, weights: Sequence[float]) -> Column:
+def dot(vector: str, weights: Sequence[float]) -> Column:
     """Weighted sum over an ``ARRAY<DOUBLE>`` column, unrolled so that it stays inside generated code."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
-    terms = [F.get(vector, i) * F.lit(float(weight)) for i, weight in enumerate(weights)]
-    return reduce(lambda left, right: left + right, terms, F.lit(0.0))
+    terms = [f"get(`{vector}`, {i}) * {float(weight)!r}D" for i, weight in enumerate(weights)]
+    return F.expr(" + ".join(terms))
 
 
 def standardized_dot(
-    vector: str | Column, means: Sequence[float], stds: Sequence[float], weights: Sequence[float]
+    vector: str, means: Sequence[float], stds: Sequence[float], weights: Sequence[float]
 ) -> Column:
     """Σ ((x − mean) / std) · weight over an ``ARRAY<DOUBLE>`` column."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
     terms = [
-        (F.get(vector, i) - F.lit(float(mean))) / F.lit(float(std)) * F.lit(float(weight))
+        f"(get(`{vector}`, {i}) - ({float(mean)!r}D)) / {float(std)!r}D * {float(weight)!r}D"
         for i, (mean, std, weight) in enumerate(zip(means, stds, weights))
     ]
-    return reduce(lambda left, right: left + right, terms, F.lit(0.0))
+    return F.expr(" + ".join(terms))
 
 
 def softplus(value: Column) -> Column:

@@ -37,7 +37,7 @@ class RewardModel:
         return replace(self, reward_mean=reward_mean, reward_std=reward_std)
 
 
-def linear_reward(features_col: str | Column, model: RewardModel) -> Column:
+def linear_reward(features_col: str, model: RewardModel) -> Column:
     """Reward of an ``ARRAY<DOUBLE>`` feature column in the model's feature order."""
     return standardized_dot(features_col, model.means, model.stds, model.coefs)
 

@@ -136,40 +136,40 @@ def render_rating_task(
     )
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
+def _ratio(top: str, bottom: str) -> str:
     """Whole-number quotient, zero over zero being zero."""
-    return F.floor(top / F.greatest(bottom, F.lit(1)))
+    return f"floor({top} / greatest({bottom}, 1))"
 
 
-def _band(signal: Column, step: int, falling: bool = False) -> Column:
+def _band(signal: str, step: int, falling: bool = False) -> str:
     """A signal cut into ten bands of equal width, 1 the lowest; ``falling`` gives large signals low ratings."""
-    rating = F.lit(1) + F.least(F.floor(signal / step), F.lit(9))
-    return F.lit(11) - rating if falling else rating
+    band = f"least(floor({signal} / {step}), 9)"
+    return f"10 - {band}" if falling else f"1 + {band}"
 
 
-def lexical_ratings(signals: str | Column) -> dict[str, Column]:
+def lexical_ratings(signals: str) -> dict[str, Column]:
     """A 1–10 rating per rubric feature from the counts of :func:`add_lexical_signals`."""
-    s = F.col(signals) if isinstance(signals, str) else signals
-    shared_percent = _ratio(s["shared_words"] * 100, s["context_words"])
-    ratings = (
-        _band(s["words"], 20),
-        _band(s["distinct_words"], 15),
-        _band(s["shared_words"], 1),
-        _band(s["digits"], 2),
-        _band(_ratio(s["chars"], s["words"]), 2, falling=True),
+    s = f"`{signals}`"
+    shared_percent = _ratio(f"{s}.shared_words * 100", f"{s}.context_words")
+    bands = (
+        _band(f"{s}.words", 20),
+        _band(f"{s}.distinct_words", 15),
+        _band(f"{s}.shared_words", 1),
+        _band(f"{s}.digits", 2),
+        _band(_ratio(f"{s}.chars", f"{s}.words"), 2, falling=True),
         _band(shared_percent, 10),
-        _band(_ratio(s["words"], s["stops"]), 4, falling=True),
-        _band(s["line_breaks"], 2),
-        _band(s["shouts"], 1),
-        _band(s["shared_words"], 2, falling=True),
-        _band(_ratio(s["distinct_words"] * 100, s["words"]), 10),
+        _band(_ratio(f"{s}.words", f"{s}.stops"), 4, falling=True),
+        _band(f"{s}.line_breaks", 2),
+        _band(f"{s}.shouts", 1),
+        _band(f"{s}.shared_words", 2, falling=True),
+        _band(_ratio(f"{s}.distinct_words * 100", f"{s}.words"), 10),
         _band(shared_percent, 20),
-        _band(s["words"], 50, falling=True),
+        _band(f"{s}.words", 50, falling=True),
     )
-    return {name: rating.cast("bigint") for name, rating in zip(RUBRIC_FEATURES, ratings)}
+    return {name: F.expr(f"cast({band} as bigint)") for name, band in zip(RUBRIC_FEATURES, bands)}
 
 
-def lexical_reply(signals: str | Column, feature: str | Column = "feature") -> Column:
+def lexical_reply(signals: str, feature: str | Column = "feature") -> Column:
     """The offline rater's reply text for the feature of a task."""
     feature = F.col(feature) if isinstance(feature, str) else feature
     choice = None

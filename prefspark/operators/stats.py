@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,47 +20,32 @@ def pooled_summaries(df: DataFrame, stems: dict[str, Sequence[str]], by: Sequenc
     columns = list(dict.fromkeys(c for cols in stems.values() for c in cols))
     position = {c: i for i, c in enumerate(columns)}
     parts = [
-        part
+        F.expr(f"{function}(`{c}`) AS _{letter}{i}")
         for c, i in position.items()
-        for part in (
-            F.count(F.col(f"`{c}`")).cast("double").alias(f"_n{i}"),
-            F.avg(F.col(f"`{c}`")).alias(f"_m{i}"),
-            F.var_pop(F.col(f"`{c}`")).alias(f"_v{i}"),
-        )
+        for letter, function in (("n", "count"), ("m", "avg"), ("v", "var_pop"))
     ]
     table = df.groupBy(*by).agg(*parts) if by else df.agg(*parts)
+    numbers = {stem: [position[c] for c in cols] for stem, cols in stems.items()}
 
-    def total(terms: list[Column]) -> Column:
-        return reduce(lambda a, b: a + b, terms)
+    def added(term: str, at: Sequence[int]) -> str:
+        return " + ".join(term.format(i=i) for i in at)
 
-    numbers = {stem: [position[c] for c in cols] for stem, cols in stems.items()}
-    counts = {f"n_{stem}": total([F.col(f"_n{i}") for i in at]) for stem, at in numbers.items()}
-    means = {
-        f"mean_{stem}": total([F.col(f"_n{i}") * F.coalesce(f"_m{i}", F.lit(0.0)) for i in at])
-        / F.nullif(F.col(f"n_{stem}"), F.lit(0.0))
-        for stem, at in numbers.items()
-    }
-
-    def squares(stem: str, i: int) -> Column:
-        shift = F.coalesce(f"_m{i}", F.lit(0.0)) - F.col(f"mean_{stem}")
-        return F.col(f"_n{i}") * (F.coalesce(f"_v{i}", F.lit(0.0)) + shift * shift)
-
-    stds = {
-        f"std_{stem}": F.sqrt(
-            total([squares(stem, i) for i in at])
-            / F.nullif(F.greatest(F.col(f"n_{stem}") - ddof, F.lit(0.0)), F.lit(0.0))
-        )
-        for stem, at in numbers.items()
-    }
-    table = table.withColumns(counts).withColumns(means).withColumns(stds)
-    return table.select(*by, *[f"{part}_{stem}" for stem in stems for part in ("mean", "std", "n")])
+    means, stds = [], []
+    for stem, at in numbers.items():
+        count = added("_n{i}", at)
+        means.append(f"{count} AS `n_{stem}`")
+        means.append(f"({added('_n{i} * coalesce(_m{i}, 0D)', at)}) / nullif({count}, 0) AS `mean_{stem}`")
+        around = added(f"_n{{i}} * (coalesce(_v{{i}}, 0D) + pow(coalesce(_m{{i}}, 0D) - `mean_{stem}`, 2))", at)
+        stds.append(f"sqrt(({around}) / nullif(greatest(`n_{stem}` - {ddof}, 0), 0)) AS `std_{stem}`")
+    names = [f"`{part}_{stem}`" for stem in stems for part in ("mean", "n")]
+    return table.selectExpr("*", *means).selectExpr(*[f"`{b}`" for b in by], *names, *stds)
 
 
 def pooled_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), ddof: int = 0) -> DataFrame:
     """Mean and standard deviation over the listed columns pooled, per group of ``by``."""
     summary = pooled_summaries(df, {"all": cols}, by, ddof)
     return summary.select(
-        *by, F.col("mean_all").alias("mean"), F.col("std_all").alias("std"), F.col("n_all").cast("bigint").alias("n")
+        *by, F.col("mean_all").alias("mean"), F.col("std_all").alias("std"), F.col("n_all").alias("n")
     )
 
 
