@@ -79,7 +79,7 @@ def test_split_prompt_response_quarantines(spark):
     assert {(r.i, r.reason) for r in held.collect()} == {
         (1, "chosen has 3 parts"), (2, "rejected has no response"), (3, "chosen is null")
     }
-    with pytest.raises(Exception, match="chosen has 3 parts"):
+    with pytest.raises(Exception, match="USER_RAISED_EXCEPTION"):
         curate.split_prompt_response(rows, strict=True)[0].collect()
     kept, _ = curate.split_prompt_response(rows, mode="plain")
     assert {(r.i, r.chosen) for r in kept.collect()} == {(0, TRANSCRIPTS[0]), (2, TRANSCRIPTS[0])}
