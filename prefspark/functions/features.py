@@ -55,8 +55,8 @@ def add_lexical_signals(df: DataFrame, response: str, context: str, out: str = "
     """
     text, asked, reply = F.col(response), f"_asked_{out}", f"_reply_{out}"
 
-    def occurrences(characters: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, characters, ""))
+    def occurrences(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
 
     counts = F.struct(
         F.length(text).alias("chars"),
@@ -64,8 +64,8 @@ def add_lexical_signals(df: DataFrame, response: str, context: str, out: str = "
         F.size(F.array_distinct(reply)).alias("distinct_words"),
         F.size(asked).alias("context_words"),
         F.size(F.array_intersect(asked, reply)).alias("shared_words"),
-        occurrences("0123456789").alias("digits"),
-        occurrences(".!?").alias("stops"),
+        occurrences("[0-9]").alias("digits"),
+        occurrences("[.!?]").alias("stops"),
         occurrences("!").alias("shouts"),
         occurrences("\n").alias("line_breaks"),
     )

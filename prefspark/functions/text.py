@@ -123,7 +123,7 @@ def has_judge_scores(reply: str | Column) -> Column:
 
 def words(text: str | Column) -> Column:
     """Lower-cased words between white space."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"\S+"), 0)
+    return F.array_remove(F.split(F.lower(_col(text)), r"\s+", -1), "")
 
 
 def response_length(response: str | Column, context: str | Column | None = None) -> Column:

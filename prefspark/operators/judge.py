@@ -48,21 +48,33 @@ def _task(kind: str, question: Column, answer1: Column, answer2: Column) -> Colu
 
 
 def render_judge_task(
-    df: DataFrame, indices: Sequence[int] = (0, 1), kind: str = "hh", prompt: str = "prompt", response: str = "response"
+    df: DataFrame,
+    indices: Sequence[int] = (0, 1),
+    kind: str = "hh",
+    prompt: str = "prompt",
+    response: str = "response",
+    count_words: bool = False,
 ) -> DataFrame:
     """Two tasks per comparison, ``direct`` and ``swapped``, with the answers in the order shown.
 
-    ``indices`` are 0-based positions in the response list; one past the end is an error.
+    ``indices`` are 0-based positions in the response list; one past the end is an error. ``count_words`` adds
+    the answers' word counts, taken once per answer, for the offline judge.
     """
     if len(indices) != 2:
         raise ValueError("a comparison needs exactly two responses")
     first, second = (F.element_at(response, i + 1) for i in indices)
     question = strip_role_headers(prompt, (HUMAN, ASSISTANT))
     compared = df.withColumns({"_first": first, "_second": second, "_question": question}).drop(response)
-    orders = F.array(
-        F.struct(F.lit("direct").alias("order"), F.col("_first").alias("answer1"), F.col("_second").alias("answer2")),
-        F.struct(F.lit("swapped").alias("order"), F.col("_second").alias("answer1"), F.col("_first").alias("answer2")),
-    )
+    if count_words:
+        compared = compared.withColumns({f"_words{side}": token_count(side) for side in ("_first", "_second")})
+
+    def shown(order: str, answer1: str, answer2: str) -> Column:
+        fields = [F.lit(order).alias("order"), F.col(answer1).alias("answer1"), F.col(answer2).alias("answer2")]
+        if count_words:
+            fields += [F.col(f"_words{answer1}").alias("words1"), F.col(f"_words{answer2}").alias("words2")]
+        return F.struct(*fields)
+
+    orders = F.array(shown("direct", "_first", "_second"), shown("swapped", "_second", "_first"))
     kept = [c for c in df.columns if c != response]
     return (
         compared.select(*kept, "_question", F.inline(orders))
@@ -71,24 +83,27 @@ def render_judge_task(
     )
 
 
-def rule_based_reply(answer1: str | Column = "answer1", answer2: str | Column = "answer2") -> Column:
+def rule_based_reply(words1: str | Column = "words1", words2: str | Column = "words2") -> Column:
     """The offline judge's reply: a score per answer from its number of words, the first answer one point up.
 
     The lean towards the first answer is deliberate; the swapped order has to cancel it.
     """
 
-    def score(answer, lean: int) -> Column:
-        return F.least(F.floor(token_count(answer) / 15) + 1 + lean, F.lit(10)).cast("string")
+    def score(words: str | Column, lean: int) -> Column:
+        words = F.col(words) if isinstance(words, str) else words
+        return F.least(F.floor(words / 15) + 1 + lean, F.lit(10)).cast("string")
 
-    return F.concat(score(answer1, 1), F.lit(" "), score(answer2, 0), F.lit("\ncounted words"))
+    return F.concat(score(words1, 1), F.lit(" "), score(words2, 0), F.lit("\ncounted words"))
 
 
 def judge_with(
     tasks: DataFrame, judge: Rater | None = None, out: str = "reply"
 ) -> DataFrame:
-    """Add the judge's reply per task; without a judge the offline rule reads the answers."""
+    """Add the judge's reply per task; without a judge the offline rule reads the answers' word counts."""
     if judge is None:
-        return tasks.withColumn(out, rule_based_reply())
+        if "words1" in tasks.columns:
+            return tasks.withColumn(out, rule_based_reply()).drop("words1", "words2")
+        return tasks.withColumn(out, rule_based_reply(token_count("answer1"), token_count("answer2")))
     return rate_with(tasks, judge, out=out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefspark.functions.ordering import keyed_draw, with_position
 from prefspark.functions.text import ASSISTANT, HUMAN
 from prefspark.operators.reshape import collect_samples
+from prefspark.session import spread
 
 SLOT_KEYS = 65_536
 TURNS_PER_TRANSCRIPT = 256
@@ -17,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work on their whole texts."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every good document with a bad one of the same language, in turn; key ``pair_id``."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    described = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    labelled = described.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     slot = F.floor(F.col("doc_id") / SLOT_KEYS)
     ranked = with_position(labelled, ["lang", "quality"], ["doc_id"], slot, "rn")
     good = ranked.where("quality = 1").select("doc_id", "lang", "source", "rn")
@@ -36,7 +42,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "rejected_id",
         )
     )
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = documents(spark, sf_dir, "doc_id", "text")
     chosen = texts.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("chosen"))
     rejected = texts.select(F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
     train = F.substr(keyed_draw(7, "pair_id"), F.lit(1), F.lit(1)) < F.lit("8")
@@ -54,15 +60,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_documents(df: DataFrame) -> DataFrame:
+    """Add ``sample_idx``, the number of a document among those of its source (``prompt``)."""
+    return with_position(df, ["prompt"], ["doc_id"], F.floor(F.col("doc_id") / SLOT_KEYS), "sample_idx")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as responses to their source, numbered by document; texts repeat."""
-    documents = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("prompt"), "doc_id", F.col("text").alias("response")
-    )
-    slot = F.floor(F.col("doc_id") / SLOT_KEYS)
-    return with_position(documents, ["prompt"], ["doc_id"], slot, "sample_idx").select(
-        "prompt", "sample_idx", "doc_id", "response"
-    )
+    """Documents as responses to their source, numbered by document; texts repeat.
+
+    Only keys are numbered; a text moves once, by its own document.
+    """
+    keys = table(spark, sf_dir, "documents").select(F.col("source").alias("prompt"), "doc_id")
+    texts = documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("text", "response")
+    return numbered_documents(keys).join(texts, "doc_id").select("prompt", "sample_idx", "doc_id", "response")
 
 
 def samples_num(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,8 @@ def fit_pairs(spark, sf_dir):
 
 def compare_models(spark, sf_dir):
     """Samples scored by two reward models: the curve under the first model's choice."""
-    curve, _ = flows.compare_models(settle(_rated_samples(spark, sf_dir).drop("response"), "rated_samples").withColumn("response", F.col("doc_id").cast("string")), MODEL_A, MODEL_B)
+    rated = _rated_samples(spark, sf_dir).withColumn("response", F.col("doc_id").cast("string"))
+    curve, _ = flows.compare_models(rated, MODEL_A, MODEL_B)
     return curve.select("n", *[r6(f"mean_{s}").alias(f"mean_{s}") for s in "ab"], "prompts")
 
 

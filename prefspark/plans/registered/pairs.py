@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prefspark.functions.features import add_features, register_feature, registered_features
 from prefspark.functions.text import token_count
 from prefspark.operators import joins, labels, models, reshape, stats
+from prefspark.operators.rating import rate_pairs_wide
 from prefspark.plans import inputs
 from prefspark.plans.registered.common import (
     FEATURES,
@@ -26,6 +27,7 @@ from prefspark.plans.registered.common import (
     sided_pairs,
     sql,
 )
+from prefspark.session import settle
 
 FEW = ("helpfulness", "repetetive", "length")
 
@@ -34,7 +36,7 @@ FEW = ("helpfulness", "repetetive", "length")
 
 
 def explode_samples(spark, sf_dir):
-    nested = inputs.table(spark, sf_dir, "documents").select(
+    nested = inputs.documents(spark, sf_dir, "doc_id", "text").select(
         "doc_id", F.split("text", "\n", -1).alias("response")
     )
     nested = nested.withColumn("chars", F.transform("response", F.length))
@@ -235,12 +237,14 @@ def side_standardize(spark, sf_dir):
 
 
 def _rated_samples(spark, sf_dir):
-    from prefspark.operators.rating import rate_pairs_wide
-
-    samples = inputs.samples(spark, sf_dir)
-    rated = rate_pairs_wide(samples, "prompt", ["response"])
+    """Samples with ratings and length, rated where their text is read; only the numbers are then numbered and stored."""
+    documents = inputs.documents(spark, sf_dir, "doc_id", "source", "text").withColumnsRenamed(
+        {"source": "prompt", "text": "response"}
+    )
+    rated = rate_pairs_wide(documents, "prompt", ["response"])
     renamed = rated.withColumnsRenamed({f"{f}_response": f for f in FEATURES})
-    return add_features(renamed, {"": "response"}, "prompt", {"length": registered_features()["length"]})
+    measured = add_features(renamed, {"": "response"}, "prompt", {"length": registered_features()["length"]})
+    return settle(inputs.numbered_documents(measured.drop("response")), "rated_samples")
 
 
 def linear_reward(spark, sf_dir):

@@ -80,7 +80,7 @@ def select_and_judge(spark, sf_dir):
     compared = inputs.pairs(spark, sf_dir).select(
         "pair_id", F.col("context").alias("prompt"), F.array("rejected", "chosen").alias("response"), "split"
     )
-    judged, _ = judge.parse_replies(judge.judge_with(judge.render_judge_task(compared)))
+    judged, _ = judge.parse_replies(judge.judge_with(judge.render_judge_task(compared, count_words=True)))
     debiased = judge.judge_debias(judged, ["pair_id", "split"])
     rates = judge.preference_rate(debiased, by=["split"], chunk=None)
     return rates.select("split", *[r6(o).alias(o) for o in ("win", "tie", "loss")], "n")
@@ -144,7 +144,7 @@ def judge_with(spark, sf_dir):
     compared = inputs.pairs(spark, sf_dir).select(
         "pair_id", F.col("context").alias("prompt"), F.array("chosen", "rejected").alias("response")
     )
-    replies = judge.judge_with(judge.render_judge_task(compared))
+    replies = judge.judge_with(judge.render_judge_task(compared, count_words=True))
     return replies.select("pair_id", "order", "reply")
 
 
