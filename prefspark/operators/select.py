@@ -14,15 +14,30 @@ CHUNK_SIZE = 16
 CHUNKS = 6
 
 
+# Ranks above this bound are not cut before the shuffle by Spark's default settings.
+GROUP_LIMIT_ROWS = 1000
+SALTS = 64
+
+
 def _head(df: DataFrame, prompt: str, order_by: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of every prompt with their rank and number.
 
     The rank filter lets Spark keep ``n`` rows per prompt and task before the shuffle, so a prompt with a
-    large share of all rows stays small.
+    large share of all rows stays small. Beyond the size for which Spark does that, salted parts of each
+    prompt are cut to ``n`` rows first.
     """
+    rows = df.where(F.col(prompt).isNotNull())
+    if n > GROUP_LIMIT_ROWS:
+        part = Window.partitionBy(prompt, "_salt").orderBy(*order_by)
+        rows = (
+            rows.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(SALTS)))
+            .withColumn("_part_rank", F.row_number().over(part))
+            .where(F.col("_part_rank") <= n)
+            .drop("_salt", "_part_rank")
+        )
     order = Window.partitionBy(prompt).orderBy(*order_by)
-    first = df.where(F.col(prompt).isNotNull()).withColumn("_rank", F.row_number().over(order))
-    return first.where(F.col("_rank") <= n).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(prompt)))
+    first = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+    return first.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(prompt)))
 
 
 def best_of_n(

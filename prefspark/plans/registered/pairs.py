@@ -100,8 +100,9 @@ def randomize_sides(spark, sf_dir):
 
 
 def orient_by_label(spark, sf_dir):
+    """The test split counts as unlabelled here, so its rows are quarantined."""
     sided = sided_pairs(spark, sf_dir).select(
-        "pair_id", F.when(F.col("pair_id") % 7 != 0, F.col("labels")).alias("labels"), "length_a", "length_b"
+        "pair_id", F.when(F.col("split") == "train", F.col("labels")).alias("labels"), "length_a", "length_b"
     )
     good, held = labels.orient_by_label(sided, "labels", ["length"], response=None)
     none = F.lit(None).cast("double")
@@ -178,23 +179,23 @@ def cross_fit_attach(spark, sf_dir):
 
 
 def _score_table(spark, sf_dir):
-    return inputs.table(spark, sf_dir, "documents").select(
-        F.col("source").alias("prompt"), F.col("text").alias("response"), F.col("n_chars").alias("score")
+    """Scores for the texts in English; the other samples have none, and repeated texts have several."""
+    documents = inputs.documents(spark, sf_dir, "doc_id", "source", "text", "lang", "n_chars").where("lang = 'en'")
+    return documents.select(
+        F.col("source").alias("prompt"), F.col("text").alias("response"), (F.col("n_chars") / 10).alias("score"), "doc_id"
     )
 
 
 def attach_scores_inner(spark, sf_dir):
-    scores = _score_table(spark, sf_dir).where("score % 2 = 0").withColumn("score", F.col("score") / 10)
-    scored = joins.attach_scores_inner(inputs.samples(spark, sf_dir), scores)
+    scored = joins.attach_scores_inner(inputs.samples(spark, sf_dir), _score_table(spark, sf_dir).drop("doc_id"))
     return scored.select("prompt", "sample_idx", "score")
 
 
 def attach_features_left(spark, sf_dir):
-    extra = inputs.samples(spark, sf_dir).where("doc_id % 3 > 0").withColumn("length", F.length("response"))
     joined = joins.attach_features_left(
-        inputs.samples(spark, sf_dir), extra, keep_first_by=["sample_idx"], prefix="first_"
+        inputs.samples(spark, sf_dir), _score_table(spark, sf_dir), keep_first_by=["doc_id"], prefix="first_"
     )
-    return joined.select("prompt", "sample_idx", "doc_id", "first_sample_idx", "first_doc_id", "length")
+    return joined.select("prompt", "sample_idx", "doc_id", "first_doc_id", "score")
 
 
 def attach_by_key(spark, sf_dir):
@@ -357,8 +358,8 @@ cast(length(CASE WHEN {_HEADS} THEN rejected ELSE chosen END) AS integer) AS cha
     "orient_by_label": sql(
         SIDED,
         body="""SELECT pair_id, labels, CASE WHEN labels = 1 THEN length_a ELSE length_b END AS length_chosen,
-CASE WHEN labels = 1 THEN length_b ELSE length_a END AS length_rejected, false AS held FROM sided WHERE pair_id % 7 <> 0
-UNION ALL SELECT pair_id, NULL, NULL, NULL, true FROM sided WHERE pair_id % 7 = 0""",
+CASE WHEN labels = 1 THEN length_b ELSE length_a END AS length_rejected, false AS held FROM sided WHERE split = 'train'
+UNION ALL SELECT pair_id, NULL, NULL, NULL, true FROM sided WHERE split = 'test'""",
     ),
     "option_of_label": sql(
         SIDED,
@@ -409,13 +410,14 @@ UNION ALL SELECT pair_id, NULL, NULL, NULL, true FROM sided WHERE pair_id % 7 =
     ),
     "attach_scores_inner": sql(
         SAMPLES,
-        "sc AS (SELECT DISTINCT source AS prompt, text AS response, n_chars / 10 AS score FROM documents WHERE n_chars % 2 = 0)",
+        "sc AS (SELECT DISTINCT source AS prompt, text AS response, n_chars / 10 AS score FROM documents WHERE lang = 'en')",
         body="SELECT s.prompt, sample_idx, score FROM samples s JOIN sc ON s.prompt = sc.prompt AND s.response = sc.response",
     ),
     "attach_features_left": sql(
         SAMPLES,
-        "f AS (SELECT prompt, response, sample_idx, doc_id FROM samples WHERE doc_id % 3 > 0 QUALIFY row_number() OVER (PARTITION BY prompt, response ORDER BY sample_idx) = 1)",
-        body="SELECT s.prompt, s.sample_idx, s.doc_id, f.sample_idx AS first_sample_idx, f.doc_id AS first_doc_id, cast(length(f.response) AS integer) AS length "
+        "f AS (SELECT source AS prompt, text AS response, doc_id, n_chars / 10 AS score FROM documents WHERE lang = 'en' "
+        "QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1)",
+        body="SELECT s.prompt, s.sample_idx, s.doc_id, f.doc_id AS first_doc_id, f.score "
         "FROM samples s LEFT JOIN f ON s.prompt = f.prompt AND s.response = f.response",
     ),
     "attach_by_key": "SELECT event_id, event_type, value * 2 AS doubled FROM events",

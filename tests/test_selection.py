@@ -104,6 +104,14 @@ def test_best_of_n_first_on_ties_and_short_groups(spark):
     assert curve[1].prompts == 4 and curve[16].mean_a >= curve[1].mean_a
 
 
+def test_large_sizes_use_salted_parts(spark, monkeypatch):
+    rows = [("p", i, float((i * 37) % 101), f"r{i}") for i in range(1, 301)] + [("q", 1, 1.0, "s")]
+    df = spark.createDataFrame(rows, "prompt string, sample_idx int, score_a double, response string").withColumn("score_b", F.lit(0.0))
+    plain = sorted(map(tuple, select.best_of_n(df, sizes=(4, 50, 200)).collect()))
+    monkeypatch.setattr(select, "GROUP_LIMIT_ROWS", 10)
+    assert sorted(map(tuple, select.best_of_n(df, sizes=(4, 50, 200)).collect())) == plain
+
+
 def test_best_of_n_limits_groups_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).cast("string").alias("prompt"), F.col("id").alias("sample_idx"), F.rand(1).alias("score_a"), F.rand(2).alias("score_b"), F.lit("r").alias("response"))
     plan = select.best_of_n(df)._jdf.queryExecution().executedPlan().toString()
