@@ -10,6 +10,7 @@ from prefspark.operators.rating import RUBRIC_FEATURES
 from prefspark.plans import flows, inputs
 from prefspark.plans.registered.common import FEATURES, MODEL_A, MODEL_B, Query, q6, r6, reward_sql, sided_pairs, sql
 from prefspark.plans.registered.pairs import RATED_SAMPLES, _rated_samples
+from prefspark.plans.registered.selection import _count_words, word_rating_sql
 from prefspark.session import settle, work_path
 
 MODEL_COLUMNS = "model string, feature_pos int, feature string, coef double"
@@ -96,8 +97,6 @@ def model_correlation(spark, sf_dir):
 
 def annotate_pairs(spark, sf_dir):
     """Annotation through the plug-in interface, back to one row per pair."""
-    from prefspark.plans.registered.selection import _count_words
-
     annotated = flows.annotate_pairs(inputs.pairs(spark, sf_dir), rater=_count_words)
     total = sum((F.col(f"`{f}_chosen`") - F.col(f"`{f}_rejected`") for f in RUBRIC_FEATURES[1:]), F.col("helpfulness_chosen") - F.col("helpfulness_rejected"))
     return annotated.select("pair_id", "helpfulness_chosen", "helpfulness_rejected", total.alias("lead"))
@@ -122,6 +121,10 @@ def _normalized(model) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "annotate_pairs": f"""WITH c AS ({word_rating_sql("chosen")}), r AS ({word_rating_sql("rejected")})
+SELECT pair_id, max(CASE WHEN feature = 'helpfulness' THEN c.rating END) AS helpfulness_chosen,
+max(CASE WHEN feature = 'helpfulness' THEN r.rating END) AS helpfulness_rejected, cast(sum(c.rating - r.rating) AS bigint) AS lead
+FROM c JOIN r USING (pair_id, feature) GROUP BY pair_id""",
     "save_model": sql(RATED_SAMPLES, body=f"SELECT prompt, sample_idx, {q6(_normalized(MODEL_A))} AS reward FROM rated_samples"),
     "compare_models": sql(
         RATED_SAMPLES,

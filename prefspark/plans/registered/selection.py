@@ -222,6 +222,11 @@ def _rating_task_sql(kind: str, response: str, result: str) -> str:
     )
 
 
+def word_rating_sql(response: str) -> str:
+    """Ratings by the number of words in the task, as :func:`_count_words` gives them."""
+    return _rating_task_sql("hh", response, "cast(least(10, 1 + len(regexp_extract_all({0}, '\\S+')) // 40) AS bigint) AS rating")
+
+
 def _judge_task_sql() -> str:
     question, first, second, before = judge._FRAMES["hh"]
     text = " || ".join(
@@ -286,9 +291,7 @@ ORACLES: dict[str, str] = {
         body="SELECT split, " + ", ".join(f"{q6(_share(t))} AS {o}" for o, t in _WINS.items()) + ", count(*) AS n FROM debiased GROUP BY split",
     ),
     "render_rating_task": _rating_task_sql("shp", "chosen", "feature_pos, md5({0}) AS task_md5"),
-    "rate_with_plugin": _rating_task_sql(
-        "hh", "rejected", "cast(least(10, 1 + len(regexp_extract_all({0}, '\\S+')) // 40) AS bigint) AS rating"
-    ),
+    "rate_with_plugin": word_rating_sql("rejected"),
     "render_judge_task": _judge_task_sql(),
     "parse_rating": sql(
         RATING_REPLIES, body=r"SELECT event_id, try_cast(nullif(regexp_extract(reply, '^\d+'), '') AS bigint) AS rating FROM rating_replies"
