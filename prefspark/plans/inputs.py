@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prefspark.functions.ordering import keyed_draw, with_position
 from prefspark.functions.text import ASSISTANT, HUMAN
 from prefspark.operators.reshape import collect_samples
-from prefspark.session import spread
+from prefspark.session import settle, spread
 
 SLOT_KEYS = 65_536
 TURNS_PER_TRANSCRIPT = 256
@@ -23,16 +23,20 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every good document with a bad one of the same language, in turn; key ``pair_id``."""
+def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every good document with a bad one of the same language, in turn; key ``pair_id``. No texts.
+
+    The ranks serve the good side, the bad side and the counts, so they are stored once.
+    """
     described = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     labelled = described.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     slot = F.floor(F.col("doc_id") / SLOT_KEYS)
-    ranked = with_position(labelled, ["lang", "quality"], ["doc_id"], slot, "rn")
+    ranked = settle(with_position(labelled, ["lang", "quality"], ["doc_id"], slot, "rn"), "ranked_documents")
     good = ranked.where("quality = 1").select("doc_id", "lang", "source", "rn")
     bad = ranked.where("quality = 0").select("lang", F.col("rn").alias("bad_rn"), F.col("doc_id").alias("rejected_id"))
-    per_lang = labelled.where("quality = 0").groupBy("lang").agg(F.count(F.lit(1)).alias("nb"))
-    matched = (
+    per_lang = ranked.where("quality = 0").groupBy("lang").agg(F.count(F.lit(1)).alias("nb"))
+    train = F.substr(keyed_draw(7, "doc_id"), F.lit(1), F.lit(1)) < F.lit("8")
+    return (
         good.join(per_lang, "lang")
         .withColumn("bad_rn", F.pmod(F.col("rn") - 1, F.col("nb")) + 1)
         .join(bad, ["lang", "bad_rn"])
@@ -40,23 +44,21 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("doc_id").alias("pair_id"),
             F.concat("source", F.lit("/"), "lang").alias("context"),
             "rejected_id",
+            F.when(train, "train").otherwise("test").alias("split"),
         )
     )
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair keys with the texts of both documents."""
     texts = documents(spark, sf_dir, "doc_id", "text")
     chosen = texts.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("chosen"))
     rejected = texts.select(F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
-    train = F.substr(keyed_draw(7, "pair_id"), F.lit(1), F.lit(1)) < F.lit("8")
     return (
-        matched.join(chosen, "pair_id")
+        spread(settle(pair_keys(spark, sf_dir), "pair_keys"), "pair_id")
+        .join(chosen, "pair_id")
         .join(rejected, "rejected_id")
-        .select(
-            "pair_id",
-            "context",
-            "chosen",
-            "rejected",
-            "rejected_id",
-            F.when(train, "train").otherwise("test").alias("split"),
-        )
+        .select("pair_id", "context", "chosen", "rejected", "rejected_id", "split")
     )
 
 

@@ -64,7 +64,7 @@ def half_split(spark, sf_dir):
 
 
 def select_split(spark, sf_dir):
-    pairs = inputs.pairs(spark, sf_dir).select("pair_id", "split")
+    pairs = inputs.pair_keys(spark, sf_dir).select("pair_id", "split")
     roles = curate.select_split(pairs, "all", "pair_id", HOLDOUT).withColumnRenamed("role", "role_all")
     roles = curate.select_split(roles, "test", "pair_id").withColumnRenamed("role", "role_test")
     roles = curate.select_split(roles, "train", "pair_id").withColumnRenamed("role", "role_train")

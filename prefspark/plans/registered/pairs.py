@@ -170,7 +170,7 @@ def debias_statistics(spark, sf_dir):
 def cross_fit_attach(spark, sf_dir):
     sided = sided_pairs(spark, sf_dir)
     scores = {m.name: models.pair_scores(sided, m) for m in (MODEL_A, MODEL_B)}
-    attached = labels.cross_fit_attach(inputs.pairs(spark, sf_dir).select("pair_id", "split"), scores, "pair_id")
+    attached = labels.cross_fit_attach(inputs.pair_keys(spark, sf_dir).select("pair_id", "split"), scores, "pair_id")
     sides = [f"{m}_{side}" for m in scores for side in ("chosen", "rejected")]
     return attached.select("pair_id", "split", *[r6(c).alias(c) for c in sides])
 
