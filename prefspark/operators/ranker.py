@@ -33,7 +33,7 @@ class TextPairRanker:
         mirror = ElementwiseProduct(
             scalingVec=Vectors.dense([-1.0] * self.num_features), inputCol="_x", outputCol="_minus_x"
         )
-        joined = VectorAssembler(inputCols=["_x", "_minus_x"], outputCol=FITTED).transform(mirror.transform(hashed))
+        joined = _side_by_side(mirror.transform(hashed), ["_x", "_minus_x"])
         margin = self.model.transform(joined).withColumn(out, vector_to_array(self.model.getRawPredictionCol())[1] / 2)
         return margin.select(*[F.col(f"`{c}`") for c in df.columns], out)
 
@@ -51,6 +51,12 @@ def _hash_words(df: DataFrame, text: str, out: str, num_features: int) -> DataFr
     return HashingTF(inputCol=f"{out}_words", outputCol=out, numFeatures=num_features).transform(words).drop(f"{out}_words")
 
 
+def _side_by_side(df: DataFrame, vectors: Sequence[str]) -> DataFrame:
+    """Vectors as one, without the description of every single entry, which would travel with each task."""
+    joined = VectorAssembler(inputCols=list(vectors), outputCol=FITTED).transform(df)
+    return joined.withColumn(FITTED, F.col(FITTED).alias(FITTED, metadata={}))
+
+
 def text_pair_ranker(
     pairs: DataFrame,
     num_features: int = NUM_FEATURES,
@@ -67,12 +73,7 @@ def text_pair_ranker(
     train, test = pairs.where(F.col("role") == "train"), pairs.where(F.col("role") == "test")
     sided = randomize_sides(train.select(key, "chosen", "rejected"), key, seed, [])
     hashed = _hash_words(_hash_words(sided, "response_a", "_a", num_features), "response_b", "_b", num_features)
-    rows = (
-        VectorAssembler(inputCols=["_a", "_b"], outputCol=FITTED)
-        .transform(hashed)
-        .select(FITTED, F.col("labels").cast("double").alias("y"))
-        .persist()
-    )
+    rows = _side_by_side(hashed, ["_a", "_b"]).select(FITTED, F.col("labels").cast("double").alias("y")).persist()
     best = None
     try:
         for reg in regs:
