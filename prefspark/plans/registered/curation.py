@@ -34,7 +34,8 @@ def single_round_filter(spark, sf_dir):
 
 def max_length_filter(spark, sf_dir):
     kept = curate.max_length_filter(inputs.pairs(spark, sf_dir), ["chosen", "rejected"], 1000)
-    return kept.select("pair_id", F.length("chosen").alias("chosen_chars"), F.length("rejected").alias("rejected_chars"))
+    chars = [F.length(side).cast("bigint").alias(f"{side}_chars") for side in ("chosen", "rejected")]
+    return kept.select("pair_id", *chars)
 
 
 def drop_incomplete(spark, sf_dir):
