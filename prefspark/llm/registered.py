@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, mixing
+from prefspark.llm import bpe, exact_dedup, line_dedup, mixing, toxicity
+from prefspark.llm.labelled import labelled_sample, remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,24 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[1]
 
 
+def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of ``documents`` by a model that learns from no document with remainder 0."""
+    sample = labelled_sample(
+        documents, labels, "toxic", remainder("doc_id", 5) != 0, toxicity.TRAIN_ROWS, "text", "lang"
+    )
+    return toxicity.score(documents, toxicity.fit(sample))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -31,6 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
