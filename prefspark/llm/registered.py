@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, mixing, toxicity
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, toxicity
 from prefspark.llm.labelled import labelled_sample, remainder
 
 
@@ -17,6 +17,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[1]
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, learn = table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2
+    labels = table(spark, sf_dir, "labels")
+    sample = labelled_sample(documents, labels, "quality", learn, line_quality.TRAIN_ROWS, "text")
+    return line_quality.score(documents, line_quality.fit(sample)).select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= line_quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of ``documents`` by a model that learns from no document with remainder 0."""
     sample = labelled_sample(
@@ -50,6 +62,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_line_quality": op3_line_quality,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
