@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, toxicity
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, secret_scan, toxicity
 from prefspark.llm.labelled import labelled_sample, remainder
 
 
@@ -13,6 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(documents, secret_scan.fit(secret_scan.corpus_samples(documents)))
+    base = F.filter("spans", lambda s: s.kind != secret_scan.MARKOV)
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secret_scan.KINDS],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[1]
 
@@ -61,6 +80,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
     "op3_line_quality": op3_line_quality,
     "op5_toxicity": op5_toxicity,
