@@ -37,6 +37,7 @@ ORDINARY, RANDOM = 0, 1
 ORDINARY_LENGTH = 6
 CANDIDATE_LENGTH = 16
 MIN_LOG_RATIO = 12.0
+MIN_MEAN_RATIO = 0.5
 RANDOM_SAMPLES = 2_000
 
 
@@ -49,6 +50,7 @@ def _states() -> np.ndarray:
 
 
 STATE_OF = _states()
+SEPARATORS = [int(STATE_OF[ord(c)]) for c in "+/_=-"]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -132,7 +134,10 @@ class MarkovModel:
 
 
 def fit(samples: DataFrame, extra: np.ndarray | None = None) -> MarkovModel:
-    """Both first-order models, smoothed by one, from counted moves of labelled strings."""
+    """Both first-order models, smoothed by one, from counted moves of labelled strings.
+
+    Moves to and from a separator join parts of either kind and are no evidence.
+    """
     counts = np.zeros((2, STATES * STATES))
     for row in samples.collect():
         counts[row.is_random, row.move] = row.n
@@ -141,6 +146,7 @@ def fit(samples: DataFrame, extra: np.ndarray | None = None) -> MarkovModel:
     logs = np.log(tables / tables.sum(axis=2, keepdims=True))
     ratio = np.zeros((STATES, STATES))
     ratio[:, 1:] = logs[RANDOM] - logs[ORDINARY]
+    ratio[:, SEPARATORS], ratio[SEPARATORS, :] = 0, 0
     return MarkovModel(ratio.ravel())
 
 
@@ -155,7 +161,8 @@ def find(texts: list[str], model: MarkovModel, least: float = MIN_LOG_RATIO) ->
     if len(first):
         at = np.repeat(first, lengths) + _within(lengths)
         scores = np.add.reduceat(model.ratio[_steps(states)[at]], np.cumsum(lengths) - lengths)
-        first, last = first[scores >= least], last[scores >= least]
+        chosen = (scores >= least) & (scores >= MIN_MEAN_RATIO * lengths)
+        first, last = first[chosen], last[chosen]
     owner = np.searchsorted(starts, first, side="right") - 1
     added: dict[int, list[tuple[int, int]]] = {}
     for i, a, b in zip(owner.tolist(), first.tolist(), last.tolist()):
