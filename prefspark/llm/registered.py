@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, secret_scan, toxicity
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, near_dedup, secret_scan, toxicity
 from prefspark.llm.labelled import labelled_sample, remainder
 
 
@@ -79,6 +79,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", exact_dedup.sha256_of(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -87,6 +91,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
