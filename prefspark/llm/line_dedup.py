@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.session import settle
+
 MIN_CHARS = 40
 MIN_DOCS = 5
 _BLANK = " \t\n\x0b\f\r"
@@ -34,7 +36,8 @@ def line_dedup(
 
     Lines are exploded to (document, position, 128-bit digest of the normalised line); texts stay behind. Documents of
     a digest are counted over distinct (digest, document), first combined inside each task, so a line that a third of
-    all documents hold is never one task's group. The positions to drop come back as one array per document, and the
+    all documents hold is never one task's group. Digests over the limit are written first, so their size is known:
+    Spark broadcasts them where they are few and splits skewed join partitions where they are not. The positions to drop come back as one array per document, and the
     remaining lines are joined by position.
 
     Null text is one empty line. A null id counts for no document and keeps no shared line. Rows with one id are one
@@ -49,12 +52,13 @@ def line_dedup(
         .where(F.char_length("line") >= min_chars)
         .select("doc_id", "text_key", "pos", F.unhex(F.md5("line")).alias("key"))
     )
-    common = (
+    common = settle(
         keyed.select("key", "doc_id")
         .distinct()
         .groupBy("key")
         .agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("last"))
-        .where(F.col("docs") >= min_docs)
+        .where(F.col("docs") >= min_docs),
+        "shared_lines",
     )
     dropped = (
         keyed.join(common, "key")
