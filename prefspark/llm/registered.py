@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, near_dedup, secret_scan, toxicity
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, near_dedup, secret_scan, toxicity, warc
 from prefspark.llm.labelled import labelled_sample, remainder
+from prefspark.session import work_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_path(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), root)
+    return warc.read_archives(spark, manifest, root, with_payload=False).drop("url")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
