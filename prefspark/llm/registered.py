@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, near_dedup, secret_scan, toxicity, warc
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, multi_index, near_dedup, secret_scan, toxicity, warc
 from prefspark.llm.labelled import labelled_sample, remainder
 from prefspark.session import work_path
 
@@ -49,6 +49,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0)
+
+
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of ``documents`` by a model that learns from no document with remainder 0."""
     sample = labelled_sample(
@@ -94,6 +98,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
     "op3_line_quality": op3_line_quality,
+    "op4_multi_index": op4_multi_index,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
