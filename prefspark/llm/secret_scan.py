@@ -36,8 +36,9 @@ STATES = len(ALPHABET) + 1
 ORDINARY, RANDOM = 0, 1
 ORDINARY_LENGTH = 6
 CANDIDATE_LENGTH = 16
-MIN_LOG_RATIO = 12.0
-MIN_MEAN_RATIO = 0.5
+MIN_LOG_RATIO = 24.0
+MIN_MEAN_RATIO = 1.5
+BACK_OFF = 10.0
 RANDOM_SAMPLES = 2_000
 
 
@@ -134,7 +135,7 @@ class MarkovModel:
 
 
 def fit(samples: DataFrame, extra: np.ndarray | None = None) -> MarkovModel:
-    """Both first-order models, smoothed by one, from counted moves of labelled strings.
+    """Both first-order models from counted moves of labelled strings, backed off to the frequency of characters.
 
     Moves to and from a separator join parts of either kind and are no evidence.
     """
@@ -142,8 +143,10 @@ def fit(samples: DataFrame, extra: np.ndarray | None = None) -> MarkovModel:
     for row in samples.collect():
         counts[row.is_random, row.move] = row.n
     counts[RANDOM] += generated_samples() if extra is None else extra
-    tables = counts.reshape(2, STATES, STATES)[:, :, 1:] + 1
-    logs = np.log(tables / tables.sum(axis=2, keepdims=True))
+    tables = counts.reshape(2, STATES, STATES)[:, :, 1:]
+    single = tables.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((tables + BACK_OFF * single) / (tables.sum(axis=2, keepdims=True) + BACK_OFF))
     ratio = np.zeros((STATES, STATES))
     ratio[:, 1:] = logs[RANDOM] - logs[ORDINARY]
     ratio[:, SEPARATORS], ratio[SEPARATORS, :] = 0, 0
