@@ -21,8 +21,6 @@ from prefspark.functions.text import (
 # The three features that the short form keeps.
 SHORT_FEATURES = ("readability", "enough-detail", "fail-to-consider-context")
 
-LAZY_CUT_ROWS = 100_000
-
 
 def single_round_filter(
     df: DataFrame, cols: Sequence[str], headers: Sequence[str] = TURN_MARKS
@@ -50,38 +48,41 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.where(reduce(lambda a, b: a & b, present))
 
 
-def _require_rows(cut: Column, found: Column, n: int, allow_fewer: bool) -> Column:
-    if allow_fewer:
-        return cut
-    message = F.concat(F.lit(f"{n} rows wanted, only "), found.cast("string"), F.lit(" present"))
-    return F.when(found < n, F.raise_error(message)).otherwise(cut)
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raise where a key that is not null repeats. Keys are counted with a partial aggregate; rows do not move."""
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    repeated = counted.where("n > 1").orderBy(key).limit(1).collect()
+    if repeated:
+        raise ValueError(f"{key} {repeated[0][key]!r} repeats; a unique key is needed")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int, allow_fewer: bool = False) -> DataFrame:
     """Exactly ``n`` rows drawn without replacement by a digest of seed and key.
 
-    Only the draws are ranked; rows, with their texts, are then kept by comparison with the cut and never
-    move. Too few rows is an error unless ``allow_fewer``.
+    Only the draws are ranked; rows, with their texts, are then kept by comparison with the cut and never move. Keys
+    must be unique; rows without a key are never drawn. Too few rows is an error unless ``allow_fewer``.
     """
-    drawn = df.withColumn("_draw", F.concat(keyed_draw(seed, key), F.lit(":"), F.col(key).cast("string")))
-    if n <= LAZY_CUT_ROWS:
-        first = drawn.select("_draw").orderBy("_draw").limit(n)
-        cut = first.agg(
-            _require_rows(F.max("_draw"), F.count(F.lit(1)), n, allow_fewer).alias("cut")
-        ).scalar()
-    else:
-        present = df.count()
-        if present < n and not allow_fewer:
-            raise ValueError(f"{n} rows wanted, only {present} present")
-        cut = F.lit(key_at_rank(drawn, "_draw", min(n, present)))
-    return drawn.where(F.col("_draw") <= cut).drop("_draw")
+    require_unique(df, key)
+    keyed = df.where(F.col(key).isNotNull())
+    present = keyed.count()
+    if present < n and not allow_fewer:
+        raise ValueError(f"{n} rows wanted, only {present} present")
+    if not min(n, present):
+        return df.limit(0)
+    drawn = keyed.withColumn("_draw", F.concat(keyed_draw(seed, key), F.lit(":"), F.col(key).cast("string")))
+    cut = key_at_rank(drawn, "_draw", min(n, present))
+    return drawn.where(F.col("_draw") <= F.lit(cut)).drop("_draw")
 
 
 def take_first(
     df: DataFrame, key: str, n: int, array_col: str | None = None, m: int | None = None
 ) -> DataFrame:
-    """The first ``n`` rows by key and, where asked, the first ``m`` elements of an array column."""
-    cut = df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
+    """The first ``n`` keys' rows and, where asked, the first ``m`` elements of an array column.
+
+    Rows without a key come last, hence never among the first. Of a repeated key all rows are taken.
+    """
+    keys = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.lit(1).alias("one"))
+    cut = keys.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
     taken = df.where(F.col(key) <= cut)
     if array_col is not None and m is not None:
         taken = taken.withColumn(array_col, F.slice(array_col, 1, m))
@@ -91,12 +92,16 @@ def take_first(
 def half_split(df: DataFrame, key: str) -> DataFrame:
     """Add ``split``: the first half of the rows by key is ``train``, the rest, with the odd row, ``test``.
 
-    The key in the middle is found by narrowing; assigning the split is then a comparison inside each task.
+    The key in the middle is found by narrowing; assigning the split is then a comparison inside each task. Keys must be
+    unique; rows without a key belong to the second half.
     """
-    rows = df.count()
-    if rows < 2:
+    require_unique(df, key)
+    half = df.count() // 2
+    keyed = df.where(F.col(key).isNotNull())
+    half = min(half, keyed.count())
+    if half == 0:
         return df.withColumn("split", F.lit("test"))
-    middle = key_at_rank(df, key, rows // 2)
+    middle = key_at_rank(keyed, key, half)
     return df.withColumn("split", F.when(F.col(key) <= F.lit(middle), "train").otherwise("test"))
 
 

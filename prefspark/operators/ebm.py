@@ -23,26 +23,55 @@ def first_index(ids: str | Column, token) -> Column:
 
 
 def sequence_log_prob_arrays(
-    df: DataFrame, ids: str, logprobs: str, eos, pad, forced_bos=None, out: str = "log_prob"
+    df: DataFrame,
+    ids: str,
+    logprobs: str,
+    eos,
+    pad=None,
+    forced_bos=None,
+    out: str = "log_prob",
+    start: str | Column | None = None,
 ) -> DataFrame:
-    """Masked log-probability of one token sequence per row (ids and log-probabilities as arrays)."""
-    end = first_index(ids, eos)
+    """Masked log-probability of one token sequence per row (ids and log-probabilities as arrays).
+
+    Where rows are pages of longer sequences, ``start`` is the position of a page's first token; pages then go through
+    :func:`merge_pages`. Adds ``first_end``, the position of the first end token, −1 where there is none.
+    """
+    start = F.lit(0) if start is None else F.col(start) if isinstance(start, str) else start
+    found = first_index(ids, eos)
+    end = F.when(found < 0, F.lit(-1)).otherwise(found + start)
     pairs = F.transform(
-        F.arrays_zip(F.col(ids).alias("id"), F.col(logprobs).alias("lp")), lambda t, i: F.struct(i.alias("i"), t["id"].alias("id"), t["lp"].alias("lp"))
+        F.arrays_zip(F.col(ids).alias("id"), F.col(logprobs).alias("lp")),
+        lambda t, i: F.struct((i + start).alias("i"), t["id"].alias("id"), t["lp"].alias("lp")),
     )
-    token = lambda t: _scored(t["i"], t["id"], end, eos, pad, forced_bos)
+    token = lambda t: _scored(t["i"], t["id"], F.col("first_end"), eos, pad, forced_bos)
     total = F.aggregate(
         pairs, F.lit(0.0), lambda acc, t: acc + F.when(token(t), t["lp"]).otherwise(F.lit(0.0))
     )
-    return df.withColumn(out, total)
+    return df.withColumn("first_end", end.cast("bigint")).withColumn(out, total)
+
+
+def merge_pages(df: DataFrame, key: Sequence[str], page: str, value: str = "log_prob") -> DataFrame:
+    """Sequences from their pages' sums: pages after the first one with an end token do not count."""
+    ended = F.min(F.when(F.col("first_end") >= 0, F.col(page))).over(Window.partitionBy(*key))
+    counted = F.col("_last").isNull() | (F.col(page) <= F.col("_last"))
+    return (
+        df.withColumn("_last", ended)
+        .groupBy(*key)
+        .agg(
+            F.sum(F.when(counted, F.col(value))).alias(value),
+            F.coalesce(F.max(F.when(F.col(page) == F.col("_last"), F.col("first_end"))), F.lit(-1)).alias("first_end"),
+        )
+    )
 
 
 def _scored(pos: Column, token: Column, end: Column, eos, pad, forced_bos) -> Column:
     """Whether a token counts: not after the first end token; no pad, save in first place; no forced first token."""
-    plain = (token != F.lit(pad)) | (token == F.lit(eos))
+    is_end = token.eqNullSafe(F.lit(eos))
+    plain = F.lit(True) if pad is None else ~token.eqNullSafe(F.lit(pad)) | is_end
     counted = F.when(pos == 0, F.lit(True)).otherwise(plain)
     if forced_bos is not None:
-        counted = F.when((pos == 0) & (token == F.lit(forced_bos)), token == F.lit(eos)).otherwise(counted)
+        counted = F.when((pos == 0) & token.eqNullSafe(F.lit(forced_bos)), is_end).otherwise(counted)
     return counted & ((end < 0) | (pos <= end))
 
 
@@ -69,17 +98,9 @@ def sequence_log_prob(
     marked = slotted.withColumn("_end", F.coalesce(slot_end, F.lit(-1)))
     counted = _scored(F.col(pos), F.col(token), F.col("_end"), eos, pad, forced_bos)
     slots = marked.groupBy(key, "_slot").agg(
-        F.sum(F.when(counted, F.col(logprob)).otherwise(0.0)).alias("_sum"), F.max("_end").alias("_end")
-    )
-    ended = F.min(F.when(F.col("_end") >= 0, F.col("_slot"))).over(Window.partitionBy(key))
-    return (
-        slots.withColumn("_last", ended)
-        .groupBy(key)
-        .agg(
-            F.sum(F.when(F.col("_last").isNull() | (F.col("_slot") <= F.col("_last")), F.col("_sum"))).alias("log_prob"),
-            F.coalesce(F.max(F.when(F.col("_slot") == F.col("_last"), F.col("_end"))), F.lit(-1)).alias("first_end"),
-        )
+        F.sum(F.when(counted, F.col(logprob)).otherwise(0.0)).alias("log_prob"), F.max("_end").alias("first_end")
     )
+    return merge_pages(slots, [key], "_slot")
 
 
 def _log_scores(coefficients: Sequence[float]) -> tuple[Column, Column]:

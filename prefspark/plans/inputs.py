@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions.ordering import keyed_draw, with_position
 from prefspark.functions.text import ASSISTANT, HUMAN
-from prefspark.operators.reshape import collect_samples
 from prefspark.session import settle, spread
 
 SLOT_KEYS = 65_536
-TURNS_PER_TRANSCRIPT = 256
+#: Roles whose turns make up a transcript: preference data knows these two headers.
+DIALOGUE_ROLES = ("user", "assistant")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,26 +91,26 @@ def samples_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogues as text with role headers, without system turns, at most 256 turns to a page."""
-    turns = (
-        table(spark, sf_dir, "conversations")
-        .where(F.col("role") != "system")
-        .select(
-            "conv_id",
-            (F.col("turn") + 1).alias("position"),
-            F.concat(F.when(F.col("role") == "user", HUMAN).otherwise(ASSISTANT), "text").alias("part"),
-        )
-    )
-    paged = collect_samples(turns, ["conv_id"], "position", ["part"], TURNS_PER_TRANSCRIPT)
-    return paged.select("conv_id", "page", F.array_join("part", "").alias("t"))
+def transcripts(spark: SparkSession, sf_dir: str, roles: Sequence[str] = DIALOGUE_ROLES) -> DataFrame:
+    """One text per dialogue: its turns in order, each behind its role's header. Turns of other roles are left out."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("role").isin(*roles))
+    part = F.concat(F.when(F.col("role") == "user", HUMAN).otherwise(ASSISTANT), "text").alias("part")
+    told = turns.select("conv_id", "turn", part).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "part"))).alias("p"))
+    return told.select("conv_id", F.array_join(F.col("p.part"), "").alias("t"))
 
 
 def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each transcript beside that of the next conversation, as chosen and rejected."""
+    """A dialogue, or its first round for every other one, beside its own opening with the next dialogue's last reply."""
     dialogues = transcripts(spark, sf_dir)
-    following = dialogues.select((F.col("conv_id") - 1).alias("conv_id"), "page", F.col("t").alias("rejected"))
-    return dialogues.withColumnRenamed("t", "chosen").join(following, ["conv_id", "page"])
+    replies = dialogues.select(
+        (F.col("conv_id") - 1).alias("conv_id"), F.substring_index("t", ASSISTANT, -1).alias("reply")
+    )
+    first_round = F.substring_index("t", HUMAN, 2)
+    return dialogues.join(replies, "conv_id").select(
+        "conv_id",
+        F.when(F.col("conv_id") % 2 == 0, first_round).otherwise(F.col("t")).alias("chosen"),
+        F.concat(F.substring_index("t", ASSISTANT, 1), F.lit(ASSISTANT), "reply").alias("rejected"),
+    )
 
 
 def rating_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,14 +90,17 @@ SELECT concat('u', cast(user_id AS string)) AS prompt, row_number() OVER (PARTIT
 FROM events)"""
 
 TRANSCRIPTS = """transcripts AS (
-SELECT conv_id, turn // 256 AS page, string_agg((CASE WHEN role = 'user' THEN chr(10)||chr(10)||'Human: ' ELSE chr(10)||chr(10)||'Assistant: ' END) || text, '' ORDER BY turn) AS t
-FROM conversations WHERE role <> 'system' GROUP BY 1, 2)"""
+SELECT conv_id, string_agg((CASE WHEN role = 'user' THEN chr(10)||chr(10)||'Human: ' ELSE chr(10)||chr(10)||'Assistant: ' END) || text, '' ORDER BY turn) AS t
+FROM conversations WHERE role <> 'system' GROUP BY 1)"""
 
 TRANSCRIPT_PAIRS = (
     TRANSCRIPTS
     + """,
+cut AS (SELECT conv_id, t, string_split(t, chr(10)||chr(10)||'Assistant: ') AS a, string_split(t, chr(10)||chr(10)||'Human: ') AS h FROM transcripts),
 transcript_pairs AS (
-SELECT a.conv_id, a.page, a.t AS chosen, b.t AS rejected FROM transcripts a JOIN transcripts b ON b.conv_id = a.conv_id + 1 AND b.page = a.page)"""
+SELECT x.conv_id, CASE WHEN x.conv_id % 2 = 0 THEN array_to_string(x.h[1:2], chr(10)||chr(10)||'Human: ') ELSE x.t END AS chosen,
+       x.a[1] || chr(10)||chr(10)||'Assistant: ' || y.a[len(y.a)] AS rejected
+FROM cut x JOIN cut y ON y.conv_id = x.conv_id + 1)"""
 )
 
 RATING_REPLIES = """rating_replies AS (

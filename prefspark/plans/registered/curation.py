@@ -29,7 +29,7 @@ HOLDOUT = 100
 
 def single_round_filter(spark, sf_dir):
     kept = curate.single_round_filter(inputs.transcript_pairs(spark, sf_dir), ["chosen", "rejected"])
-    return kept.select("conv_id", "page", F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"))
+    return kept.select("conv_id", F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"))
 
 
 def max_length_filter(spark, sf_dir):
@@ -48,15 +48,11 @@ def sample_n(spark, sf_dir):
     return curate.sample_n(documents, "doc_id", 100, 42).select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 
-def _dialogue_parts(spark, sf_dir):
-    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("position"), "text")
-    nested = reshape.collect_samples(turns, ["conv_id"], "position", ["text"], 256)
-    return nested.withColumn("dialogue_id", F.col("conv_id") * 1_000_000 + F.col("page"))
-
-
 def take_first(spark, sf_dir):
-    first = curate.take_first(_dialogue_parts(spark, sf_dir), "dialogue_id", 100, "text", 3)
-    return first.select("dialogue_id", F.size("text").alias("parts"), F.md5(F.array_join("text", "|")).alias("text_md5"))
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nested = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("rows"))
+    first = curate.take_first(nested.select("conv_id", F.col("rows.text").alias("text")), "conv_id", 100, "text", 3)
+    return first.select("conv_id", F.size("text").alias("parts"), F.md5(F.array_join("text", "|")).alias("text_md5"))
 
 
 def half_split(spark, sf_dir):
@@ -103,7 +99,7 @@ def drop_duplicate_rows(spark, sf_dir):
 
 def prompt_of_transcript(spark, sf_dir):
     return inputs.transcripts(spark, sf_dir).select(
-        "conv_id", "page", F.md5(text.prompt_of_transcript("t")).alias("prompt_md5")
+        "conv_id", F.md5(text.prompt_of_transcript("t")).alias("prompt_md5")
     )
 
 
@@ -111,11 +107,11 @@ def split_prompt_response(spark, sf_dir):
     good, rejects = curate.split_prompt_response(inputs.transcript_pairs(spark, sf_dir))
     none = F.lit(None).cast("string")
     split = good.select(
-        "conv_id", "page", none.alias("reason"), F.md5("prepend").alias("prepend_md5"),
+        "conv_id", none.alias("reason"), F.md5("prepend").alias("prepend_md5"),
         F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"),
     )
     held = rejects.select(
-        "conv_id", "page", "reason", none.alias("prepend_md5"), none.alias("chosen_md5"), none.alias("rejected_md5")
+        "conv_id", "reason", none.alias("prepend_md5"), none.alias("chosen_md5"), none.alias("rejected_md5")
     )
     return split.unionByName(held)
 
@@ -132,13 +128,12 @@ def render_context(spark, sf_dir):
 def rewrite_role_headers(spark, sf_dir):
     posts = inputs.transcripts(spark, sf_dir).withColumn("post", text.rewrite_role_headers("t", "shp"))
     back = text.rewrite_role_headers("post", "hh")
-    return posts.select("conv_id", "page", F.md5("post").alias("post_md5"), F.md5(back).alias("back_md5"))
+    return posts.select("conv_id", F.md5("post").alias("post_md5"), F.md5(back).alias("back_md5"))
 
 
 def strip_role_headers(spark, sf_dir):
     return inputs.transcripts(spark, sf_dir).select(
         "conv_id",
-        "page",
         F.md5(text.strip_role_headers("t")).alias("bare_md5"),
         F.md5(text.strip_role_headers("t", legacy_headers=True)).alias("legacy_md5"),
     )
@@ -178,7 +173,7 @@ _POSTED = _chained("t", (text.HUMAN, text.ASSISTANT), (text.POST, text.RESPONSE)
 ORACLES: dict[str, str] = {
     "single_round_filter": sql(
         TRANSCRIPT_PAIRS,
-        body="SELECT conv_id, page, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5 FROM transcript_pairs WHERE "
+        body="SELECT conv_id, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5 FROM transcript_pairs WHERE "
         + " AND ".join(_occurs_once(c, m) for c in ("chosen", "rejected") for m in text.TURN_MARKS),
     ),
     "max_length_filter": sql(
@@ -191,9 +186,9 @@ ORACLES: dict[str, str] = {
         body=r"SELECT event_id, cast(regexp_extract(reply, '^\d+') AS bigint) AS rating FROM rating_replies WHERE regexp_matches(reply, '^\d+')",
     ),
     "sample_n": "SELECT doc_id, source, md5(text) AS text_md5 FROM documents ORDER BY md5(concat('42:', cast(doc_id AS string))), cast(doc_id AS string) LIMIT 100",
-    "take_first": """WITH d AS (SELECT conv_id * 1000000 + turn // 256 AS dialogue_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn // 256 ORDER BY turn) AS rn FROM conversations),
-k AS (SELECT DISTINCT dialogue_id FROM d ORDER BY 1 LIMIT 100)
-SELECT dialogue_id, cast(count(*) AS integer) AS parts, md5(string_agg(text, '|' ORDER BY turn)) AS text_md5 FROM d JOIN k USING (dialogue_id) WHERE rn <= 3 GROUP BY dialogue_id""",
+    "take_first": """WITH d AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+k AS (SELECT DISTINCT conv_id FROM d ORDER BY 1 LIMIT 100)
+SELECT conv_id, cast(count(*) AS integer) AS parts, md5(string_agg(text, '|' ORDER BY turn)) AS text_md5 FROM d JOIN k USING (conv_id) WHERE rn <= 3 GROUP BY conv_id""",
     "half_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= (SELECT count(*) FROM documents) // 2 THEN 'train' ELSE 'test' END AS split FROM documents",
     "select_split": sql(
         PAIRS,
@@ -219,14 +214,14 @@ SELECT dialogue_id, cast(count(*) AS integer) AS parts, md5(string_agg(text, '|'
     "drop_duplicate_rows": "SELECT source, md5(text) AS text_md5 FROM (SELECT DISTINCT source, text FROM documents)",
     "prompt_of_transcript": sql(
         TRANSCRIPTS,
-        f"p AS (SELECT conv_id, page, string_split(t, {quote(text.PROMPT_HEADER)}) AS parts FROM transcripts)",
-        body=f"SELECT conv_id, page, md5(array_to_string(parts[1:len(parts) - 1], {quote(text.PROMPT_HEADER)}) || {quote(text.PROMPT_HEADER)}) AS prompt_md5 FROM p",
+        f"p AS (SELECT conv_id, string_split(t, {quote(text.PROMPT_HEADER)}) AS parts FROM transcripts)",
+        body=f"SELECT conv_id, md5(array_to_string(parts[1:len(parts) - 1], {quote(text.PROMPT_HEADER)}) || {quote(text.PROMPT_HEADER)}) AS prompt_md5 FROM p",
     ),
     "split_prompt_response": sql(
         TRANSCRIPT_PAIRS,
-        f"p AS (SELECT conv_id, page, string_split(chosen, {quote(text.ASSISTANT)}) AS c, string_split(rejected, {quote(text.ASSISTANT)}) AS r FROM transcript_pairs)",
+        f"p AS (SELECT conv_id, string_split(chosen, {quote(text.ASSISTANT)}) AS c, string_split(rejected, {quote(text.ASSISTANT)}) AS r FROM transcript_pairs)",
         "s AS (SELECT *, CASE WHEN len(c) <> 2 THEN 'chosen has ' || len(c) || ' parts' WHEN len(r) < 2 THEN 'rejected has no response' END AS reason FROM p)",
-        body=f"""SELECT conv_id, page, reason, CASE WHEN reason IS NULL THEN md5(c[1] || {quote(text.ASSISTANT)}) END AS prepend_md5,
+        body=f"""SELECT conv_id, reason, CASE WHEN reason IS NULL THEN md5(c[1] || {quote(text.ASSISTANT)}) END AS prepend_md5,
 CASE WHEN reason IS NULL THEN md5(c[2]) END AS chosen_md5, CASE WHEN reason IS NULL THEN md5(r[2]) END AS rejected_md5 FROM s""",
     ),
     "render_context": sql(
@@ -237,11 +232,11 @@ md5({quote(text.HUMAN)} || context || {quote(text.ASSISTANT)} || rejected) AS re
     ),
     "rewrite_role_headers": sql(
         TRANSCRIPTS,
-        body=f"SELECT conv_id, page, md5({_POSTED}) AS post_md5, md5({_chained(_POSTED, (text.POST, text.RESPONSE), (text.HUMAN, text.ASSISTANT))}) AS back_md5 FROM transcripts",
+        body=f"SELECT conv_id, md5({_POSTED}) AS post_md5, md5({_chained(_POSTED, (text.POST, text.RESPONSE), (text.HUMAN, text.ASSISTANT))}) AS back_md5 FROM transcripts",
     ),
     "strip_role_headers": sql(
         TRANSCRIPTS,
-        body=f"SELECT conv_id, page, md5({_chained('t', (text.HUMAN, text.ASSISTANT, text.POST, text.RESPONSE), _BARE)}) AS bare_md5, "
+        body=f"SELECT conv_id, md5({_chained('t', (text.HUMAN, text.ASSISTANT, text.POST, text.RESPONSE), _BARE)}) AS bare_md5, "
         f"md5({_chained('t', (text.HUMAN, text.LEGACY_ASSISTANT, text.POST, text.RESPONSE), _BARE)}) AS legacy_md5 FROM transcripts",
     ),
     "response_length": "SELECT doc_id, round(length(text) / 100.0, 6) AS length FROM documents",

@@ -14,6 +14,7 @@ from prefspark.session import settle
 
 COEFFICIENTS = (0.15, -0.05)
 END, PAD = "purchase", "error"
+PAGE_TOKENS = 7
 
 
 def sequence_log_prob(spark, sf_dir):
@@ -22,11 +23,12 @@ def sequence_log_prob(spark, sf_dir):
 
 
 def sequence_log_prob_arrays(spark, sf_dir):
+    """Sequences in pages of seven tokens, so that most have several; pages know where they start and are merged."""
     pages = collect_samples(
-        inputs.tokens(spark, sf_dir).withColumn("position", F.col("pos") + 1), ["sample_id"], "position", ["token", "logprob"], 1024
+        inputs.tokens(spark, sf_dir).withColumn("position", F.col("pos") + 1), ["sample_id"], "position", ["token", "logprob"], PAGE_TOKENS
     )
-    scored = ebm.sequence_log_prob_arrays(pages, "token", "logprob", END, PAD)
-    return scored.select("sample_id", "page", r6("log_prob").alias("log_prob"))
+    scored = ebm.sequence_log_prob_arrays(pages, "token", "logprob", END, PAD, start=F.col("page") * PAGE_TOKENS)
+    return ebm.merge_pages(scored, ["sample_id"], "page").select("sample_id", r6("log_prob").alias("log_prob"), "first_end")
 
 
 def _options(spark, sf_dir):
@@ -106,13 +108,6 @@ ORACLES: dict[str, str] = {
         body=f"SELECT sample_id, {q6(f"sum(CASE WHEN (e IS NULL OR pos <= e) AND (pos = 0 OR token <> '{PAD}') THEN logprob ELSE 0 END)")} AS log_prob, "
         "coalesce(max(e), -1) AS first_end FROM tokens JOIN ends USING (sample_id) GROUP BY sample_id",
     ),
-    "sequence_log_prob_arrays": sql(
-        TOKENS,
-        "paged AS (SELECT sample_id, pos // 1024 AS page, pos % 1024 AS pos, token, logprob FROM tokens)",
-        f"ends AS (SELECT sample_id, page, min(pos) FILTER (token = '{END}') AS e FROM paged GROUP BY 1, 2)",
-        body=f"SELECT sample_id, page, {q6(f"sum(CASE WHEN (e IS NULL OR pos <= e) AND (pos = 0 OR token <> '{PAD}') THEN logprob ELSE 0 END)")} AS log_prob "
-        "FROM paged JOIN ends USING (sample_id, page) GROUP BY sample_id, page",
-    ),
     "ebm_scores": sql(
         PAIRS, _OPTIONS,
         body=f"SELECT pair_id, {q6('ea')} AS ebm_log_a, {q6('eb')} AS ebm_log_b, {q6('pa')} AS ebm_share_a, {q6('1 - pa')} AS ebm_share_b FROM sh",
@@ -136,3 +131,4 @@ ORACLES: dict[str, str] = {
         body=f"SELECT {q6("avg(CASE WHEN preferred = CASE WHEN ea > eb THEN 'A' ELSE 'B' END THEN 1.0 ELSE 0.0 END)")} AS accuracy, count(*) AS n FROM sh",
     ),
 }
+ORACLES["sequence_log_prob_arrays"] = ORACLES["sequence_log_prob"]
