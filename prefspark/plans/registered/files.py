@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from prefspark import schemas
 from prefspark.functions.text import response_length
@@ -20,6 +21,7 @@ SCORES = (
     T.StructType().add("prompt", T.StringType()).add("response", T.StringType()).add("score", T.DoubleType())
 )
 ROWS_PER_DOCUMENT = 1000
+FILES = 5
 
 
 def _plain_pairs(spark, sf_dir):
@@ -68,21 +70,37 @@ def _score_documents(spark, sf_dir, layout):
 
 
 def read_column_json(spark, sf_dir):
+    """Both layouts, each stored twice in one folder: equal documents are documents of their own."""
     found = None
     for layout in ("list", "map"):
         path = work_path(spark, f"columns-{layout}")
-        _score_documents(spark, sf_dir, layout).select("value").write.text(path)
+        documents = _score_documents(spark, sf_dir, layout).select("value")
+        documents.unionByName(documents).coalesce(1).write.text(path)
         rows = json_layouts.read_column_json(spark, path, SCORES, layout).withColumn("layout", F.lit(layout))
         found = rows if found is None else found.unionByName(rows)
     return found.select("layout", "prompt", "response", "score", (F.col("row_index") % ROWS_PER_DOCUMENT).alias("row_index"))
 
 
 def read_many_json(spark, sf_dir):
+    """Files of several documents each, beside files whose name does not match.
+
+    Each part is one file. Names are Spark's own, so row numbers are compared inside each part, and over all by their
+    count.
+    """
     path = work_path(spark, "many")
-    _score_documents(spark, sf_dir, "list").repartition("bucket").write.partitionBy("bucket").text(path)
+    documents = _score_documents(spark, sf_dir, "list").withColumn("part", F.pmod("bucket", F.lit(FILES)))
+    dealt = documents.repartition("part").sortWithinPartitions("part", "bucket").select("value", "part")
+    dealt.write.partitionBy("part").text(path)
+    documents.select("value").write.json(f"{path}/other")
     wanted = SCORES.add("missing", T.StringType())
-    rows = json_layouts.read_many_json(spark, path, r"part-\d+", wanted)
-    return rows.select("prompt", "response", "score", "missing")
+    rows = json_layouts.read_many_json(spark, path, r"part-\d+.*[.]txt$", wanted)
+    part = F.pmod(F.floor(F.split("response", "#")[1].cast("bigint") / ROWS_PER_DOCUMENT), F.lit(FILES))
+    first = F.min("row_index").over(Window.partitionBy(part))
+    numbers = rows.agg(F.count_distinct("row_index").alias("numbers"), (F.max("row_index") + 1).alias("reached"))
+    return rows.select(
+        "prompt", "response", "score", "missing", (F.col("row_index") - first).alias("in_file"), part.alias("part"),
+        numbers.select("numbers").scalar().alias("numbers"), numbers.select("reached").scalar().alias("reached"),
+    )
 
 
 def read_interchange(spark, sf_dir):
@@ -156,11 +174,15 @@ ORACLES: dict[str, str] = {
     "read_keyed_json": "SELECT cast(doc_id AS string) AS row_key, source AS prompt, 2 AS n, md5(text) AS first_md5, lang AS second FROM documents",
     "read_column_json": sql(
         SAMPLES_NUM,
-        body="SELECT 'list' AS layout, prompt, response, score_a AS score, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS row_index FROM samples_num "
-        "UNION ALL SELECT 'map', prompt, response, score_a, event_id % 1000 FROM samples_num",
+        "twice AS (SELECT unnest([1, 2]) AS time)",
+        body="SELECT 'list' AS layout, prompt, response, score_a AS score, row_number() OVER (PARTITION BY time, event_id // 1000 ORDER BY event_id) - 1 AS row_index FROM samples_num, twice "
+        "UNION ALL SELECT 'map', prompt, response, score_a, event_id % 1000 FROM samples_num, twice",
     ),
     "read_many_json": sql(
-        SAMPLES_NUM, body="SELECT prompt, response, score_a AS score, cast(NULL AS string) AS missing FROM samples_num"
+        SAMPLES_NUM,
+        body="SELECT prompt, response, score_a AS score, cast(NULL AS string) AS missing, event_id // 1000 % 5 AS part, "
+        "row_number() OVER (PARTITION BY event_id // 1000 % 5 ORDER BY event_id) - 1 AS in_file, "
+        "count(*) OVER () AS numbers, count(*) OVER () AS reached FROM samples_num",
     ),
     "read_interchange": SELECTION_SQL["bon_candidates"],
     "write_table": sql(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from prefspark.session import settle
+
 
 def _documents(spark: SparkSession, path: str | Sequence[str], pretty: bool, **options: str) -> DataFrame:
     """One row per JSON document: a line of a file, or a whole file when documents span lines."""
@@ -21,6 +23,7 @@ def _documents(spark: SparkSession, path: str | Sequence[str], pretty: bool, **o
             F.col("_metadata.file_name").alias("_file"),
             F.col("_metadata.file_path").alias("_path"),
             F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"),
             "value",
         )
     )
@@ -47,40 +50,34 @@ def write_keyed_json(df: DataFrame, path: str, key: str, bucket: Column) -> None
     )
 
 
+_PLACE = ("_file", "_path", "_start", "_line")
+
+
 def _list_rows(documents: DataFrame, schema: T.StructType) -> DataFrame:
     columns = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema])
     parsed = documents.withColumn("t", F.from_json("value", columns, {"mode": "FAILFAST"}))
     zipped = F.arrays_zip(*[F.coalesce(F.col(f"t.{f.name}"), F.array()).alias(f.name) for f in schema])
-    return parsed.select(
-        "_file", "_path", "_start", "_document", F.posexplode(zipped).alias("_pos", "row")
-    ).select("_file", "_path", "_start", "_document", "_pos", "row.*")
+    return parsed.select(*_PLACE, F.posexplode(zipped).alias("_pos", "row")).select(*_PLACE, "_pos", "row.*")
 
 
 def _map_rows(documents: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cells of every column map side by side, then put together again by row index."""
+    """Rows put together inside their own document, from the union of its columns' keys.
+
+    A column that has all keys lends its cells in key order; only a column with gaps is looked up key by key.
+    """
     columns = T.StructType([T.StructField(f.name, T.MapType(T.StringType(), f.dataType)) for f in schema])
     parsed = documents.withColumn("t", F.from_json("value", columns, {"mode": "FAILFAST"}))
+    held = {f.name: F.coalesce(F.col(f"t.{f.name}"), F.create_map().cast(columns[f.name].dataType)) for f in schema}
+    keys = F.array_sort(F.array_distinct(F.concat(*[F.map_keys(m) for m in held.values()])))
+    keyed = parsed.withColumn("_keys", keys)
 
-    def cells(field: T.StructField) -> Column:
-        def cell(entry: Column) -> Column:
-            values = [
-                (entry["value"] if other.name == field.name else F.lit(None).cast(other.dataType)).alias(other.name)
-                for other in schema
-            ]
-            return F.struct(entry["key"].alias("_row"), *values)
+    def cells(name: str) -> Column:
+        entries = F.array_sort(F.map_entries(held[name]), lambda a, b: F.when(a.key < b.key, -1).when(a.key > b.key, 1).otherwise(0))
+        found = F.transform(F.col("_keys"), lambda k: F.try_element_at(held[name], k))
+        return F.when(F.size(held[name]) == F.size("_keys"), F.transform(entries, lambda e: e["value"])).otherwise(found)
 
-        entries = F.map_entries(F.col(f"t.{field.name}"))
-        return F.coalesce(F.transform(entries, cell), F.array())
-
-    key = ["_file", "_path", "_start", "_document"]
-    return (
-        parsed.select(*key, F.explode(F.concat(*[cells(f) for f in schema])).alias("cell"))
-        .select(*key, "cell.*")
-        .groupBy(*key, "_row")
-        .agg(*[F.first(f.name, ignorenulls=True).alias(f.name) for f in schema])
-        .withColumn("_pos", F.col("_row").cast("bigint"))
-        .drop("_row")
-    )
+    zipped = F.arrays_zip(F.col("_keys").alias("_pos"), *[cells(f.name).alias(f.name) for f in schema])
+    return keyed.select(*_PLACE, F.explode(zipped).alias("row")).select(*_PLACE, "row.*")
 
 
 def read_column_json(
@@ -89,8 +86,7 @@ def read_column_json(
     """Rows of ``{column: […]}`` (``list``) or ``{column: {"0": …}}`` (``map``) documents, with ``row_index``."""
     if layout not in ("list", "map"):
         raise ValueError(f"unknown layout {layout!r}")
-    documents = _documents(spark, path, pretty).withColumn("_document", F.xxhash64("value"))
-    rows = (_list_rows if layout == "list" else _map_rows)(documents, schema)
+    rows = (_list_rows if layout == "list" else _map_rows)(_documents(spark, path, pretty), schema)
     return rows.select(F.col("_pos").cast("bigint").alias("row_index"), *schema.names)
 
 
@@ -99,20 +95,31 @@ def read_many_json(
 ) -> DataFrame:
     """All rows of the list-layout files whose name starts with a match of ``name_regex``.
 
-    A column missing from a file is null. ``row_index`` numbers the rows through all files in name order;
-    only the row counts per file are put in order for that, never the rows.
+    A column missing from a file is null. ``row_index`` numbers the rows through all files in name order and, inside a
+    file, through its documents. Documents are parsed once, into a written table. Documents are numbered inside their
+    file by counted rows; the driver adds up one count per file, a list no longer than the one it read the files by.
     """
-    documents = (
-        _documents(spark, directory, pretty, recursiveFileLookup="true")
-        .where(F.regexp_like("_file", F.lit(f"^(?:{name_regex})")))
-        .withColumn("_document", F.lit(0))
+    documents = _documents(spark, directory, pretty, recursiveFileLookup="true").where(
+        F.regexp_like("_file", F.lit(f"^(?:{name_regex})"))
     )
-    rows = _list_rows(documents, schema)
-    per_file = rows.groupBy("_file", "_path").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_file", "_path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    return rows.join(offsets, ["_file", "_path"]).select(
-        (F.col("_pos") + F.col("_offset")).alias("row_index"), F.col("_file").alias("file_name"), *schema.names
+    rows = settle(_list_rows(documents, schema), "json_rows")
+    per_document = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_file", "_path").orderBy("_start", "_line").rowsBetween(Window.unboundedPreceding, -1)
+    inside = per_document.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    counts = per_document.groupBy("_file", "_path").agg(F.sum("_rows").alias("n")).collect()
+    offsets, reached = [], 0
+    for file in sorted(counts, key=lambda r: (r["_file"], r["_path"])):
+        offsets.append((file["_file"], file["_path"], reached))
+        reached += file.n
+    placed = spark.createDataFrame(offsets, "_file string, _path string, _offset bigint")
+    return (
+        rows.join(inside.drop("_rows"), list(_PLACE))
+        .join(placed, ["_file", "_path"])
+        .select(
+            (F.col("_pos") + F.col("_before") + F.col("_offset")).alias("row_index"),
+            F.col("_file").alias("file_name"),
+            *schema.names,
+        )
     )
 
 
