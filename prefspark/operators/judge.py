@@ -128,18 +128,29 @@ def parse_replies(judged: DataFrame, reply: str = "reply") -> tuple[DataFrame, D
     return judge_scores_to_numbers(scored, "scores")
 
 
+def with_failed(good: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Parsed replies and quarantined ones together: the latter have null scores and ``parse_failed`` set."""
+    held = quarantined.drop("reason").withColumn("parse_failed", F.lit(True))
+    return good.unionByName(held, allowMissingColumns=True)
+
+
 def judge_debias(scored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Mean score of each answer over both orders: ``assistant1`` and ``assistant2``.
 
-    In the swapped order the second score belongs to the first answer. A comparison with only one usable
-    order has null scores.
+    In the swapped order the second score belongs to the first answer. A comparison without exactly one usable reply
+    per order has null scores. Where replies carry ``parse_failed``, a comparison carries it if one of them does.
     """
-    direct = F.col("order") == "direct"
+    direct = F.col("order") == ORDERS[0]
     own = F.when(direct, F.col("score1")).otherwise(F.col("score2"))
     other = F.when(direct, F.col("score2")).otherwise(F.col("score1"))
-    both = F.count(F.lit(1)) == 2
+    usable = F.col("score1").isNotNull() & F.col("score2").isNotNull()
+    counts = [F.count_if(F.col("order") == order) == 1 for order in ORDERS]
+    both = counts[0] & counts[1] & (F.count_if(usable) == 2) & (F.count(F.lit(1)) == 2)
+    carried = []
+    if "parse_failed" in scored.columns:
+        carried.append(F.coalesce(F.bool_or("parse_failed"), F.lit(False)).alias("parse_failed"))
     return scored.groupBy(*key).agg(
-        F.when(both, F.avg(own)).alias("assistant1"), F.when(both, F.avg(other)).alias("assistant2")
+        F.when(both, F.avg(own)).alias("assistant1"), F.when(both, F.avg(other)).alias("assistant2"), *carried
     )
 
 
@@ -153,25 +164,33 @@ def judge_debias_wide(direct: DataFrame, swapped: DataFrame, key: Sequence[str])
     )
 
 
-def preference_rate(judged: DataFrame, by: Sequence[str] = ("model",), chunk: str | None = "chunk") -> DataFrame:
+def preference_rate(
+    judged: DataFrame, by: Sequence[str] = ("model",), chunk: str | None = "chunk", failed_as_tie: bool = False
+) -> DataFrame:
     """Share of comparisons the second answer wins, ties and loses, with the spread of the shares over chunks.
 
-    ``assistant1`` is the baseline and ``assistant2`` the model's candidate.
+    ``assistant1`` is the baseline and ``assistant2`` the model's candidate. ``n`` counts the comparisons with usable
+    scores, ``failed`` the others: null scores, and replies without scores. ``failed_as_tie`` takes replies without
+    scores as the ``0 0`` they were parsed to.
     """
+    usable = F.col("assistant1").isNotNull() & F.col("assistant2").isNotNull()
+    if "parse_failed" in judged.columns and not failed_as_tie:
+        usable = usable & ~F.coalesce("parse_failed", F.lit(False))
     outcome = {
         "win": F.col("assistant2") > F.col("assistant1"),
         "tie": F.col("assistant2") == F.col("assistant1"),
         "loss": F.col("assistant2") < F.col("assistant1"),
     }
-    shares = [F.avg(test.cast("double")).alias(name) for name, test in outcome.items()]
+    shares = [F.avg(F.when(usable, test.cast("double"))).alias(name) for name, test in outcome.items()]
     group = [*by, chunk] if chunk else list(by)
-    per_chunk = judged.groupBy(*group).agg(*shares, F.count(F.lit(1)).alias("n"))
+    per_chunk = judged.groupBy(*group).agg(*shares, F.count_if(usable).alias("n"), F.count_if(~usable).alias("failed"))
     if not chunk:
         return per_chunk
     summary = []
     for name in outcome:
         summary += [F.avg(name).alias(name), F.stddev_samp(name).alias(f"{name}_std")]
-    return per_chunk.groupBy(*by).agg(*summary, F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("n"))
+    totals = [F.sum("n").alias("n"), F.sum("failed").alias("failed")]
+    return per_chunk.groupBy(*by).agg(*summary, F.count(F.lit(1)).alias("chunks"), *totals)
 
 
 def judge_record(judged: DataFrame, key: Sequence[str]) -> DataFrame:

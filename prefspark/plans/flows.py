@@ -100,7 +100,7 @@ def judge_candidates(
     chunked = select.chunk_samples(scored, order_by=order_by)
     candidates = select.bon_candidates(chunked, models, order_by=order_by, by=["chunk"])
     tasks = judge.render_judge_task(candidates, kind=kind, count_words=judge_fn is None)
-    judged, _ = judge.parse_replies(judge.judge_with(tasks, judge_fn))
+    judged = judge.with_failed(*judge.parse_replies(judge.judge_with(tasks, judge_fn)))
     return judge.preference_rate(judge.judge_debias(judged, ["model", "chunk", "prompt"]))
 
 

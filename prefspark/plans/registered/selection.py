@@ -7,8 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import parse_judge_scores, has_judge_scores, parse_rating
-from prefspark.operators import judge, rating, select
-from prefspark.plans import inputs
+from prefspark.operators import judge, rating, reshape, select
+from prefspark.plans import flows, inputs
 from prefspark.plans.registered.common import (
     JUDGE_SCORES,
     PAIRS,
@@ -23,6 +23,7 @@ from prefspark.plans.registered.common import (
 )
 
 ORDER = ("ts", "event_id")
+SIDES = ("chosen", "rejected")
 
 
 def best_of_n(spark, sf_dir):
@@ -61,18 +62,60 @@ def _event_number(answer: str) -> F.Column:
     return F.regexp_extract(answer, "([0-9]+)$", 1).cast("bigint")
 
 
+def _digit_reply(answer1, answer2) -> F.Column:
+    """A judge that scores by the last digit of the event numbers and has no idea about every seventeenth."""
+    first, second = _event_number(answer1), _event_number(answer2)
+    scores = F.concat((first % 10 + 1).cast("string"), F.lit(" "), (second % 10).cast("string"))
+    return F.when(first % 17 == 0, "no idea").otherwise(scores)
+
+
 def preference_rate(spark, sf_dir):
-    """Candidates judged by the last digit of their event number, both orders, then win rates over chunks."""
-    picked = _chunk_candidates(spark, sf_dir)
-    tasks = judge.render_judge_task(picked)
-    reply = F.concat(
-        (_event_number("answer1") % 10 + 1).cast("string"), F.lit(" "), (_event_number("answer2") % 10).cast("string")
-    )
-    judged, _ = judge.parse_replies(tasks.withColumn("reply", reply))
-    debiased = judge.judge_debias(judged, ["model", "chunk", "prompt"])
+    """Candidates judged in both orders, then win rates over chunks."""
+    tasks = judge.render_judge_task(_chunk_candidates(spark, sf_dir))
+    replies = judge.parse_replies(tasks.withColumn("reply", _digit_reply("answer1", "answer2")))
+    return _rates(judge.judge_debias(judge.with_failed(*replies), ["model", "chunk", "prompt"]))
+
+
+def _rates(debiased):
     rates = judge.preference_rate(debiased)
     shares = [r6(f"{o}{s}").alias(f"{o}{s}") for o in ("win", "tie", "loss") for s in ("", "_std")]
-    return rates.select("model", *shares, "chunks", "n")
+    return rates.select("model", *shares, "chunks", "n", "failed")
+
+
+def _digit_judge():
+    """The same judge reading the task's text, as a model would, one call per batch."""
+    numbers = re.compile(r"#([0-9]+)")
+
+    def judged(text: str) -> str:
+        first, second = (int(n) for n in numbers.findall(text)[-2:])
+        return "no idea" if first % 17 == 0 else f"{first % 10 + 1} {second % 10}"
+
+    return lambda texts: [judged(text) for text in texts]
+
+
+def judge_candidates(spark, sf_dir):
+    """Two proxy scores and an external one, which some samples lack: candidates, both orders, win rates."""
+    samples = inputs.samples_num(spark, sf_dir)
+    external = samples.where("event_id % 3 <> 0").select(
+        "prompt", "response", (F.col("event_id") * 7 % 101).cast("double").alias("score")
+    )
+    rates = flows.judge_candidates(samples, ["score_a", "score_b"], ORDER, external, _digit_judge)
+    shares = [r6(f"{o}{s}").alias(f"{o}{s}") for o in ("win", "tie", "loss") for s in ("", "_std")]
+    return rates.select("model", *shares, "chunks", "n", "failed")
+
+
+def judge_record(spark, sf_dir):
+    """Both tasks, both replies and the debiased scores of every comparison of a pair."""
+    compared = inputs.pairs(spark, sf_dir).select(
+        "pair_id", F.col("context").alias("prompt"), F.array("rejected", "chosen").alias("response")
+    )
+    replies = judge.judge_with(judge.render_judge_task(compared, count_words=True))
+    judged = judge.with_failed(*judge.parse_replies(replies))
+    records = judge.judge_record(judged, ["pair_id"])
+    return records.select(
+        "pair_id", F.md5("prompt").alias("prompt_md5"), F.md5("prompt_swap").alias("swap_md5"), "response", "response_swap",
+        "assistant1", "assistant2",
+    )
 
 
 def select_and_judge(spark, sf_dir):
@@ -80,16 +123,21 @@ def select_and_judge(spark, sf_dir):
     compared = inputs.pairs(spark, sf_dir).select(
         "pair_id", F.col("context").alias("prompt"), F.array("rejected", "chosen").alias("response"), "split"
     )
-    judged, _ = judge.parse_replies(judge.judge_with(judge.render_judge_task(compared, count_words=True)))
-    debiased = judge.judge_debias(judged, ["pair_id", "split"])
+    replies = judge.parse_replies(judge.judge_with(judge.render_judge_task(compared, count_words=True)))
+    debiased = judge.judge_debias(judge.with_failed(*replies), ["pair_id", "split"])
     rates = judge.preference_rate(debiased, by=["split"], chunk=None)
-    return rates.select("split", *[r6(o).alias(o) for o in ("win", "tie", "loss")], "n")
+    return rates.select("split", *[r6(o).alias(o) for o in ("win", "tie", "loss")], "n", "failed")
+
+
+def _both_sides(spark, sf_dir):
+    return reshape.pairs_to_long(
+        inputs.pairs(spark, sf_dir).select("pair_id", "context", "chosen", "rejected"), SIDES, [], bare=["response"]
+    )
 
 
 def render_rating_task(spark, sf_dir):
-    pairs = inputs.pairs(spark, sf_dir).select("pair_id", "context", F.col("chosen").alias("response"))
-    tasks = rating.render_rating_task(pairs, kind="shp")
-    return tasks.select("pair_id", "feature_pos", "feature", F.md5("task").alias("task_md5"))
+    tasks = rating.render_rating_task(_both_sides(spark, sf_dir), kind="shp")
+    return tasks.select("pair_id", "side", "feature_pos", "feature", F.md5("task").alias("task_md5"))
 
 
 def render_judge_task(spark, sf_dir):
@@ -149,10 +197,7 @@ def judge_with(spark, sf_dir):
 
 
 def rate_with(spark, sf_dir):
-    long = rating.rate_samples(
-        inputs.pairs(spark, sf_dir).select("pair_id", "context", F.col("chosen").alias("response"))
-    )
-    return long.select("pair_id", "feature", "rating")
+    return rating.rate_samples(_both_sides(spark, sf_dir)).select("pair_id", "side", "feature", "rating")
 
 
 def _count_words():
@@ -162,9 +207,8 @@ def _count_words():
 
 
 def rate_with_plugin(spark, sf_dir):
-    pairs = inputs.pairs(spark, sf_dir).select("pair_id", "context", F.col("rejected").alias("response"))
-    long = rating.rate_samples(pairs, rater=_count_words)
-    return long.select("pair_id", "feature", "rating")
+    long = rating.rate_samples(_both_sides(spark, sf_dir), rater=_count_words)
+    return long.select("pair_id", "side", "feature", "rating")
 
 
 QUERIES: dict[str, Query] = {
@@ -174,6 +218,8 @@ QUERIES: dict[str, Query] = {
     "chunk_samples": chunk_samples,
     "chunk_candidates": chunk_candidates,
     "preference_rate": preference_rate,
+    "judge_candidates": judge_candidates,
+    "judge_record": judge_record,
     "select_and_judge": select_and_judge,
     "render_rating_task": render_rating_task,
     "render_judge_task": render_judge_task,
@@ -197,14 +243,18 @@ chunked AS (SELECT s.*, chunk FROM samples_num s JOIN cnt USING (prompt) CROSS J
 WHERE sample_idx <= least(c, (chunk + 1) * 16) AND sample_idx > least(c, (chunk + 1) * 16) - 16)"""
 
 
-def _candidates(source: str, keys: str) -> str:
-    return f"""models AS (SELECT {keys}, sample_idx, response, 'score_a' AS model, score_a AS score FROM {source} UNION ALL
-SELECT {keys}, sample_idx, response, 'score_b', score_b FROM {source}),
+def _candidates(source: str, keys: str, models: tuple[str, ...] = ("score_a", "score_b")) -> str:
+    each = " UNION ALL ".join(f"SELECT {keys}, sample_idx, response, '{m}' AS model, {m} AS score FROM {source}" for m in models)
+    return f"""models AS ({each}),
 best AS (SELECT model, {keys}, response AS best FROM models QUALIFY row_number() OVER (PARTITION BY model, {keys} ORDER BY score DESC, sample_idx) = 1),
 base AS (SELECT {keys}, response AS baseline FROM {source} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY sample_idx) = 1),
 candidates AS (SELECT model, {keys}, baseline, best FROM best JOIN base USING ({keys}))"""
 
 
+_SIDES_SQL = """sides AS (SELECT pair_id, context, 'chosen' AS side, chosen AS response FROM pairs UNION ALL
+SELECT pair_id, context, 'rejected', rejected FROM pairs)"""
+
+
 def _rating_task_sql(kind: str, response: str, result: str) -> str:
     opening, context_mark, reply_mark = rating._FRAMES[kind]
     rubric = " UNION ALL ".join(
@@ -218,7 +268,8 @@ def _rating_task_sql(kind: str, response: str, result: str) -> str:
         ]
     )
     return sql(
-        PAIRS, f"rubric AS ({rubric})", body=f"SELECT pair_id, feature, {result.format(text)} FROM pairs CROSS JOIN rubric"
+        PAIRS, _SIDES_SQL, f"rubric AS ({rubric})",
+        body=f"SELECT pair_id, side, feature, {result.format(text)} FROM sides CROSS JOIN rubric",
     )
 
 
@@ -239,12 +290,29 @@ def _judge_task_sql() -> str:
     )
 
 
+_RULE = "least(len(regexp_extract_all({0}, '\\S+')) // 15 + 1 + {1}, 10)"
+
+
+def _judge_record_sql() -> str:
+    text = " || ".join(
+        [quote(judge._OPENING), quote(judge._FRAMES["hh"][0]), "context", quote(judge._FRAMES["hh"][1]), "{0}",
+         quote(judge._FRAMES["hh"][2]), "{1}", quote(judge._FRAMES["hh"][3]), quote(judge._CLOSING)]
+    )
+    reply = "cast(" + _RULE.format("{0}", 1) + " AS string) || ' ' || cast(" + _RULE.format("{1}", 0) + " AS string)"
+    mean = "(" + _RULE.format("{0}", 1) + " + " + _RULE.format("{0}", 0) + ") / 2.0"
+    return sql(
+        PAIRS,
+        body=f"SELECT pair_id, md5({text.format('rejected', 'chosen')}) AS prompt_md5, md5({text.format('chosen', 'rejected')}) AS swap_md5, "
+        f"{reply.format('rejected', 'chosen')} AS response, {reply.format('chosen', 'rejected')} AS response_swap, "
+        f"{mean.format('rejected')} AS assistant1, {mean.format('chosen')} AS assistant2 FROM pairs",
+    )
+
+
 _NUMBERS = r"""numbers AS (SELECT o_orderkey, string_split(scores, ' ') AS p FROM judge_scores),
 parsed AS (SELECT o_orderkey, CASE WHEN len(p) = 2 THEN cast(p[1] AS double) END AS score1, CASE WHEN len(p) = 2 THEN cast(p[2] AS double) END AS score2,
 CASE WHEN len(p) <> 2 THEN 'not two scores' END AS reason FROM numbers),
 orders_of AS (SELECT o_orderkey // 2 AS comparison, o_orderkey % 2 AS swapped, score1, score2 FROM parsed WHERE reason IS NULL)"""
 
-_RULE = "least(len(regexp_extract_all({0}, '\\S+')) // 15 + 1 + {1}, 10)"
 
 _JUDGED = rf"""pair_orders AS (SELECT pair_id, split, 'direct' AS "order", rejected AS a1, chosen AS a2 FROM pairs UNION ALL SELECT pair_id, split, 'swapped', chosen, rejected FROM pairs),
 rule AS (SELECT pair_id, split, "order", {_RULE.format('a1', 1)} AS s1, {_RULE.format('a2', 0)} AS s2 FROM pair_orders),
@@ -257,6 +325,18 @@ def _share(test: str) -> str:
 
 _WINS = {"win": "assistant2 > assistant1", "tie": "assistant2 = assistant1", "loss": "assistant2 < assistant1"}
 
+_RATES = (
+    "e AS (SELECT model, chunk, cast(regexp_extract(baseline, '([0-9]+)$', 1) AS bigint) AS x, cast(regexp_extract(best, '([0-9]+)$', 1) AS bigint) AS y FROM candidates)",
+    "d AS (SELECT model, chunk, x % 17 = 0 OR y % 17 = 0 AS failed, (x % 10 + 1 + x % 10) / 2 AS assistant1, (y % 10 + y % 10 + 1) / 2 AS assistant2 FROM e)",
+    "per AS (SELECT model, chunk, "
+    + ", ".join(f"avg(CASE WHEN {t} THEN 1.0 ELSE 0.0 END) FILTER (NOT failed) AS {o}" for o, t in _WINS.items())
+    + ", count(*) FILTER (NOT failed) AS n, count(*) FILTER (failed) AS failed FROM d GROUP BY 1, 2)",
+)
+_RATE_ROWS = (
+    "SELECT model, " + ", ".join(f"{q6(f'avg({o})')} AS {o}, {q6(f'stddev_samp({o})')} AS {o}_std" for o in _WINS)
+    + ", count(*) AS chunks, cast(sum(n) AS bigint) AS n, cast(sum(failed) AS bigint) AS failed FROM per GROUP BY model"
+)
+
 ORACLES: dict[str, str] = {
     "best_of_n": sql(SAMPLES_NUM, _BON, body="SELECT n, best_score_a, best_score_b, response, prompt FROM bon"),
     "bon_curve": sql(
@@ -276,22 +356,21 @@ ORACLES: dict[str, str] = {
     "chunk_candidates": sql(
         SAMPLES_NUM, _CHUNKS, _candidates("chunked", "chunk, prompt"), body="SELECT model, chunk, prompt, baseline, best FROM candidates"
     ),
-    "preference_rate": sql(
-        SAMPLES_NUM,
-        _CHUNKS,
-        _candidates("chunked", "chunk, prompt"),
-        "e AS (SELECT model, chunk, cast(regexp_extract(baseline, '([0-9]+)$', 1) AS bigint) AS x, cast(regexp_extract(best, '([0-9]+)$', 1) AS bigint) AS y FROM candidates)",
-        "d AS (SELECT model, chunk, (x % 10 + 1 + x % 10) / 2 AS assistant1, (y % 10 + y % 10 + 1) / 2 AS assistant2 FROM e)",
-        "per AS (SELECT model, chunk, " + ", ".join(f"{_share(t)} AS {o}" for o, t in _WINS.items()) + ", count(*) AS n FROM d GROUP BY 1, 2)",
-        body="SELECT model, " + ", ".join(f"{q6(f'avg({o})')} AS {o}, {q6(f'stddev_samp({o})')} AS {o}_std" for o in _WINS)
-        + ", count(*) AS chunks, cast(sum(n) AS bigint) AS n FROM per GROUP BY model",
+    "preference_rate": sql(SAMPLES_NUM, _CHUNKS, _candidates("chunked", "chunk, prompt"), *_RATES, body=_RATE_ROWS),
+    "judge_candidates": sql(
+        SAMPLES_NUM.replace("samples_num AS", "all_samples AS", 1),
+        "samples_num AS (SELECT prompt, row_number() OVER (PARTITION BY prompt ORDER BY sample_idx) AS sample_idx, event_id, response, score_a, score_b, "
+        "event_id * 7 % 101 AS external FROM all_samples WHERE event_id % 3 <> 0)",
+        _CHUNKS, _candidates("chunked", "chunk, prompt", ("score_a", "score_b", "external")), *_RATES, body=_RATE_ROWS,
     ),
+    "judge_record": _judge_record_sql(),
     "select_and_judge": sql(
         PAIRS, _JUDGED,
-        body="SELECT split, " + ", ".join(f"{q6(_share(t))} AS {o}" for o, t in _WINS.items()) + ", count(*) AS n FROM debiased GROUP BY split",
+        body="SELECT split, " + ", ".join(f"{q6(_share(t))} AS {o}" for o, t in _WINS.items())
+        + ", count(*) AS n, cast(0 AS bigint) AS failed FROM debiased GROUP BY split",
     ),
-    "render_rating_task": _rating_task_sql("shp", "chosen", "feature_pos, md5({0}) AS task_md5"),
-    "rate_with_plugin": word_rating_sql("rejected"),
+    "render_rating_task": _rating_task_sql("shp", "response", "feature_pos, md5({0}) AS task_md5"),
+    "rate_with_plugin": word_rating_sql("response"),
     "render_judge_task": _judge_task_sql(),
     "parse_rating": sql(
         RATING_REPLIES, body=r"SELECT event_id, try_cast(nullif(regexp_extract(reply, '^\d+'), '') AS bigint) AS rating FROM rating_replies"
@@ -317,6 +396,9 @@ ORACLES: dict[str, str] = {
     ),
     "rate_with": sql(
         RATED,
-        body=" UNION ALL ".join(f"""SELECT pair_id, '{f}' AS feature, "{f}_chosen" AS rating FROM rated""" for f in rating.RUBRIC_FEATURES),
+        body=" UNION ALL ".join(
+            f"""SELECT pair_id, '{side}' AS side, '{f}' AS feature, "{f}_{side}" AS rating FROM rated"""
+            for f in rating.RUBRIC_FEATURES for side in SIDES
+        ),
     ),
 }
