@@ -34,7 +34,8 @@ def line_dedup(
 ) -> DataFrame:
     """Per row ``doc_id, n_lines, n_dropped, kept_text``: lines in ``min_docs`` documents stay in the largest id only.
 
-    Lines are exploded to (document, position, 128-bit digest of the normalised line); texts stay behind. Documents of
+    Lines are exploded once to a written table (document, position, 128-bit digest of the normalised line); texts stay
+    behind. Documents of
     a digest are counted over distinct (digest, document), first combined inside each task, so a line that a third of
     all documents hold is never one task's group. Digests over the limit are written first, so their size is known:
     Spark broadcasts them where they are few and splits skewed join partitions where they are not. The positions to drop come back as one array per document, and the
@@ -46,11 +47,12 @@ def line_dedup(
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n", -1).alias("lines"))
-    keyed = (
+    keyed = settle(
         split.select("doc_id", "text_key", F.posexplode("lines").alias("pos", "line"))
         .select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("line"))
         .where(F.char_length("line") >= min_chars)
-        .select("doc_id", "text_key", "pos", F.unhex(F.md5("line")).alias("key"))
+        .select("doc_id", "text_key", "pos", F.unhex(F.md5("line")).alias("key")),
+        "line_keys",
     )
     common = settle(
         keyed.select("key", "doc_id")
