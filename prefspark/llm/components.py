@@ -8,33 +8,27 @@ from pyspark.sql import functions as F
 from prefspark.session import settle
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one edge and no ``v`` is a ``u``: then each ``v`` is the component of its ``u``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("starts"), F.lit(0).alias("stops")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("starts"), F.lit(1).alias("stops"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("starts").alias("starts"), F.max("stops").alias("stops"))
+    return seen.where("starts > 1 OR (starts = 1 AND stops = 1)").isEmpty()
 
-def _to_smallest(pairs: DataFrame, keep_self: bool) -> DataFrame:
-    """Edges from the neighbours of each ``u`` in ``pairs`` to the smallest of them (and of ``u`` itself).
 
-    The smallest ones are written first: their size is then known, and Spark broadcasts them or splits skewed joins.
-    """
-    least = settle(
-        pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "smallest"
-    )
-    moved = pairs.join(least, "u")
-    if keep_self:
-        moved = moved.where(F.col("v") != F.col("m"))
-        return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-    return moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _smallest(pairs: DataFrame) -> DataFrame:
+    """``u, m``: the smallest of ``u`` and its neighbours. Written, so that its size is known: Spark then broadcasts it
+    or splits skewed partitions of the join."""
+    return settle(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "smallest")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for the nodes of ``edges(u, v)``: the smallest node that each one reaches.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest neighbour, and
-    every node and its smaller neighbours go to the smallest of these. Edges never multiply, minima are combined before
-    the shuffle, and each round is written to the shared folder. Loops and repeated edges do no harm.
+    Alternates two steps until all edges form stars: every node hands its larger neighbours to its smallest neighbour,
+    then every node and its smaller neighbours go to the smallest of these. Edges never multiply, minima are combined
+    before the shuffle, and each round is written to the shared folder. Loops and repeated edges do no harm.
     """
     edges = settle(
         edges.where(F.col("u") != F.col("v"))
@@ -42,14 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = _mark(edges)
-    while before.n:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = settle(_to_smallest(both, keep_self=False).where(F.col("u") != F.col("v")).distinct(), "large_star")
-        edges = settle(_to_smallest(large, keep_self=True).where(F.col("u") != F.col("v")).distinct(), "small_star")
-        after = _mark(edges)
-        if (after.n, after.h) == (before.n, before.h):
-            break
-        before = after
+        larger = both.where(F.col("v") > F.col("u")).join(_smallest(both), "u")
+        large = settle(larger.select(F.col("v").alias("u"), F.col("m").alias("v")), "large_star")
+        least = _smallest(large)
+        passed = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), "m")
+        small = passed.unionByName(least).select("u", F.col("m").alias("v"))
+        edges = settle(small.where(F.col("u") != F.col("v")).distinct(), "small_star")
     ends = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ BATCH = 24
 MISS = 1e-6
 #: Sizes of working blocks; none changes a result.
 TILE = 1_024
+TEXT_TILE = 256
 PARTNERS = 256
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -141,13 +142,9 @@ def band_entries(representatives: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = _table(batch.column("signature")).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), table.shape[:2]).copy()
-            for i in range(ROWS):
-                keys = _mixed(keys * _BASE + table[:, :, i])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys.ravel().view(np.int64)),
+                    pa.array(band_keys(_table(batch.column("signature"))).ravel()),
                     pa.array(np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), BANDS)),
                 ],
                 names=["key", "doc"],
@@ -156,6 +153,21 @@ def band_entries(representatives: DataFrame) -> DataFrame:
     return representatives.select("doc", "signature").mapInArrow(run, "key bigint, doc bigint")
 
 
+def band_keys(table: np.ndarray) -> np.ndarray:
+    """64-bit key of each band of each signature; the number of the band is part of it."""
+    bands = table.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2]).copy()
+    for i in range(ROWS):
+        keys = _mixed(keys * _BASE + bands[:, :, i])
+    return keys.view(np.int64)
+
+
+def _texts_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, text`` of some documents. Their ids are written first: few of them are broadcast, and no text moves."""
+    wanted = settle(docs.distinct(), "wanted")
+    return settle(texts.join(wanted, "doc").groupBy("doc").agg(F.max("text").alias("text")), "near_texts")
+
+
 def _prune(pairs: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that pass the sequential comparison of their signatures."""
     a = representatives.select(F.col("doc").alias("a"), F.col("signature").alias("sa"))
@@ -173,16 +185,11 @@ def _prune(pairs: DataFrame, representatives: DataFrame, threshold: float) -> Da
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole shingle sets reach the threshold.
 
-    A document with many partners is compared in blocks of about PARTNERS; its text travels once for each block, and a
-    task holds its set and one partner at a time.
+    A document ``a`` with many partners is compared with them in blocks of about PARTNERS; its text travels once for each
+    block, and a task holds its set and one partner at a time.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    found = settle(
-        texts.join(settle(wanted, "wanted"), "doc").groupBy("doc").agg(F.max("text").alias("text")), "near_texts"
-    )
-    blocks = settle(
-        pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks")), "near_blocks"
-    )
+    found = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")), texts)
+    blocks = settle(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks")), "near_blocks")
     partners = pairs.join(blocks, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc")
     )
@@ -218,54 +225,50 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _tiles(open_entries: DataFrame, representatives: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Candidates between different components of one bucket, compared in tiles of at most TILE x TILE.
-
-    A bucket's rows are dealt to blocks and each pair of blocks is one tile, so no task holds a bucket. With
-    ``best_only`` a document proposes only its closest partner in every other component of the tile.
-    """
-    sizes = settle(open_entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks")), "near_buckets")
-    mine = F.pmod(F.xxhash64("doc", "key"), F.col("blocks"))
-    dealt = (
-        open_entries.join(sizes, "key")
-        .withColumn("own", mine)
+def _dealt(members: DataFrame, size: int) -> DataFrame:
+    """Members of each bucket dealt to blocks of about ``size``; each pair (i, j) of blocks is one tile of its rows."""
+    blocks = settle(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks")), "near_buckets")
+    return (
+        members.join(blocks, "key")
+        .withColumn("own", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select(
             "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component"
         )
-        .join(representatives.select("doc", "signature"), "doc")
-        .select("key", "i", "j", "own", "doc", "component", "signature")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
     )
-    first_least = least_matches(threshold)[BATCH]
-
-    def tile(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        rows = pa.Table.from_batches(rows)
-        i, j, own, doc, part = (rows[n].to_numpy() for n in ("i", "j", "own", "doc", "component"))
-        table = _table(rows["signature"].combine_chunks())
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        a, b = [], []
-        for at in range(0, len(left), 128):
-            some = left[at : at + 128]
-            same = np.zeros((len(some), len(right)), dtype=np.int16)
-            for k in range(BATCH):
-                same += table[some, k][:, None] == table[right, k][None, :]
-            x, y = np.nonzero((same >= first_least) & (part[some][:, None] != part[right][None, :]))
-            a.append(some[x])
-            b.append(right[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        alive, matches = survivors(table[a], table[b], threshold)
-        a, b = a[alive], b[alive]
-        if best_only and len(a):
-            order = np.argsort(-matches, kind="stable")
-            a, b = a[order], b[order]
-            to_b = np.unique(np.stack([doc[a], part[b]]), axis=1, return_index=True)[1]
-            to_a = np.unique(np.stack([doc[b], part[a]]), axis=1, return_index=True)[1]
-            chosen = np.union1d(to_a, to_b)
-            a, b = a[chosen], b[chosen]
-        return np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+
+
+def _tile_pairs(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers and matches of the pairs of a tile that lie in different components and pass the pruning.
+
+    A pair that shares several buckets belongs to that of the first band in which it agrees.
+    """
+    i, j, own, part = (rows[n].to_numpy() for n in ("i", "j", "own", "component"))
+    table, key = _table(rows["signature"].combine_chunks()), np.int64(rows["key"][0].as_py())
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    least = least_matches(threshold)[BATCH]
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(left), 128):
+        some = left[at : at + 128]
+        same = np.zeros((len(some), len(right)), dtype=np.int16)
+        for k in range(BATCH):
+            same += table[some, k][:, None] == table[right, k][None, :]
+        x, y = np.nonzero((same >= least) & (part[some][:, None] != part[right][None, :]))
+        a.append(some[x])
+        b.append(right[y])
+    a, b = np.concatenate(a), np.concatenate(b)
+    if (i == j).all():
+        a, b = a[a < b], b[a < b]
+    alive, matches = survivors(table[a], table[b], threshold)
+    a, b = a[alive], b[alive]
+    bands = (table[a] == table[b]).reshape(-1, BANDS, ROWS).all(axis=2)
+    here = band_keys(table[a])[np.arange(len(a)), bands.argmax(axis=1)] == key
+    return a[here], b[here], matches[here]
+
+
+def _by_tile(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on each tile. Rows of a tile arrive together, and a task holds one tile at a time."""
+    names = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,20 +276,82 @@ def _tiles(open_entries: DataFrame, representatives: DataFrame, threshold: float
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(n).to_numpy() for n in range(3)], axis=1)
+            keys = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if current is not None and tuple(keys[start]) != current:
-                    a, b = tile(held)
+                if held and tuple(keys[start]) != current:
+                    yield work(pa.Table.from_batches(held))
                     held = []
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 current = tuple(keys[start])
                 held.append(batch.slice(start, end - start))
         if held:
-            a, b = tile(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
+def _undecided(members: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
+    """``key, doc, component`` of the members that have a candidate of another component in the bucket."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        a, b, _ = _tile_pairs(rows, threshold)
+        chosen = rows.select(["key", "doc", "component"]).take(np.union1d(a, b)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in chosen.columns], names=chosen.column_names)
+
+    rows = _dealt(members, TILE).join(representatives, "doc")
+    return _by_tile(rows, work, "key bigint, doc bigint, component bigint").distinct()
+
+
+def _tile_links(rows: pa.Table, threshold: float, percent: int, hashes: WordHashes) -> pa.RecordBatch:
+    """Links that join components of a tile: closest candidates first, and none inside what is already joined."""
+    a, b, matches = _tile_pairs(rows, threshold)
+    doc, part = rows["doc"].to_numpy(), rows["component"].to_numpy()
+    used, place = np.unique(np.r_[a, b]), {}
+    sets = [shingle_set(rows["text"][int(r)].as_py() or "", hashes) for r in used]
+    sizes = [len(s) for s in sets]
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, dtype=np.int64)
+    ends = np.cumsum(sizes).tolist()
+    for r, end, n in zip(used.tolist(), ends, sizes):
+        place[r] = numbers[end - n : end]
+    marked = np.zeros(int(numbers.max()) + 1 if len(numbers) else 0, dtype=bool)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    u, v = [], []
+    order = np.lexsort((b, a, -matches))
+    last = None
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        p, q = root(int(part[x])), root(int(part[y]))
+        if p == q:
+            continue
+        if x != last:
+            if last is not None:
+                marked[place[last]] = False
+            marked[place[x]] = True
+            last = x
+        shared = int(np.count_nonzero(marked[place[y]]))
+        if 100 * shared >= percent * (len(place[x]) + len(place[y]) - shared):
+            parent[max(p, q)] = min(p, q)
+            u.append(int(doc[x]))
+            v.append(int(doc[y]))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _links_between(
+    undecided: DataFrame, representatives: DataFrame, texts: DataFrame, threshold: float, percent: int
+) -> DataFrame:
+    """Links between components among undecided members, compared on whole sets inside their tiles."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        return _tile_links(rows, threshold, percent, WordHashes())
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    found = _texts_of(undecided.select("doc"), texts)
+    rows = _dealt(undecided, TEXT_TILE).join(representatives, "doc").join(found, "doc")
+    return _by_tile(rows, work, "u bigint, v bigint")
 
 
 def near_dedup(
@@ -298,9 +363,10 @@ def near_dedup(
        class, represented by its smallest id; further on only representatives count.
     2. Signatures that agree in a band share a bucket. Candidates are compared batch by batch of signature values and
        dropped once similarity at the threshold has a posterior chance below MISS; survivors are compared on whole sets.
-    3. Pairs of a bucket are never all written. First every member is compared with the bucket's smallest id, then,
-       where a bucket still holds several components, with its largest. What is left open is compared in tiles between
-       components, closest partners first, then all that remain. A bucket inside one component needs no more pairs.
+    3. Pairs of a bucket are never written. First every member is compared with the bucket's smallest id. A bucket inside
+       one component needs no more. Where several are left, members of different components are compared in tiles of
+       bounded size: signatures find the members that have such a candidate, and these meet again with their texts, so
+       that a tile compares whole sets itself and only returns links that join components.
 
     Results do not depend on the order of the steps; a link is missed only where no band agrees (chance (1 - s^5)^24,
     3 in 10 million at s = 0.85) or by the pruning. Null, empty and blank texts have no shingle and link with nothing.
@@ -324,46 +390,22 @@ def near_dedup(
     shared = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared_keys")
     buckets = settle(entries.join(shared, "key"), "buckets")
     spark = df.sparkSession
-    edges = spark.createDataFrame([], "u bigint, v bigint")
     labels = spark.createDataFrame([], "node bigint, component bigint")
-    tested = spark.createDataFrame([], "a bigint, b bigint")
-
-    def open_entries() -> DataFrame:
-        """Members, with their components, of buckets that hold more than one component."""
-        placed = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", F.coalesce("component", "doc").alias("component")
-        )
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return placed.join(settle(mixed.where("low < high").select("key"), "open_keys"), "key")
-
-    for step in ("smallest", "largest", "closest", "rest"):
-        members = settle(open_entries(), "open_entries")
-        if members.isEmpty():
-            break
-        if step in ("smallest", "largest"):
-            pick = F.min("doc") if step == "smallest" else F.max("doc")
-            hubs = settle(members.groupBy("key").agg(pick.alias("hub")), "hubs")
-            of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            hubs = settle(hubs.join(of_hub, "hub", "left"), "placed_hubs")
-            pairs = (
-                members.join(hubs, "key")
-                .where(F.col("component") != F.coalesce("hub_component", "hub"))
-                .select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-                .distinct()
-            )
-            pairs = settle(_prune(pairs, representatives, threshold), "candidates")
-        else:
-            pairs = settle(_tiles(members, representatives, threshold, step == "closest").distinct(), "candidates")
-        fresh = pairs.join(
-            tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"
-        )
-        fresh = settle(fresh, "fresh_pairs")
-        if fresh.isEmpty():
-            continue
-        tested = tested.unionByName(fresh)
-        found = settle(_verify(fresh, texts, percent), "links")
-        edges = edges.unionByName(found)
-        labels = settle(components(edges), "labels")
+    hubs = settle(buckets.groupBy("key").agg(F.min("doc").alias("a")), "hubs")
+    pairs = buckets.join(hubs, "key").where("doc != a").select("a", F.col("doc").alias("b")).distinct()
+    candidates = settle(_prune(pairs, representatives, threshold), "candidates")
+    if not candidates.isEmpty():
+        labels = settle(components(_verify(candidates, texts, percent)), "labels")
+    placed = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "key", "doc", F.coalesce("component", "doc").alias("component")
+    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    members = settle(placed.join(settle(mixed.where("low < high").select("key"), "open_keys"), "key"), "open_members")
+    undecided = settle(_undecided(members, representatives, threshold), "undecided")
+    if not undecided.isEmpty():
+        links = _links_between(undecided, representatives, texts, threshold, percent)
+        known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels = settle(components(known.unionByName(links)), "labels")
     placed = (
         profile.select("doc_id", "n", "digest")
         .join(classes, "digest", "left")
