@@ -15,20 +15,38 @@ def keyed_draw(seed: int, key: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+SLOT_ROWS = 65_536
+MAX_SLOTS = 1_024
+PROBES = 20_000
+
+
+def counted_slots(df: DataFrame, key: str, slot_rows: int | None = None) -> Column:
+    """Number of the key range that a row falls into, for ranges of about ``slot_rows`` rows whatever the keys are.
+
+    Cuts come from a hash-ordered sample of the keys of bounded size, hence are the same on every run. Rows of one key
+    share a slot. Beyond MAX_SLOTS ranges, slots grow with the table.
+    """
+    slots = min(MAX_SLOTS, -(-df.count() // (slot_rows or SLOT_ROWS)))
+    if slots < 2:
+        return F.lit(0)
+    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
+    sample = sorted(r.k for r in keys.orderBy(F.xxhash64("k"), "k").limit(PROBES).collect())
+    cuts = sorted({sample[len(sample) * i // slots] for i in range(1, slots)}) if sample else []
+    if not cuts:
+        return F.lit(0)
+    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))))
+
+
 def with_position(
-    df: DataFrame,
-    group: Sequence[str],
-    order_by: Sequence[str],
-    slot: Column,
-    out: str = "position",
+    df: DataFrame, group: Sequence[str], order_by: Sequence[str], out: str = "position", slot_rows: int | None = None
 ) -> DataFrame:
     """Number the rows of each group 1, 2, … in ``order_by`` order without sorting a whole group in one task.
 
-    ``slot`` is a non-decreasing function of the order (for example a key range or a day). Rows are ranked
-    inside (group, slot); the rank then moves up by the number of rows in the earlier slots of the group, which
-    is counted with a partial aggregate. Choose the slot so that one (group, slot) fits a task.
+    The range of the first order column is cut into slots of counted size. Rows are ranked inside (group, slot); the
+    rank then moves up by the number of rows in the earlier slots of the group, which is counted with a partial
+    aggregate.
     """
-    slotted = df.withColumn("_slot", slot)
+    slotted = df.withColumn("_slot", counted_slots(df, order_by[0], slot_rows))
     earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         slotted.groupBy(*group, "_slot")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from prefspark.functions.ordering import key_at_rank, keyed_draw
 from prefspark.functions.text import (
@@ -170,19 +171,18 @@ def drop_duplicates(
 ) -> DataFrame:
     """Distinct rows, or the first row per ``on`` in ``keep_first_by`` order.
 
-    The first row is an aggregate that combines before the shuffle, so many copies of one key cost one row
-    per task. A digest leads the grouping key, so that long keys sort by eight bytes.
+    The rank filter lets Spark keep one row per key and task before the shuffle, so many copies of one key cost one
+    row per task. A digest leads the key, so that long keys are told apart by eight bytes.
     """
     if on is None:
         return df.dropDuplicates()
     if not keep_first_by:
         raise ValueError("keep_first_by must name the order that makes a row the first")
-    rest = [c for c in df.columns if c not in on]
-    if not rest:
+    if not [c for c in df.columns if c not in on]:
         return df.dropDuplicates()
-    first = F.min_by(F.struct(*rest), F.struct(*keep_first_by))
-    kept = df.groupBy(F.xxhash64(*on).alias("_digest"), *on).agg(first.alias("_first"))
-    return kept.select(*[c if c in on else F.col("_first")[c].alias(c) for c in df.columns])
+    copies = Window.partitionBy("_digest", *on).orderBy(*keep_first_by)
+    ranked = df.withColumn("_digest", F.xxhash64(*on)).withColumn("_copy", F.row_number().over(copies))
+    return ranked.where(F.col("_copy") == 1).drop("_digest", "_copy")
 
 
 def split_prompt_response(

@@ -91,10 +91,9 @@ def pairwise_fit_concat(
     return _single_fit(df, features, C, penalty, label, "concatenation", name)
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, folds: int, slot_keys: int = 65_536) -> DataFrame:
-    """Add ``fold``: rows of each label dealt out in key order. ``key`` is an integer; a slot is a range of keys."""
-    slot = F.floor(F.col(key) / slot_keys)
-    dealt = with_position(df, [label], [key], slot, "_position")
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
+    """Add ``fold``: rows of each label dealt out in key order."""
+    dealt = with_position(df, [label], [key], "_position")
     return dealt.withColumn("fold", F.pmod(F.col("_position") - 1, F.lit(folds)).cast("int")).drop("_position")
 
 
@@ -244,8 +243,8 @@ def fit_settings(
         trial[kept[moving]] = target[moving]
         active = np.concatenate([back, kept[moving]])
         if not len(active):
-            break
-    return best
+            return best
+    raise RuntimeError(f"{len(active)} of {len(settings)} fits have not settled after {max_passes} passes")
 
 
 def _fold_accuracy(rows: DataFrame, weights: np.ndarray, settings: Sequence[Setting], wide: bool) -> np.ndarray:

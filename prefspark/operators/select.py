@@ -51,12 +51,13 @@ def best_of_n(
 ) -> DataFrame:
     """Per prompt and size n: among its first n rows the one with the highest ``select_by`` score, the first on a tie.
 
-    A prompt with fewer than n rows uses all of them. NaN counts as the highest score.
+    A prompt with fewer than n rows uses all of them. A row with a NaN or null score is chosen only where all are such.
     """
     head = _head(df, prompt, order_by, max(sizes))
     running = Window.partitionBy(prompt).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    usable = F.when(~F.isnan(F.col(select_by).cast("double")), F.col(select_by))
     candidate = F.struct(
-        F.col(select_by).alias("a"), (-F.col("_rank")).alias("order"), F.col(other).alias("b"), F.col(response).alias("r")
+        usable.alias("a"), (-F.col("_rank")).alias("order"), F.col(other).alias("b"), F.col(response).alias("r")
     )
     reached = F.filter(
         F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: F.least(n.cast("bigint"), F.col("_rows")) == F.col("_rank")

@@ -155,7 +155,10 @@ def pair_losses(
 
 
 def score_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson r of two score columns with the row count and the t statistic of r = 0."""
+    """Pearson r of two score columns with the row count, the t statistic of r = 0 and its two-sided p-value.
+
+    The p-value is taken from the one summary row of each group by a small function; no scored row goes through it.
+    """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     r = F.corr(a, b)
     n = F.count(F.when(both, 1))
@@ -163,7 +166,8 @@ def score_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) ->
     table = df.groupBy(*by).agg(*summary) if by else df.agg(*summary)
     r, n = F.col("r"), F.col("n")
     t = r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
-    return table.withColumn("t", F.when(n > 2, t))
+    p = F.udf(lambda r, n: None if r is None else correlation_p_value(r, n), "double")
+    return table.withColumn("t", F.when(n > 2, t)).withColumn("p", p("r", "n"))
 
 
 def correlation_p_value(r: float, n: int) -> float:

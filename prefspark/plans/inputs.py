@@ -11,7 +11,6 @@ from prefspark.functions.ordering import keyed_draw, with_position
 from prefspark.functions.text import ASSISTANT, HUMAN
 from prefspark.session import settle, spread
 
-SLOT_KEYS = 65_536
 #: Roles whose turns make up a transcript: preference data knows these two headers.
 DIALOGUE_ROLES = ("user", "assistant")
 
@@ -32,8 +31,7 @@ def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     described = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     labelled = described.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    slot = F.floor(F.col("doc_id") / SLOT_KEYS)
-    ranked = settle(with_position(labelled, ["lang", "quality"], ["doc_id"], slot, "rn"), "ranked_documents")
+    ranked = settle(with_position(labelled, ["lang", "quality"], ["doc_id"], "rn"), "ranked_documents")
     good = ranked.where("quality = 1").select("doc_id", "lang", "source", "rn")
     bad = ranked.where("quality = 0").select("lang", F.col("rn").alias("bad_rn"), F.col("doc_id").alias("rejected_id"))
     per_lang = ranked.where("quality = 0").groupBy("lang").agg(F.count(F.lit(1)).alias("nb"))
@@ -66,7 +64,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered_documents(df: DataFrame) -> DataFrame:
     """Add ``sample_idx``, the number of a document among those of its source (``prompt``)."""
-    return with_position(df, ["prompt"], ["doc_id"], F.floor(F.col("doc_id") / SLOT_KEYS), "sample_idx")
+    return with_position(df, ["prompt"], ["doc_id"], "sample_idx")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +144,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sequences with log-probabilities; end token ``purchase``, pad token ``error``."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    ranked = with_position(events, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "rank")
+    ranked = with_position(events, ["user_id"], ["ts", "event_id"], "rank")
     return ranked.select(
         F.col("user_id").alias("sample_id"),
         (F.col("rank") - 1).alias("pos"),

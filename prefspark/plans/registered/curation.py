@@ -83,8 +83,12 @@ def round_features(spark, sf_dir):
 def select_features(spark, sf_dir):
     names = curate.select_features(RUBRIC_FEATURES, prefix="zeroshot_", subset="short")
     rated = rate_pairs_wide(inputs.pairs(spark, sf_dir), prefix="zeroshot_")
-    wide = reshape.feature_array(rated, names, "chosen")
-    return wide.select("pair_id", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(len(names))])
+    for side in ("chosen", "rejected"):
+        rated = reshape.feature_array(rated, names, side, out=f"features_{side}")
+    return rated.select(
+        "pair_id",
+        *[F.get(f"features_{s}", F.lit(i)).alias(f"f{i}_{s}") for s in ("chosen", "rejected") for i in range(len(names))],
+    )
 
 
 def drop_duplicates(spark, sf_dir):
@@ -204,7 +208,9 @@ SELECT conv_id, cast(count(*) AS integer) AS parts, md5(string_agg(text, '|' ORD
     "round_features": "SELECT event_id, round_even(value, 0) AS value, round_even(floor(value) + 0.5, 0) AS half FROM events",
     "select_features": sql(
         RATED,
-        body='SELECT pair_id, "readability_chosen"::double AS f0, "enough-detail_chosen"::double AS f1, "fail-to-consider-context_chosen"::double AS f2 FROM rated',
+        body='SELECT pair_id, "readability_chosen"::double AS f0_chosen, "enough-detail_chosen"::double AS f1_chosen, '
+        '"fail-to-consider-context_chosen"::double AS f2_chosen, "readability_rejected"::double AS f0_rejected, '
+        '"enough-detail_rejected"::double AS f1_rejected, "fail-to-consider-context_rejected"::double AS f2_rejected FROM rated',
     ),
     "drop_duplicates": sql(
         SAMPLES,

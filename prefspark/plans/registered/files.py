@@ -13,7 +13,7 @@ from prefspark.operators import select
 from prefspark.plans import inputs
 from prefspark.plans.registered.common import PAIRS, SAMPLES_NUM, Query, r6, sql
 from prefspark.plans.registered.selection import ORACLES as SELECTION_SQL
-from prefspark.session import work_path
+from prefspark.session import settle, work_path
 from prefspark.sources import json_layouts, sinks, tables
 from prefspark.streaming.resumable import process_new_files
 
@@ -114,7 +114,7 @@ def read_interchange(spark, sf_dir):
 
 
 def write_table(spark, sf_dir):
-    pairs = _plain_pairs(spark, sf_dir)
+    pairs = settle(_plain_pairs(spark, sf_dir), "plain_pairs")
     found = None
     for format in sinks.FORMATS:
         path = work_path(spark, f"table-{format}")
@@ -152,10 +152,13 @@ def resumable_stream(spark, sf_dir):
         pairs.where(F.col("split") == split).write.mode("append").parquet(source)
         process_new_files(
             spark, source, schemas.pairs(),
-            lambda rows: rows.withColumn("length", response_length("chosen")).select("pair_id", "split", "length"),
+            lambda rows: rows.select(
+                "pair_id", "split", *[response_length(side).alias(f"length_{side}") for side in ("chosen", "rejected")]
+            ),
             target, marks,
         )
-    return spark.read.parquet(target).select("pair_id", "split", r6("length").alias("length"))
+    lengths = [r6(f"length_{side}").alias(f"length_{side}") for side in ("chosen", "rejected")]
+    return spark.read.parquet(target).select("pair_id", "split", *lengths)
 
 
 QUERIES: dict[str, Query] = {
@@ -191,5 +194,9 @@ ORACLES: dict[str, str] = {
     ),
     "write_no_clobber": sql(PAIRS, body=f"SELECT {_DIGESTS} FROM pairs"),
     "resumable_write": sql(PAIRS, body=f"SELECT {_DIGESTS} FROM pairs"),
-    "resumable_stream": sql(PAIRS, body="SELECT pair_id, split, round(length(chosen) / 100.0, 6) AS length FROM pairs"),
+    "resumable_stream": sql(
+        PAIRS,
+        body="SELECT pair_id, split, round(length(chosen) / 100.0, 6) AS length_chosen, "
+        "round(length(rejected) / 100.0, 6) AS length_rejected FROM pairs",
+    ),
 }

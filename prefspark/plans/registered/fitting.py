@@ -121,7 +121,8 @@ def _normalized(model) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "annotate_pairs": f"""WITH c AS ({word_rating_sql("chosen")}), r AS ({word_rating_sql("rejected")})
+    "annotate_pairs": f"""WITH a AS ({word_rating_sql("response")}),
+c AS (SELECT * FROM a WHERE side = 'chosen'), r AS (SELECT * FROM a WHERE side = 'rejected')
 SELECT pair_id, max(CASE WHEN feature = 'helpfulness' THEN c.rating END) AS helpfulness_chosen,
 max(CASE WHEN feature = 'helpfulness' THEN r.rating END) AS helpfulness_rejected, cast(sum(c.rating - r.rating) AS bigint) AS lead
 FROM c JOIN r USING (pair_id, feature) GROUP BY pair_id""",

@@ -179,21 +179,27 @@ def cross_fit_attach(spark, sf_dir):
 
 
 def _score_table(spark, sf_dir):
-    """Scores for the texts in English; the other samples have none, and repeated texts have several."""
-    documents = inputs.documents(spark, sf_dir, "doc_id", "source", "text", "lang", "n_chars").where("lang = 'en'")
+    """Scores for all texts; repeated texts have several."""
+    documents = inputs.documents(spark, sf_dir, "doc_id", "source", "text", "n_chars")
     return documents.select(
         F.col("source").alias("prompt"), F.col("text").alias("response"), (F.col("n_chars") / 10).alias("score"), "doc_id"
     )
 
 
+def _edited_samples(spark, sf_dir):
+    """Samples of which every fourth was edited since the scores were taken."""
+    edited = F.when(F.col("doc_id") % 4 == 0, F.concat("response", F.lit(" (edited)"))).otherwise(F.col("response"))
+    return inputs.samples(spark, sf_dir).withColumn("response", edited)
+
+
 def attach_scores_inner(spark, sf_dir):
-    scored = joins.attach_scores_inner(inputs.samples(spark, sf_dir), _score_table(spark, sf_dir).drop("doc_id"))
+    scored = joins.attach_scores_inner(_edited_samples(spark, sf_dir), _score_table(spark, sf_dir).drop("doc_id"))
     return scored.select("prompt", "sample_idx", "score")
 
 
 def attach_features_left(spark, sf_dir):
     joined = joins.attach_features_left(
-        inputs.samples(spark, sf_dir), _score_table(spark, sf_dir), keep_first_by=["doc_id"], prefix="first_"
+        _edited_samples(spark, sf_dir), _score_table(spark, sf_dir), keep_first_by=["doc_id"], prefix="first_"
     )
     return joined.select("prompt", "sample_idx", "doc_id", "first_doc_id", "score")
 
@@ -287,7 +293,7 @@ def pair_losses(spark, sf_dir):
 
 def score_correlation(spark, sf_dir):
     table = stats.score_correlation(inputs.samples_num(spark, sf_dir), "score_a", "score_b")
-    return table.select(r6("r").alias("r"), "n", r6("t").alias("t"))
+    return table.select(r6("r").alias("r"), "n", r6("t").alias("t"), r6("p").alias("p"))
 
 
 QUERIES: dict[str, Query] = {
@@ -321,6 +327,13 @@ def _side_sql(column: str) -> str:
     return f"""{q6(f'("{column}" - avg("{column}") OVER ()) / CASE WHEN {spread} = 0 THEN 1 ELSE {spread} END')} AS "{column}" """
 
 
+_EDITED = """edited AS (SELECT prompt, sample_idx, doc_id, CASE WHEN doc_id % 4 = 0 THEN response || ' (edited)' ELSE response END AS response FROM samples)"""
+
+# Student's density is integrated by Simpson's rule; the p-value is what lies outside of ±t.
+_P_VALUE = """2 * (0.5 - (SELECT sum(h / 3 * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+* exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * pow(1 + i * h * i * h / (n - 2), -(n - 1) / 2.0))
+FROM (SELECT unnest(range(4001)) AS i, abs(t) / 4000 AS h)))"""
+
 _SOFTPLUS = "greatest(score_rejected - score_chosen, 0) + ln(1 + exp(-abs(score_rejected - score_chosen)))"
 
 ORACLES: dict[str, str] = {
@@ -409,16 +422,16 @@ UNION ALL SELECT pair_id, NULL, NULL, NULL, true FROM sided WHERE split = 'test'
         + " FROM pairs p JOIN model_a_scores a ON p.pair_id = a.pair_id JOIN model_b_scores b ON p.pair_id = b.pair_id",
     ),
     "attach_scores_inner": sql(
-        SAMPLES,
-        "sc AS (SELECT DISTINCT source AS prompt, text AS response, n_chars / 10 AS score FROM documents WHERE lang = 'en')",
-        body="SELECT s.prompt, sample_idx, score FROM samples s JOIN sc ON s.prompt = sc.prompt AND s.response = sc.response",
+        SAMPLES, _EDITED,
+        "sc AS (SELECT DISTINCT source AS prompt, text AS response, n_chars / 10 AS score FROM documents)",
+        body="SELECT s.prompt, sample_idx, score FROM edited s JOIN sc ON s.prompt = sc.prompt AND s.response = sc.response",
     ),
     "attach_features_left": sql(
-        SAMPLES,
-        "f AS (SELECT source AS prompt, text AS response, doc_id, n_chars / 10 AS score FROM documents WHERE lang = 'en' "
+        SAMPLES, _EDITED,
+        "f AS (SELECT source AS prompt, text AS response, doc_id, n_chars / 10 AS score FROM documents "
         "QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1)",
         body="SELECT s.prompt, s.sample_idx, s.doc_id, f.doc_id AS first_doc_id, f.score "
-        "FROM samples s LEFT JOIN f ON s.prompt = f.prompt AND s.response = f.response",
+        "FROM edited s LEFT JOIN f ON s.prompt = f.prompt AND s.response = f.response",
     ),
     "attach_by_key": "SELECT event_id, event_type, value * 2 AS doubled FROM events",
     "concat_datasets": sql(PAIRS, body="SELECT pair_id, split, cast(length(chosen) AS integer) AS chars FROM pairs"),
@@ -459,6 +472,7 @@ UNION ALL SELECT pair_id, NULL, NULL, NULL, true FROM sided WHERE split = 'test'
     "score_correlation": sql(
         SAMPLES_NUM,
         "c AS (SELECT corr(score_a, score_b) AS r, count(*) AS n FROM samples_num)",
-        body=f"SELECT {q6('r')} AS r, n, {q6('r * sqrt((n - 2) / (1 - r * r))')} AS t FROM c",
+        "s AS (SELECT r, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)",
+        body=f"SELECT {q6('r')} AS r, n, {q6('t')} AS t, {q6(_P_VALUE)} AS p FROM s",
     ),
 }

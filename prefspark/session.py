@@ -70,10 +70,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_BYTES = 64 * 2**20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt over the cores where the input has fewer splits than there are cores.
+    """Rows of a small input (at most SMALL_BYTES by Spark's own estimate) dealt over the cores.
 
-    Heavy per-row work on a small table then uses every core; a large table keeps its splits and is not shuffled.
+    Heavy per-row work on a small table that is one split then uses every core. The bound does not depend on the
+    cluster: no larger input is ever shuffled here.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df.repartition(cores, *keys) if size <= SMALL_BYTES else df

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefspark.operators import ebm, fit, models
+from prefspark.operators.reshape import collect_samples
 from prefspark.operators.ranker import text_pair_ranker
 
 NAMES = ("x", "y", "z")
@@ -74,7 +75,7 @@ def test_grid_search_picks_the_first_best_and_reports_all(spark):
 
 def test_folds_are_stratified(spark):
     df, *_ = table(spark)
-    counts = fit.stratified_folds(df, "pair_id", "labels", 8, slot_keys=16).groupBy("labels").pivot("fold", list(range(8))).count().collect()
+    counts = fit.stratified_folds(df, "pair_id", "labels", 8).groupBy("labels").pivot("fold", list(range(8))).count().collect()
     for row in counts:
         sizes = [row[str(i)] for i in range(8)]
         assert max(sizes) - min(sizes) <= 1
@@ -185,3 +186,30 @@ def test_text_ranker_learns_a_word(spark):
     scored = ranker.score(spark.createDataFrame([("good", "x"), ("bad", "x")], "response string, prompt string"))
     by_text = {r.response: r.score for r in scored.collect()}
     assert by_text["good"] > by_text["bad"] and scored.columns == ["response", "prompt", "score"]
+
+
+def test_a_sequence_ends_once_whatever_its_pages(spark):
+    rows = [(1, i, "end" if i == 5 else "w", -1.0) for i in range(3_000)]
+    rows += [(2, 0, "pad", -1.0), (2, 1, None, -2.0), (2, 2, "pad", -4.0), (2, 3, "end", -8.0), (2, 4, "w", -16.0)]
+    tokens = spark.createDataFrame(rows, "sample_id int, pos int, token string, logprob double")
+
+    def of_slots(**marks):
+        return {r.sample_id: r.log_prob for r in ebm.sequence_log_prob(tokens, eos="end", slot_tokens=1_024, **marks).collect()}
+
+    def of_pages(**marks):
+        pages = collect_samples(
+            tokens.withColumn("position", F.col("pos") + 1), ["sample_id"], "position", ["token", "logprob"], 1_024
+        )
+        scored = ebm.sequence_log_prob_arrays(pages, "token", "logprob", "end", start=F.col("page") * 1_024, **marks)
+        return {r.sample_id: r.log_prob for r in ebm.merge_pages(scored, ["sample_id"], "page").collect()}
+
+    assert of_slots(pad="pad") == of_pages(pad="pad") == {1: -6.0, 2: -11.0}
+    assert of_slots() == of_pages() == {1: -6.0, 2: -15.0}
+
+
+def test_an_unsettled_fit_is_an_error(spark):
+    df, a, b, y = table(spark)
+    x = scaled_difference(a, b)
+    rows = spark.createDataFrame([([float(v) for v in x[i]], int(y[i]), 0) for i in range(len(y))], "x array<double>, y int, fold int")
+    with pytest.raises(RuntimeError, match="not settled"):
+        fit.fit_settings(rows, [fit.Setting(1.0, "l2", -1)], 3, max_passes=1)

@@ -151,6 +151,21 @@ def test_debiased_judging_cancels_a_constant_lean(spark):
     assert found == {1: (7.5, 6.5), 2: (None, None)}
 
 
+def test_judging_needs_one_usable_reply_per_order(spark):
+    rows = [
+        (1, "direct", 8.0, 6.0, False), (1, "direct", 8.0, 6.0, False),
+        (2, "direct", 0.0, 0.0, True), (2, "swapped", 3.0, 5.0, False),
+        (3, "direct", 4.0, 6.0, False), (3, "swapped", 5.0, 5.0, False),
+    ]
+    df = spark.createDataFrame(rows, "k int, order string, score1 double, score2 double, parse_failed boolean")
+    judged = judge.judge_debias(df.withColumn("model", F.lit("m")), ["model", "k"])
+    assert {r.k: r.assistant1 for r in judged.collect()} == {1: None, 2: 2.5, 3: 4.5}
+    rate = judge.preference_rate(judged, chunk=None).first()
+    assert (rate.win, rate.tie, rate.loss, rate.n, rate.failed) == (1.0, 0.0, 0.0, 1, 2)
+    merged = judge.preference_rate(judged, chunk=None, failed_as_tie=True).first()
+    assert (merged.n, merged.failed, merged.loss) == (2, 1, 0.5)
+
+
 def test_model_tables_round_trip(spark, tmp_path):
     model = models.RewardModel("m.pkl", ("biased", "length"), (1.0, 2.0), (0.5, 2.0), (3.0, -1.0), 0.1, 2.0, 0.7)
     models.save_model(spark, model, str(tmp_path / "m"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prefspark.functions.ordering import key_at_rank, with_position
+from prefspark.functions.ordering import counted_slots, key_at_rank, with_position
 from prefspark.operators import curate, reshape, select
 
 
@@ -13,7 +13,7 @@ def test_with_position_matches_plain_ranks_in_a_hot_group(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.7 else f"g{rng.randrange(5)}", k) for k in rng.sample(range(5000), 1500)]
     df = spark.createDataFrame(rows, "g string, k long").repartition(7)
-    found = {(r.g, r.k): r.position for r in with_position(df, ["g"], ["k"], F.floor(F.col("k") / 64)).collect()}
+    found = {(r.g, r.k): r.position for r in with_position(df, ["g"], ["k"], slot_rows=64).collect()}
     expected = {}
     for g in {g for g, _ in rows}:
         for i, k in enumerate(sorted(k for h, k in rows if h == g)):
@@ -64,12 +64,41 @@ def test_sample_n_is_exact_stable_and_strict(spark):
         curate.sample_n(df, "k", 900, 42).collect()
 
 
-def test_large_samples_use_the_ranked_cut(spark, monkeypatch):
-    monkeypatch.setattr(curate, "LAZY_CUT_ROWS", 50)
-    df = spark.createDataFrame([(i,) for i in range(500)], "k long")
-    small = {r.k for r in curate.sample_n(df, "k", 100, 42).collect()}
-    monkeypatch.setattr(curate, "LAZY_CUT_ROWS", 1000)
-    assert small == {r.k for r in curate.sample_n(df, "k", 100, 42).collect()}
+@pytest.mark.parametrize("shape", ["hashed", "one day"])
+def test_slots_have_a_bounded_size_for_any_key(spark, shape):
+    rng = random.Random(9)
+    keys = [rng.getrandbits(63) if shape == "hashed" else 1_700_000_000 + i % 86_400 for i in range(4_000)]
+    df = spark.createDataFrame([("one group", k) for k in keys], "g string, k long").repartition(6)
+    sizes = df.select(counted_slots(df, "k", 100).alias("s")).groupBy("s").count().collect()
+    assert len(sizes) >= 35 and max(r["count"] for r in sizes) < 250
+    found = sorted((r.position, r.k) for r in with_position(df, ["g"], ["k"], slot_rows=100).collect())
+    assert [k for _, k in found] == sorted(keys) and [p for p, _ in found] == list(range(1, 4_001))
+
+
+@pytest.mark.parametrize("n", [10, 100_000])
+def test_repeated_and_missing_keys_are_treated_alike_at_every_size(spark, n):
+    keys = spark.range(n).select(F.col("id").alias("k"))
+    with pytest.raises(ValueError, match="repeats"):
+        curate.half_split(keys.unionByName(keys.where("k = 3")), "k")
+    with pytest.raises(ValueError, match="repeats"):
+        curate.sample_n(keys.unionByName(keys.where("k = 3")), "k", 5, 1)
+    holed = keys.unionByName(spark.createDataFrame([(None,), (None,)], "k long"))
+    split = {r.split: r.n for r in curate.half_split(holed, "k").groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert split == {"train": (n + 2) // 2, "test": (n + 2) - (n + 2) // 2}
+    assert curate.half_split(holed, "k").where("k IS NULL AND split = 'train'").count() == 0
+    for size in (3, n // 2):
+        drawn = curate.sample_n(holed, "k", size, 7)
+        assert drawn.count() == size and drawn.where("k IS NULL").count() == 0
+    with pytest.raises(ValueError, match="rows wanted"):
+        curate.sample_n(holed, "k", n + 1, 7)
+    assert curate.take_first(holed, "k", 4).count() == 4
+
+
+def test_scores_that_are_not_numbers_never_win(spark):
+    rows = [("p", 1, float("nan"), 1.0, "a"), ("p", 2, 0.5, 2.0, "b"), ("p", 3, None, 3.0, "c")]
+    df = spark.createDataFrame(rows, "prompt string, sample_idx int, score_a double, score_b double, response string")
+    assert [r.response for r in select.best_of_n(df, sizes=(3,)).collect()] == ["b"]
+    assert select.bon_candidates(df, ["score_a"]).first().response == ["a", "b"]
 
 
 def test_drop_incomplete_sees_null_and_nan(spark):

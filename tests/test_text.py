@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from prefspark.plans import inputs
 from prefspark.functions import text
 from prefspark.functions.features import add_features, register_feature
 from prefspark.operators import curate, judge, rating
@@ -138,3 +139,14 @@ def test_features_must_be_columns(spark):
     rows = spark.createDataFrame([("ab", "c")], "response string, prompt string")
     added = add_features(rows, {"": "response"}, "prompt", {"length": text.response_length})
     assert added.first().length == 0.02
+
+
+def test_a_dialogue_of_many_turns_stays_one_dialogue(spark, tmp_path):
+    turns = [(7, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(258)]
+    turns += [(8, 0, "user", "hello"), (8, 1, "assistant", "hi"), (8, 2, "system", "left out")]
+    schema = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame(turns, schema).repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    told = {r.conv_id: r.t for r in inputs.transcripts(spark, str(tmp_path)).collect()}
+    assert told[8] == "\n\nHuman: hello\n\nAssistant: hi" and told[7].count("turn ") == 258
+    kept = curate.single_round_filter(inputs.transcripts(spark, str(tmp_path)), ["t"])
+    assert [r.conv_id for r in kept.collect()] == [8]
