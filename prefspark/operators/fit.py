@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions.ordering import with_position
+from prefspark.functions.rewards import dot, sigmoid
 from prefspark.operators.models import RewardModel, pair_scores
 from prefspark.operators.stats import pooled_feature_moments, reward_stats, side_moments
 
@@ -61,7 +62,10 @@ def _fold_sides(features, means, stds, weights, form, name) -> RewardModel:
     return RewardModel(name, tuple(features), tuple(means), tuple(stds), tuple(float(w) for w in weights))
 
 
-def _single_fit(df: DataFrame, features, strength, penalty, label, form, name) -> RewardModel:
+def fit_weights(
+    df: DataFrame, features: Sequence[str], strength: float, penalty: str, label: str, form: str
+) -> tuple[list[float], list[float], list[float]]:
+    """Means and spreads of the fitted columns, and the weights of one fit, in the order of :func:`design`."""
     means, stds = _moments(df, features, form)
     rows = df.select(array_to_vector(design(features, means, stds, form)).alias("x"), F.col(label).cast("double").alias("y"))
     rows = rows.persist()
@@ -74,7 +78,34 @@ def _single_fit(df: DataFrame, features, strength, penalty, label, form, name) -
         weights = fitter.fit(rows).coefficients.toArray()
     finally:
         rows.unpersist()
-    return _fold_sides(features, means, stds, list(weights), form, name)
+    return means, stds, [float(w) for w in weights]
+
+
+def optimality(df: DataFrame, x: Column, weights: Sequence[float], strength: float, penalty: str, label: str = "labels") -> DataFrame:
+    """Per coefficient (``feature_pos``) how far the objective's slope at ``weights`` is from none, per row, and ``n``.
+
+    One aggregate over the rows, apart from any solver. At a zero weight of an l1 fit, slopes up to the penalty are none.
+    """
+    rows = df.select(x.alias("x"), F.col(label).cast("double").alias("y"))
+    share = sigmoid(dot("x", weights))
+    slopes = [F.sum((share - F.col("y")) * F.get("x", F.lit(i))).alias(f"g{i}") for i in range(len(weights))]
+    summed = rows.agg(*slopes, F.count(F.lit(1)).alias("n"))
+    parts = []
+    for i, w in enumerate(weights):
+        g, pull = F.col(f"g{i}"), 1.0 / strength
+        if penalty == "l2":
+            left = F.abs(g + F.lit(w * pull))
+        elif w:
+            left = F.abs(g + F.lit(pull if w > 0 else -pull))
+        else:
+            left = F.greatest(F.abs(g) - F.lit(pull), F.lit(0.0))
+        parts.append(F.struct(F.lit(i).alias("feature_pos"), (left / F.col("n")).alias("residual"), F.col("n").alias("n")))
+    return summed.select(F.inline(F.array(*parts)))
+
+
+def _single_fit(df: DataFrame, features, strength, penalty, label, form, name) -> RewardModel:
+    means, stds, weights = fit_weights(df, features, strength, penalty, label, form)
+    return _fold_sides(features, means, stds, weights, form, name)
 
 
 def pairwise_fit_diff(

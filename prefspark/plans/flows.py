@@ -32,19 +32,18 @@ def annotate_pairs(pairs: DataFrame, rater: Rater | None = None, kind: str = "hh
     return pairs.join(wide, "pair_id", "left")
 
 
-def fit_pairs(
+def fit_rows(
     annotated: DataFrame,
     scores: DataFrame | None = None,
     split: str = "train",
     subset: int | None = None,
     seed: int = 100,
     short: bool = False,
-    name: str = "g",
-    **search,
-) -> tuple[RewardModel, list[dict]]:
-    """Annotated pairs (chosen/rejected columns) to a reward model, with optional pseudo-labels and row subset.
+) -> tuple[DataFrame, list[str]]:
+    """The rows a reward model is fitted on, stored, and the stems of their features.
 
-    ``scores`` re-labels the fitted split; the other split keeps its labels.
+    Annotated pairs get their computed features, optional pseudo-labels and keyed sides; ``scores`` re-labels the fitted
+    split, ``subset`` draws so many rows.
     """
     features = curate.select_features(RUBRIC_FEATURES, subset="short" if short else None)
     rated = [f for f in features if f in RUBRIC_FEATURES]
@@ -53,13 +52,28 @@ def fit_pairs(
     if computed:
         fitted = add_features(fitted, {"chosen": "chosen", "rejected": "rejected"}, "context", computed)
     stems = [*rated, *computed]
-    fitted = fitted.select("pair_id", "split", *[F.col(f"`{f}_{side}`").cast("double").alias(f"{f}_{side}") for f in stems for side in ("chosen", "rejected")])
+    sides = [f"{f}_{side}" for f in stems for side in ("chosen", "rejected")]
+    fitted = fitted.select("pair_id", "split", *[F.col(f"`{c}`").cast("double").alias(c) for c in sides])
     if scores is not None:
         fitted, _ = labels.pseudo_label_swap(fitted, scores, "pair_id", stems, bare=False)
     sided = labels.randomize_sides(curate.drop_incomplete(fitted), "pair_id", seed, stems, response=None)
     if subset:
         sided = curate.sample_n(sided, "pair_id", subset, seed)
-    sided = settle(sided, "fit_rows")
+    return settle(sided, "fit_rows"), stems
+
+
+def fit_pairs(
+    annotated: DataFrame,
+    scores: DataFrame | None = None,
+    split: str = "train",
+    subset: int | None = None,
+    seed: int = 100,
+    short: bool = False,
+    name: str = "g",
+    **search,
+) -> tuple[RewardModel, list[dict]]:
+    """Annotated pairs (chosen/rejected columns) to a reward model; the other split keeps its labels."""
+    sided, stems = fit_rows(annotated, scores, split, subset, seed, short)
     return fit_reward_model(sided, stems, split=split, name=name, **search)
 
 

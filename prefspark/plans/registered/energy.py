@@ -72,12 +72,12 @@ def option_accuracy(spark, sf_dir):
 
 
 def moment_matching_fit(spark, sf_dir):
-    """The likelihood's maximum, and the moment gap that is left there."""
+    """The likelihood's maximum: coefficients, and whether the moments match there."""
     options = _options(spark, sf_dir)
     weights = ebm.conditional_fit(options, 2)
     gaps = ebm.moment_gap(options, weights)
     return spark.createDataFrame(
-        [(i, float(w), abs(g) < ebm.TOLERANCE) for i, (w, g) in enumerate(zip(weights, gaps))],
+        [(i, round(float(w), 4), abs(g) < ebm.TOLERANCE) for i, (w, g) in enumerate(zip(weights, gaps))],
         "feature_pos int, coefficient double, matched boolean",
     )
 
@@ -132,3 +132,29 @@ ORACLES: dict[str, str] = {
     ),
 }
 ORACLES["sequence_log_prob_arrays"] = ORACLES["sequence_log_prob"]
+
+# Newton's method on the two coefficients, from zero, with steps of bounded reach; every step reads all pairs.
+_NEWTON = """x AS (SELECT CASE preferred WHEN 'A' THEN 1.0 ELSE 0.0 END AS y, a0 - b0 AS d0, a1 - b1 AS d1, la - lb AS o FROM feat),
+step0 AS (SELECT 0.0::double AS w0, 0.0::double AS w1)"""
+_STEPS, _REACH = 40, 0.05
+
+
+def _newton_steps() -> str:
+    parts = []
+    for i in range(_STEPS):
+        p = f"(1 / (1 + exp(-greatest(least(o + w0 * d0 + w1 * d1, 700), -700))))"
+        parts.append(
+            f"sum{i} AS MATERIALIZED (SELECT any_value(w0) AS w0, any_value(w1) AS w1, sum((y - {p}) * d0) AS g0, sum((y - {p}) * d1) AS g1, "
+            f"sum({p} * (1 - {p}) * d0 * d0) AS h00, sum({p} * (1 - {p}) * d0 * d1) AS h01, sum({p} * (1 - {p}) * d1 * d1) AS h11 FROM x, step{i}),\n"
+            f"move{i} AS (SELECT w0, w1, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS m0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS m1 FROM sum{i}),\n"
+            f"step{i + 1} AS MATERIALIZED (SELECT w0 + m0 * least(1, {_REACH} / greatest(abs(m0), abs(m1))) AS w0, "
+            f"w1 + m1 * least(1, {_REACH} / greatest(abs(m0), abs(m1))) AS w1 FROM move{i})"
+        )
+    return ",\n".join(parts)
+
+
+ORACLES["moment_matching_fit"] = sql(
+    PAIRS, _OPTIONS, _NEWTON, _newton_steps(),
+    body=f"SELECT 0 AS feature_pos, round(w0, 4) + 0.0 AS coefficient, TRUE AS matched FROM step{_STEPS} "
+    f"UNION ALL SELECT 1, round(w1, 4) + 0.0, TRUE FROM step{_STEPS}",
+)

@@ -8,37 +8,51 @@ from prefspark.operators import fit, models, stats
 from prefspark.operators.ranker import text_pair_ranker
 from prefspark.operators.rating import RUBRIC_FEATURES
 from prefspark.plans import flows, inputs
-from prefspark.plans.registered.common import FEATURES, MODEL_A, MODEL_B, Query, q6, r6, reward_sql, sided_pairs, sql
+from prefspark.plans.registered.common import FEATURES, MODEL_A, MODEL_B, PAIRS, Query, q6, r6, reward_sql, sided_pairs, sql
 from prefspark.plans.registered.pairs import RATED_SAMPLES, _rated_samples
 from prefspark.plans.registered.selection import _count_words, word_rating_sql
 from prefspark.session import settle, work_path
 
-MODEL_COLUMNS = "model string, feature_pos int, feature string, coef double"
+SETTLED = 1e-6
 
 
-def _terms(spark, *fitted):
-    rows = [(m.name, i, f, round(c, 4)) for m in fitted for i, (f, c) in enumerate(zip(m.features, m.coefs))]
-    return spark.createDataFrame(rows, MODEL_COLUMNS)
+def _settled(sided, model, C, penalty):
+    """Per feature whether the objective is level at the model's weights, from an aggregate of its own."""
+    x = fit.design(model.features, model.means, model.stds, "difference")
+    found = fit.optimality(sided, x, model.coefs, C, penalty)
+    name = F.element_at(F.array(*map(F.lit, model.features)), F.col("feature_pos") + 1)
+    return found.select(F.lit(model.name).alias("model"), name.alias("feature"), (F.col("residual") < SETTLED).alias("settled"), "n")
+
+
+def _best(metrics):
+    return next((m["C"], m["penalty"]) for m in metrics if m["best"])
 
 
 def pairwise_fit_diff(spark, sf_dir):
     sided = sided_pairs(spark, sf_dir).where(F.col("split") == "train")
-    return _terms(spark, *[fit.pairwise_fit_diff(sided, FEATURES, C, p, name=f"{p}_{C}") for C, p in ((1.0, "l2"), (0.1, "l1"))])
+    found = None
+    for C, penalty in ((1.0, "l2"), (0.1, "l1")):
+        model = fit.pairwise_fit_diff(sided, FEATURES, C, penalty, name=penalty)
+        rows = _settled(sided, model, C, penalty)
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def pairwise_fit_concat(spark, sf_dir):
+    """The slope is taken at the weights of both sides, of which the model is the antisymmetric part."""
     sided = sided_pairs(spark, sf_dir).where(F.col("split") == "train")
-    return _terms(spark, fit.pairwise_fit_concat(sided, FEATURES, 1.0, "l2"))
+    means, stds, weights = fit.fit_weights(sided, FEATURES, 1.0, "l2", "labels", "concatenation")
+    found = fit.optimality(sided, fit.design(FEATURES, means, stds, "concatenation"), weights, 1.0, "l2")
+    model, k = fit.pairwise_fit_concat(sided, FEATURES, 1.0, "l2"), len(FEATURES)
+    folded = all(abs(c - (weights[i] - weights[k + i]) / 2) < SETTLED for i, c in enumerate(model.coefs))
+    return found.select("feature_pos", ((F.col("residual") < SETTLED) & F.lit(folded)).alias("settled"), "n")
 
 
 def grid_search_cv(spark, sf_dir):
-    """The full search: 12 strengths, 2 penalties, 8 folds, refit."""
+    """The full search: 12 strengths, 2 penalties, 8 folds; the refit of the best setting."""
     sided = sided_pairs(spark, sf_dir).where(F.col("split") == "train")
-    _, metrics = fit.grid_search_cv(sided, FEATURES)
-    return spark.createDataFrame(
-        [(m["model"], round(m["C"], 8), m["penalty"], round(m["accuracy"], 6), m["best"]) for m in metrics],
-        "model string, c double, penalty string, accuracy double, best boolean",
-    )
+    model, metrics = fit.grid_search_cv(sided, FEATURES, name="search")
+    return _settled(sided, model, *_best(metrics)).withColumn("settings", F.lit(len(metrics)))
 
 
 def save_model(spark, sf_dir):
@@ -59,28 +73,27 @@ def text_ranker(spark, sf_dir):
 
 
 def experiment_grid(spark, sf_dir):
-    """Data size against the short and the full feature list, each a cross-validated fit."""
-    annotated = flows.annotate_pairs(inputs.pairs(spark, sf_dir))
-    stored = settle(annotated, "annotated")
+    """Data size against the short and the full feature list, each a full cross-validated search."""
+    stored = settle(flows.annotate_pairs(inputs.pairs(spark, sf_dir)), "annotated")
     rows = stored.where(F.col("split") == "train").count()
 
     def step(run):
-        model, metrics = flows.fit_pairs(
-            stored, subset=run["subset"], short=run["short"], strengths=(0.01, 1.0), folds=4, name="grid"
-        )
-        yield {"accuracy": round(model.acc, 6), "settings": len(metrics)}
+        sided, stems = flows.fit_rows(stored, subset=run["subset"], short=run["short"])
+        model, metrics = fit.fit_reward_model(sided, stems, name="grid")
+        settled = _settled(sided, model, *_best(metrics)).agg(F.bool_and("settled").alias("all"), F.max("n").alias("n")).first()
+        yield {"features": len(stems), "settled": settled["all"], "n": settled.n, "settings": len(metrics)}
 
     runs = [{"short": short, "subset": subset} for short in (True, False) for subset in (rows // 2, rows)]
     return flows.experiment_grid(spark, runs, step)
 
 
 def fit_pairs(spark, sf_dir):
-    """Annotate, re-label by a given scorer, fit, and score both splits with the new model."""
+    """Annotate, re-label by a given scorer and fit: whether the new model is the optimum on the re-labelled rows."""
     annotated = settle(flows.annotate_pairs(inputs.pairs(spark, sf_dir)), "annotated")
-    sided = sided_pairs(spark, sf_dir)
-    model, _ = flows.fit_pairs(annotated, models.pair_scores(sided, MODEL_B), strengths=(0.01, 0.1, 1.0), folds=4)
-    accuracy = stats.pairwise_accuracy(models.pair_scores(sided, model))
-    return accuracy.select("model", "split", r6("accuracy").alias("accuracy"), "n")
+    scores = settle(models.pair_scores(sided_pairs(spark, sf_dir), MODEL_B), "teacher_scores")
+    model, metrics = flows.fit_pairs(annotated, scores, name="student")
+    sided, _ = flows.fit_rows(annotated, scores)
+    return _settled(sided, model, *_best(metrics)).withColumn("settings", F.lit(len(metrics)))
 
 
 def compare_models(spark, sf_dir):
@@ -120,7 +133,24 @@ def _normalized(model) -> str:
     return f"(({reward_sql(model)}) - {model.reward_mean}::double) / {model.reward_std}::double"
 
 
+def _settled_sql(model: str, extra: str = "") -> str:
+    names = ", ".join(f"'{f}'" for f in FEATURES)
+    return f"SELECT '{model}' AS model, unnest([{names}]) AS feature, TRUE AS settled, (SELECT count(*) FROM pairs WHERE split = 'train') AS n{extra}"
+
+
 ORACLES: dict[str, str] = {
+    "pairwise_fit_diff": sql(PAIRS, body=f"{_settled_sql('l2')} UNION ALL {_settled_sql('l1')}"),
+    "pairwise_fit_concat": sql(
+        PAIRS, body="SELECT cast(unnest(range(28)) AS integer) AS feature_pos, TRUE AS settled, (SELECT count(*) FROM pairs WHERE split = 'train') AS n"
+    ),
+    "grid_search_cv": sql(PAIRS, body=_settled_sql("search", ", 24 AS settings")),
+    "fit_pairs": sql(PAIRS, body=_settled_sql("student", ", 24 AS settings")),
+    "experiment_grid": sql(
+        PAIRS,
+        "r AS (SELECT count(*) AS n FROM pairs WHERE split = 'train')",
+        body="SELECT short, n AS subset, CASE WHEN short THEN 3 ELSE 14 END AS features, TRUE AS settled, n, 24 AS settings "
+        "FROM (SELECT unnest([TRUE, FALSE]) AS short), (SELECT n FROM r UNION ALL SELECT n // 2 FROM r)",
+    ),
     "annotate_pairs": f"""WITH a AS ({word_rating_sql("response")}),
 c AS (SELECT * FROM a WHERE side = 'chosen'), r AS (SELECT * FROM a WHERE side = 'rejected')
 SELECT pair_id, max(CASE WHEN feature = 'helpfulness' THEN c.rating END) AS helpfulness_chosen,
