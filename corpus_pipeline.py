@@ -25,42 +25,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(sample))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Documents as one column ``row``, so that no column of theirs meets one of a stage's own."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that with the largest id."""
-    decided = settle(exact_dedup.exact_dedup(docs), "exact_decisions")
-    dropped = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept")).where("NOT kept")
-    key = exact_dedup.sha256_of(F.coalesce("text", F.lit("")))
-    marked = docs.withColumn("_digest", key)
-    gone = settle(dropped.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key")), "exact_dropped")
-    alike = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
-    kept = marked.join(gone, alike, "left_anti")
-    repeated = settle(
-        decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-        .where("kept AND n > 1").select("doc_id"),
-        "exact_repeated",
-    )
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    others = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id", "_digest").agg(*others).select(*docs.columns)
+    decided = exact_dedup.exact_dedup(docs).groupBy("doc_id", "digest")
+    decided = settle(decided.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "exact_decisions")
+    dropped = settle(decided.where("NOT kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("key")), "dropped")
+    digest = exact_dedup.sha256_of(F.coalesce("row.text", F.lit("")))
+    alike = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key"))
+    kept = _packed(docs).withColumn("digest", digest).join(dropped, alike, "left_anti")
+    if not decided.where("kept AND n > 1").isEmpty():
+        # Rows that repeat both id and text: one of them stays.
+        kept = kept.groupBy("row.doc_id", "digest").agg(F.first("row").alias("row"))
+    return kept.select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts: that with the smallest id."""
     decided = near_dedup.near_dedup(docs)
-    dropped = settle(decided.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near_dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    dropped = settle(decided.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "near_dropped")
+    return _packed(docs).join(dropped, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: some not at all, some up to three times."""
     account = mixing.mix(docs)[1].where("taken > 0")
-    times = F.max(F.col("taken") / F.col("size")).cast("int")
-    taken = account.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(times.alias("_times"))
-    own = docs.withColumn("_words", mixing.word_count(F.col("text")))
-    alike = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
-    joined = own.join(settle(taken, "mix_taken"), alike)
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = F.max(F.col("taken") / F.col("size")).cast("int").alias("times")
+    taken = settle(account.groupBy(F.col("doc_id").alias("id"), "size").agg(times), "mix_taken")
+    own = _packed(docs).withColumn("words", mixing.word_count(F.col("row.text")))
+    joined = own.join(taken, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    return joined.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
