@@ -148,6 +148,21 @@ ORACLES = {
         SELECT s.doc_id, s.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken
         FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken k USING (row_id)
     """,
+    "op7_warc": """
+        WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        placed AS (
+            SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS keeper
+            FROM bodies),
+        groups AS (
+            SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS twenty_bits
+            FROM placed)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((twenty_bits[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+        FROM groups
+    """,
     "op8_exact_dedup": """
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         placed AS (
@@ -179,4 +194,30 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY row_id, doc_id
     """,
+    "op10_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s
+            FROM words),
+        classes AS (
+            SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS rep
+            FROM sets),
+        members AS (SELECT DISTINCT rep, n, unnest(s) AS shingle FROM classes WHERE doc_id = rep),
+        shared AS (
+            SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+            FROM members a JOIN members b ON a.shingle = b.shingle AND a.rep < b.rep GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (
+            SELECT a AS node, b AS other FROM edges
+            UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+        least AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
+        SELECT doc_id, n AS n_shingles, coalesce(least(rep, other), rep) AS component_id,
+               doc_id = coalesce(least(rep, other), rep) AS kept
+        FROM classes LEFT JOIN least ON rep = node
+    """,
 }
