@@ -53,12 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: some not at all, some up to three times."""
-    account = mixing.mix(docs)[1].where("taken > 0")
-    times = F.max(F.col("taken") / F.col("size")).cast("int").alias("times")
-    taken = settle(account.groupBy(F.col("doc_id").alias("id"), "size").agg(times), "mix_taken")
-    own = _packed(docs).withColumn("words", mixing.word_count(F.col("row.text")))
-    joined = own.join(taken, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
-    return joined.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from prefspark.llm.mixing import mix
+from prefspark.llm.mixing import mix, mixed_rows
 from tests.llm.common import EDGES, documents
 
 
@@ -50,3 +50,13 @@ def test_edges(spark):
     assert all(r.taken == 0 for r in account if r["size"] == 0)
     assert mix(documents(spark, []))[1].count() == 0
     assert [r.taken for r in mix(documents(spark, [(1, None), (2, " ")]))[1].collect()] == [0, 0]
+
+
+def test_rows_are_repeated_as_the_account_says(spark):
+    docs = documents(spark, corpus(4), clashing=True)
+    rows = mixed_rows(docs)
+    assert rows.columns == docs.columns
+    times = {r.doc_id: r.taken // r["size"] for r in mix(docs)[1].collect() if r.taken}
+    assert dict(Counter(r.doc_id for r in rows.collect())) == times
+    assert mixed_rows(documents(spark, EDGES, clashing=True)).where("text IS NULL").count() == 0
+    assert mixed_rows(documents(spark, [])).count() == 0
