@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm.components import components
@@ -111,8 +111,13 @@ def _table(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, PERMUTATIONS)
 
 
+def text_key(text: Column) -> Column:
+    """128-bit digest of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n, digest, signature``: size, 128-bit digest and MinHash signature of each whole text's set."""
+    """``doc_id, text_key, n, digest, signature``: key of each text; size, 128-bit digest and MinHash signature of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -124,15 +129,36 @@ def profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").slice(start, len(texts)),
+                        batch.column("_key").slice(start, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n", "digest", "signature"],
+                    names=["doc_id", "text_key", "n", "digest", "signature"],
                 )
 
-    chosen = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return chosen.mapInArrow(run, "doc_id bigint, n bigint, digest binary, signature binary")
+    chosen = df.select(
+        F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), text_key(F.col(text_col)).alias("_key")
+    )
+    return chosen.mapInArrow(run, "doc_id bigint, text_key binary, n bigint, digest binary, signature binary")
+
+
+def _classes(profile: DataFrame) -> DataFrame:
+    """``digest, least_id, text_key, doc``: each set with its smallest id, one of its texts and a number ``doc`` of its own.
+
+    Numbers follow the smallest ids, so that the smallest number of a bucket is the class with the smallest id.
+    """
+    found = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"))
+    order = [F.col("least_id").asc_nulls_last(), F.col("digest").asc()]
+    ranged = found.where("least_id IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(ranged.withColumn("doc", F.monotonically_increasing_id()), "classes")
+
+
+def _same_ids(rows: DataFrame) -> DataFrame:
+    """``id, low, high, blank`` of ids whose rows belong to several classes, or to a class and to none."""
+    ids = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    seen = ids.agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max(F.col("doc").isNull()).alias("blank"))
+    return settle(seen.where("low < high OR (blank AND low IS NOT NULL)"), "same_ids")
 
 
 def band_entries(representatives: DataFrame) -> DataFrame:
@@ -162,10 +188,10 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _texts_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``doc, text`` of some documents. Their ids are written first: few of them are broadcast, and no text moves."""
-    wanted = settle(docs.distinct(), "wanted")
-    return settle(texts.join(wanted, "doc").groupBy("doc").agg(F.max("text").alias("text")), "near_texts")
+def _texts_of(docs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc, text`` of some classes. Keys of their texts are written first: few of them are broadcast, and no text moves."""
+    wanted = settle(docs.distinct().join(classes.select("doc", "text_key"), "doc"), "wanted")
+    return settle(texts.join(wanted, "text_key").groupBy("doc").agg(F.max("text").alias("text")), "near_texts")
 
 
 def _prune(pairs: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
@@ -182,13 +208,13 @@ def _prune(pairs: DataFrame, representatives: DataFrame, threshold: float) -> Da
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole shingle sets reach the threshold.
 
     A document ``a`` with many partners is compared with them in blocks of about PARTNERS; its text travels once for each
     block, and a task holds its set and one partner at a time.
     """
-    found = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")), texts)
+    found = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")), texts, classes)
     blocks = settle(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks")), "near_blocks")
     partners = pairs.join(blocks, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc")
@@ -342,14 +368,14 @@ def _tile_links(rows: pa.Table, threshold: float, percent: int, hashes: WordHash
 
 
 def _links_between(
-    undecided: DataFrame, representatives: DataFrame, texts: DataFrame, threshold: float, percent: int
+    undecided: DataFrame, representatives: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float, percent: int
 ) -> DataFrame:
     """Links between components among undecided members, compared on whole sets inside their tiles."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         return _tile_links(rows, threshold, percent, WordHashes())
 
-    found = _texts_of(undecided.select("doc"), texts)
+    found = _texts_of(undecided.select("doc"), texts, classes)
     rows = _dealt(undecided, TEXT_TILE).join(representatives, "doc").join(found, "doc")
     return _by_tile(rows, work, "u bigint, v bigint")
 
@@ -360,42 +386,48 @@ def near_dedup(
     """``doc_id, n_shingles, component_id, kept`` for every row: components of documents similar to ``percent``.
 
     1. Each text becomes the set of its word shingles, a digest of the set and a MinHash signature. Equal sets are one
-       class, represented by its smallest id; further on only representatives count.
+       class with a number, a signature and a text of its own; further on only classes count.
     2. Signatures that agree in a band share a bucket. Candidates are compared batch by batch of signature values and
        dropped once similarity at the threshold has a posterior chance below MISS; survivors are compared on whole sets.
-    3. Pairs of a bucket are never written. First every member is compared with the bucket's smallest id. A bucket inside
+    3. Pairs of a bucket are never written. First every member is compared with the bucket's smallest number. A bucket inside
        one component needs no more. Where several are left, members of different components are compared in tiles of
        bounded size: signatures find the members that have such a candidate, and these meet again with their texts, so
        that a tile compares whole sets itself and only returns links that join components.
 
     Results do not depend on the order of the steps; a link is missed only where no band agrees (chance (1 - s^5)^24,
     3 in 10 million at s = 0.85) or by the pruning. Null, empty and blank texts have no shingle and link with nothing.
-    Rows with one id are one document: they share a component; a null id takes its class's. Of a repeated row all or
-    none are kept. No rows in, no rows out. Other columns are ignored.
+    Rows with one id are one document, whatever their texts: their classes are joined, a row without shingles goes with
+    the others, and all or none of them are kept. A null id takes its class's. No rows in, no rows out. Other columns are ignored.
     """
     threshold = percent / 100
     profile = settle(profiles(df, id_col, text_col), "profiles")
-    classes = settle(
-        profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc")).where("doc IS NOT NULL"), "classes"
-    )
-    representatives = settle(
-        profile.select(F.col("doc_id").alias("doc"), "digest", "signature")
-        .join(classes, ["digest", "doc"])
-        .dropDuplicates(["doc"])
-        .select("doc", "signature"),
-        "representatives",
-    )
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    classes = _classes(profile)
+    signed = profile.where("n > 0").groupBy("digest").agg(F.first("signature").alias("signature"))
+    representatives = settle(signed.join(classes, "digest").select("doc", "signature"), "representatives")
+    texts = df.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    placed = profile.select("doc_id", "n", "digest").join(classes.drop("text_key"), "digest", "left")
+    rows = settle(placed.drop("digest"), "near_rows")
+    repeated = _same_ids(rows)
+    spark = df.sparkSession
+    edges = spark.createDataFrame([], "u bigint, v bigint")
+    if not repeated.isEmpty():
+        several = rows.join(repeated, F.col("doc_id") == F.col("id")).where("doc > low")
+        edges = settle(several.select(F.col("doc").alias("u"), F.col("low").alias("v")).distinct(), "same_id_edges")
+        first = repeated.join(classes.select(F.col("doc").alias("low"), F.col("least_id").alias("low_id")), "low")
+        rows = rows.join(first.where("blank"), F.col("doc_id") == F.col("id"), "left").select(
+            "doc_id", "n", F.coalesce("doc", "low").alias("doc"), F.coalesce("least_id", "low_id").alias("least_id")
+        )
     entries = band_entries(representatives)
     shared = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared_keys")
     buckets = settle(entries.join(shared, "key"), "buckets")
-    spark = df.sparkSession
     labels = spark.createDataFrame([], "node bigint, component bigint")
     hubs = settle(buckets.groupBy("key").agg(F.min("doc").alias("a")), "hubs")
     pairs = buckets.join(hubs, "key").where("doc != a").select("a", F.col("doc").alias("b")).distinct()
     candidates = settle(_prune(pairs, representatives, threshold), "candidates")
     if not candidates.isEmpty():
-        labels = settle(components(_verify(candidates, texts, percent)), "labels")
+        edges = edges.unionByName(_verify(candidates, texts, classes, percent))
+    if not (candidates.isEmpty() and repeated.isEmpty()):
+        labels = settle(components(edges), "labels")
     placed = buckets.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("component")
     )
@@ -403,16 +435,14 @@ def near_dedup(
     members = settle(placed.join(settle(mixed.where("low < high").select("key"), "open_keys"), "key"), "open_members")
     undecided = settle(_undecided(members, representatives, threshold), "undecided")
     if not undecided.isEmpty():
-        links = _links_between(undecided, representatives, texts, threshold, percent)
+        links = _links_between(undecided, representatives, texts, classes, threshold, percent)
         known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         labels = settle(components(known.unionByName(links)), "labels")
-    placed = (
-        profile.select("doc_id", "n", "digest")
-        .join(classes, "digest", "left")
-        .join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    )
-    component = F.coalesce("component", "doc", "doc_id")
-    return placed.select(
+    named = labels.withColumnRenamed("node", "doc").join(classes.select("doc", "least_id"), "doc")
+    least = named.groupBy("component").agg(F.min("least_id").alias("joined_id"))
+    joined = settle(labels.withColumnRenamed("node", "doc").join(least, "component"), "joined")
+    component = F.coalesce("joined_id", "least_id", "doc_id")
+    return rows.join(joined, "doc", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),

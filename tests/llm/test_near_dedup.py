@@ -81,6 +81,29 @@ def test_copies_around_an_original_that_is_not_the_smallest_id(spark):
     assert found(near_dedup.near_dedup(documents(spark, rows))) == expected(rows)
 
 
+def near_copy(words, rng):
+    changed = list(words)
+    changed[rng.randrange(10, len(words) - 10)] = f"x{rng.random()}"
+    return " ".join(changed)
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id finds its own near copies, and these are one component."""
+    rng = random.Random(5)
+    a, b, c, d = ([f"{name}{i}" for i in range(150)] for name in "abcd")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (20, near_copy(b, rng)), (30, near_copy(a, rng))]
+    rows += [(41, " ".join(c)), (42, ""), (42, " ".join(c)), (43, " "), (43, None)]
+    rows += [(61, " ".join(d)), (60, near_copy(d, rng)), (61, near_copy(c, rng))]
+    for given in (rows, rows[::-1]):
+        result = near_dedup.near_dedup(documents(spark, given)).collect()
+        got = {(r.doc_id, r.component_id, r.kept) for r in result}
+        assert len(result) == len(rows)
+        assert got == {
+            (5, 5, True), (20, 5, False), (30, 5, False), (41, 41, True), (42, 41, False), (43, 43, True),
+            (60, 41, False), (61, 41, False),
+        }
+
+
 def test_edges(spark):
     rows = near_dedup.near_dedup(documents(spark, EDGES, clashing=True)).collect()
     assert len(rows) == len(EDGES)
