@@ -45,10 +45,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts: that with the smallest id."""
-    decided = near_dedup.near_dedup(docs)
-    dropped = settle(decided.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "near_dropped")
-    return _packed(docs).join(dropped, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
+    """One document of each component of similar texts: that with the smallest id, or one text where no row has an id.
+
+    Rows without an id are found by their text, all others by id alone.
+    """
+    decided = near_dedup.decisions(docs).where("NOT kept")
+    key = F.when(F.col("doc_id").isNull(), F.col("text_key"))
+    dropped = settle(decided.select(F.col("doc_id").alias("id"), key.alias("key")).distinct(), "near_dropped")
+    own = F.when(F.col("row.doc_id").isNull(), near_dedup.text_key(F.col("row.text")))
+    alike = F.col("row.doc_id").eqNullSafe(F.col("id")) & own.eqNullSafe(F.col("key"))
+    return _packed(docs).join(dropped, alike, "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

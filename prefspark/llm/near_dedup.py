@@ -144,13 +144,15 @@ def profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(profile: DataFrame) -> DataFrame:
-    """``digest, least_id, text_key, doc``: each set with its smallest id, one of its texts and a number ``doc`` of its own.
+    """``digest, least_id, text_key, doc``: each set with its smallest id, that id's least text and a number ``doc`` of its own.
 
-    Numbers follow the smallest ids, so that the smallest number of a bucket is the class with the smallest id.
+    Numbers follow the smallest ids, so that the smallest number of a bucket is the class with the smallest id. Classes
+    without an id come last, in the order of their digests.
     """
-    found = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least_id"), F.col("text_key").alias("text_key")))
+    found = profile.where("n > 0").groupBy("digest").agg(least.alias("least")).select("digest", "least.least_id", "least.text_key")
     order = [F.col("least_id").asc_nulls_last(), F.col("digest").asc()]
-    ranged = found.where("least_id IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
     return settle(ranged.withColumn("doc", F.monotonically_increasing_id()), "classes")
 
 
@@ -189,9 +191,20 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """``doc, text`` of some classes. Keys of their texts are written first: few of them are broadcast, and no text moves."""
-    wanted = settle(docs.distinct().join(classes.select("doc", "text_key"), "doc"), "wanted")
-    return settle(texts.join(wanted, "text_key").groupBy("doc").agg(F.max("text").alias("text")), "near_texts")
+    """``doc, text`` of some classes.
+
+    Their ids alone are written first: few of them are broadcast, and only rows with such an id, or with such a text and
+    no id, meet the keys of the texts.
+    """
+    wanted = settle(docs.distinct().join(classes.select("doc", "text_key", "least_id"), "doc"), "wanted")
+    ids = settle(wanted.where("least_id IS NOT NULL").select(F.col("least_id").alias("id")).distinct(), "wanted_ids")
+    unnamed = settle(wanted.where("least_id IS NULL").select("text_key"), "wanted_keys")
+    near = texts.join(ids, "id", "left_semi").withColumn("text_key", text_key(F.col("text")))
+    if not unnamed.isEmpty():
+        others = texts.where("id IS NULL").withColumn("text_key", text_key(F.col("text")))
+        near = near.unionByName(others.join(unnamed, "text_key", "left_semi").select("id", "text", "text_key"))
+    found = near.join(wanted.drop("least_id"), "text_key").groupBy("doc").agg(F.max("text").alias("text"))
+    return settle(found, "near_texts")
 
 
 def _prune(pairs: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
@@ -383,7 +396,14 @@ def _links_between(
 def near_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row: components of documents similar to ``percent``.
+    """``doc_id, n_shingles, component_id, kept`` for every row: components of documents similar to ``percent``."""
+    return decisions(df, id_col, text_col, percent).drop("text_key")
+
+
+def decisions(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD
+) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, kept`` for every row: components of documents similar to ``percent``.
 
     1. Each text becomes the set of its word shingles, a digest of the set and a MinHash signature. Equal sets are one
        class with a number, a signature and a text of its own; further on only classes count.
@@ -397,16 +417,21 @@ def near_dedup(
     Results do not depend on the order of the steps; a link is missed only where no band agrees (chance (1 - s^5)^24,
     3 in 10 million at s = 0.85) or by the pruning. Null, empty and blank texts have no shingle and link with nothing.
     Rows with one id are one document, whatever their texts: their classes are joined, a row without shingles goes with
-    the others, and all or none of them are kept. A null id takes its class's. No rows in, no rows out. Other columns are ignored.
+    the others, and all or none of them are kept. Rows without an id are a document for each text: they link like all others, take the
+    smallest id of their component and are not kept where there is one; of a component without any id the least text of the
+    first class is kept. ``text_key`` tells such rows apart. No rows in, no rows out. Other columns are ignored.
     """
     threshold = percent / 100
     profile = settle(profiles(df, id_col, text_col), "profiles")
     classes = _classes(profile)
     signed = profile.where("n > 0").groupBy("digest").agg(F.first("signature").alias("signature"))
     representatives = settle(signed.join(classes, "digest").select("doc", "signature"), "representatives")
-    texts = df.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    placed = profile.select("doc_id", "n", "digest").join(classes.drop("text_key"), "digest", "left")
-    rows = settle(placed.drop("digest"), "near_rows")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    least_text = (F.col("text_key") == F.col("least_key")).alias("least_text")
+    placed = profile.select("doc_id", "text_key", "n", "digest").join(
+        classes.withColumnRenamed("text_key", "least_key"), "digest", "left"
+    )
+    rows = settle(placed.select("doc_id", "text_key", "n", "doc", "least_id", least_text), "near_rows")
     repeated = _same_ids(rows)
     spark = df.sparkSession
     edges = spark.createDataFrame([], "u bigint, v bigint")
@@ -415,7 +440,12 @@ def near_dedup(
         edges = settle(several.select(F.col("doc").alias("u"), F.col("low").alias("v")).distinct(), "same_id_edges")
         first = repeated.join(classes.select(F.col("doc").alias("low"), F.col("least_id").alias("low_id")), "low")
         rows = rows.join(first.where("blank"), F.col("doc_id") == F.col("id"), "left").select(
-            "doc_id", "n", F.coalesce("doc", "low").alias("doc"), F.coalesce("least_id", "low_id").alias("least_id")
+            "doc_id",
+            "text_key",
+            "n",
+            F.coalesce("doc", "low").alias("doc"),
+            F.coalesce("least_id", "low_id").alias("least_id"),
+            "least_text",
         )
     entries = band_entries(representatives)
     shared = settle(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared_keys")
@@ -442,9 +472,11 @@ def near_dedup(
     least = named.groupBy("component").agg(F.min("least_id").alias("joined_id"))
     joined = settle(labels.withColumnRenamed("node", "doc").join(least, "component"), "joined")
     component = F.coalesce("joined_id", "least_id", "doc_id")
+    alone = F.col("doc").isNull() | (F.coalesce("component", "doc").eqNullSafe(F.col("doc")) & F.col("least_text"))
     return rows.join(joined, "doc", "left").select(
         "doc_id",
+        "text_key",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.when(component.isNull(), alone).otherwise(F.col("doc_id").eqNullSafe(component)).alias("kept"),
     )

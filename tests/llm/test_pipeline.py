@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from prefspark.llm import bpe, mixing
+from prefspark.llm import bpe, mixing, near_dedup
 from prefspark.session import settle
 from tests.llm.common import EDGES, documents
 from tests.llm.test_near_dedup import expected as near_expected
@@ -66,3 +66,22 @@ def test_edges_pass_every_stage(spark, tmp_path, rows):
         if name == "exact_dedup" and rows:
             assert docs.groupBy("text").count().where("count > 1").count() <= 1
     assert docs.count() <= 3 * len(rows)
+
+
+def test_near_copies_without_an_id_are_dropped(spark):
+    words = {name: [f"{name}{i}" for i in range(150)] for name in "abc"}
+
+    def copy(name, at):
+        return " ".join([*words[name][:at], "other", *words[name][at + 1 :]])
+
+    rows = [(7, copy("a", 20)), (None, copy("a", 20).upper()), (None, copy("a", 90)), (None, copy("b", 30))]
+    rows += [(None, copy("b", 60)), (None, copy("b", 60).upper()), (None, copy("b", 110)), (None, copy("c", 5)), (None, "")]
+    docs = documents(spark, rows, clashing=True)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    first = sorted(r.text[:1].lower() for r in kept.collect())
+    assert first == ["", "a", "b", "c"]
+    assert [r.text for r in kept.where("doc_id = 7").collect()] == [copy("a", 20)]
+    decided = near_dedup.near_dedup(docs).collect()
+    assert len(decided) == len(rows) and sum(r.kept for r in decided) == 4
+    assert [r.component_id for r in decided].count(7) == 3
