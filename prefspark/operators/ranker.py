@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, RegexTokenizer, VectorAssembler
@@ -27,6 +27,7 @@ class TextPairRanker:
     num_features: int
     reg: float
     acc: float | None = None
+    settled: bool | None = None
 
     def score(self, df: DataFrame, text: str = "response", out: str = "score") -> DataFrame:
         hashed = _hash_words(df, text, "_x", self.num_features)
@@ -68,22 +69,25 @@ def text_pair_ranker(
     """Fit on the ``train`` role of chosen/rejected pairs and keep the strength with the best ``test`` accuracy.
 
     Sides are assigned by the keyed coin, both sides' word counts are fitted without an intercept, and the
-    reward is the antisymmetric part of the fit, the mean of w_a and −w_b.
+    reward is the antisymmetric part of the fit, the mean of w_a and −w_b. ``settled`` says whether
+    the fits of all strengths came to rest within ``max_iter`` steps.
     """
     train, test = pairs.where(F.col("role") == "train"), pairs.where(F.col("role") == "test")
     sided = randomize_sides(train.select(key, "chosen", "rejected"), key, seed, [])
     hashed = _hash_words(_hash_words(sided, "response_a", "_a", num_features), "response_b", "_b", num_features)
     rows = _side_by_side(hashed, ["_a", "_b"]).select(FITTED, F.col("labels").cast("double").alias("y")).persist()
-    best = None
+    best, settled = None, True
     try:
         for reg in regs:
             fitter = LogisticRegression(
                 featuresCol=FITTED, labelCol="y", fitIntercept=False, standardization=False, regParam=reg, maxIter=max_iter
             )
-            ranker = TextPairRanker(fitter.fit(rows), num_features, reg)
+            model = fitter.fit(rows)
+            settled = settled and model.summary.totalIterations < max_iter
+            ranker = TextPairRanker(model, num_features, reg)
             acc = pairwise_accuracy(ranker.score_pairs(test, keep=(key,)), by=()).first().accuracy or 0.0
             if best is None or acc > best.acc:
                 best = TextPairRanker(ranker.model, num_features, reg, acc)
     finally:
         rows.unpersist()
-    return best
+    return replace(best, settled=settled)

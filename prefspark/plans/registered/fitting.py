@@ -65,11 +65,12 @@ def save_model(spark, sf_dir):
 
 
 def text_ranker(spark, sf_dir):
+    """The operator at its defaults; ``settled`` says whether the fits of all strengths came to rest within its steps."""
     pairs = inputs.pairs(spark, sf_dir).withColumn("role", F.col("split"))
     stored = settle(pairs.select("pair_id", "split", "role", "chosen", "rejected"), "ranked_pairs")
-    ranker = text_pair_ranker(stored, num_features=1 << 14, regs=(0.01,), max_iter=25)
+    ranker = text_pair_ranker(stored)
     accuracy = stats.pairwise_accuracy(ranker.score_pairs(stored))
-    return accuracy.select("model", "split", r6("accuracy").alias("accuracy"), "n")
+    return accuracy.select("model", "split", F.lit(ranker.reg).alias("reg"), F.lit(ranker.settled).alias("settled"), r6("accuracy").alias("accuracy"), "n")
 
 
 def experiment_grid(spark, sf_dir):

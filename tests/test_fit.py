@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from prefspark.operators import ebm, fit, models
 from prefspark.operators.reshape import collect_samples
 from prefspark.operators.ranker import text_pair_ranker
+from prefspark.plans.registered import fitting
 
 NAMES = ("x", "y", "z")
 
@@ -213,3 +214,12 @@ def test_an_unsettled_fit_is_an_error(spark):
     rows = spark.createDataFrame([([float(v) for v in x[i]], int(y[i]), 0) for i in range(len(y))], "x array<double>, y int, fold int")
     with pytest.raises(RuntimeError, match="not settled"):
         fit.fit_settings(rows, [fit.Setting(1.0, "l2", -1)], 3, max_passes=1)
+
+
+def test_registered_text_ranker_is_the_operator_at_its_defaults(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(fitting, "text_pair_ranker", lambda *a, **k: called.append((a[1:], k)) or text_pair_ranker(*a, **k))
+    rows = fitting.text_ranker(spark, "/root/testdata/sf0.001").collect()
+    assert called == [((), {})] and {r.split for r in rows} == {"train", "test"}
+    assert len({(r.reg, r.settled) for r in rows}) == 1
+    assert rows[0].reg in (0.01, 0.1) and rows[0].settled is not None
