@@ -26,6 +26,9 @@ MISS = 1e-6
 #: Sizes of working blocks; none changes a result.
 TILE = 1_024
 TEXT_TILE = 256
+TEXT_CHARS = 4_000_000
+PAIRS = 65_536
+PAIR_BLOCK = 8_192
 PARTNERS = 256
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -264,45 +267,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int
     )
 
 
-def _dealt(members: DataFrame, size: int) -> DataFrame:
-    """Members of each bucket dealt to blocks of about ``size``; each pair (i, j) of blocks is one tile of its rows."""
-    blocks = settle(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks")), "near_buckets")
+def _dealt(members: DataFrame, load: Column) -> DataFrame:
+    """Members of each bucket dealt to blocks of about one ``load``; each pair (i, j) of blocks is one tile of its rows."""
+    blocks = settle(members.groupBy("key").agg(F.ceil(load).alias("blocks")), "near_buckets")
     return (
         members.join(blocks, "key")
         .withColumn("own", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component"
-        )
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
     )
 
 
-def _tile_pairs(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _surviving_pairs(
+    table: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of row numbers that stay candidates batch after batch, and their matches; one batch of values is gathered at a time."""
+    matches = np.zeros(len(a), dtype=np.int32)
+    for n, least in least_matches(threshold).items():
+        part = slice(n - BATCH, n)
+        matches += (table[a, part] == table[b, part]).sum(axis=1, dtype=np.int32)
+        alive = matches >= least
+        a, b, matches = a[alive], b[alive], matches[alive]
+    return a, b, matches
+
+
+def _first_band_keys(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of the first band in which each pair of rows agrees; the pairs do agree in one."""
+    keys = np.empty(len(a), dtype=np.int64)
+    for at in range(0, len(a), PAIR_BLOCK):
+        x, y = table[a[at : at + PAIR_BLOCK]], table[b[at : at + PAIR_BLOCK]]
+        first = (x == y).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        keys[at : at + PAIR_BLOCK] = band_keys(x)[np.arange(len(x)), first]
+    return keys
+
+
+def _tile_pairs(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers and matches of the pairs of a tile that lie in different components and pass the pruning.
 
-    A pair that shares several buckets belongs to that of the first band in which it agrees.
+    A pair that shares several buckets belongs to that of the first band in which it agrees. Pairs come in blocks of
+    at most PAIRS, so a tile whose members all resemble each other needs no more memory than any other.
     """
     i, j, own, part = (rows[n].to_numpy() for n in ("i", "j", "own", "component"))
     table, key = _table(rows["signature"].combine_chunks()), np.int64(rows["key"][0].as_py())
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    least = least_matches(threshold)[BATCH]
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for at in range(0, len(left), 128):
-        some = left[at : at + 128]
+    least, within = least_matches(threshold)[BATCH], bool((i == j).all())
+    across = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), across):
+        some = left[at : at + across]
         same = np.zeros((len(some), len(right)), dtype=np.int16)
         for k in range(BATCH):
             same += table[some, k][:, None] == table[right, k][None, :]
         x, y = np.nonzero((same >= least) & (part[some][:, None] != part[right][None, :]))
-        a.append(some[x])
-        b.append(right[y])
-    a, b = np.concatenate(a), np.concatenate(b)
-    if (i == j).all():
-        a, b = a[a < b], b[a < b]
-    alive, matches = survivors(table[a], table[b], threshold)
-    a, b = a[alive], b[alive]
-    bands = (table[a] == table[b]).reshape(-1, BANDS, ROWS).all(axis=2)
-    here = band_keys(table[a])[np.arange(len(a)), bands.argmax(axis=1)] == key
-    return a[here], b[here], matches[here]
+        a, b = some[x], right[y]
+        if within:
+            a, b = a[a < b], b[a < b]
+        a, b, matches = _surviving_pairs(table, a, b, threshold)
+        here = _first_band_keys(table, a, b) == key
+        yield a[here], b[here], matches[here]
 
 
 def _by_tile(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
@@ -333,17 +354,20 @@ def _undecided(members: DataFrame, representatives: DataFrame, threshold: float)
     """``key, doc, component`` of the members that have a candidate of another component in the bucket."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        a, b, _ = _tile_pairs(rows, threshold)
-        chosen = rows.select(["key", "doc", "component"]).take(np.union1d(a, b)).combine_chunks()
+        met = np.zeros(rows.num_rows, dtype=bool)
+        for a, b, _ in _tile_pairs(rows, threshold):
+            met[a] = met[b] = True
+        chosen = rows.select(["key", "doc", "component"]).take(np.flatnonzero(met)).combine_chunks()
         return pa.RecordBatch.from_arrays([c.combine_chunks() for c in chosen.columns], names=chosen.column_names)
 
-    rows = _dealt(members, TILE).join(representatives, "doc")
+    rows = _dealt(members, F.count(F.lit(1)) / TILE).join(representatives, "doc")
     return _by_tile(rows, work, "key bigint, doc bigint, component bigint").distinct()
 
 
 def _tile_links(rows: pa.Table, threshold: float, percent: int, hashes: WordHashes) -> pa.RecordBatch:
     """Links that join components of a tile: closest candidates first, and none inside what is already joined."""
-    a, b, matches = _tile_pairs(rows, threshold)
+    none = np.zeros(0, dtype=np.int64)
+    a, b, matches = (np.concatenate(parts) for parts in zip((none, none, none), *_tile_pairs(rows, threshold)))
     doc, part = rows["doc"].to_numpy(), rows["component"].to_numpy()
     used, place = np.unique(np.r_[a, b]), {}
     sets = [shingle_set(rows["text"][int(r)].as_py() or "", hashes) for r in used]
@@ -389,7 +413,9 @@ def _links_between(
         return _tile_links(rows, threshold, percent, WordHashes())
 
     found = _texts_of(undecided.select("doc"), texts, classes)
-    rows = _dealt(undecided, TEXT_TILE).join(representatives, "doc").join(found, "doc")
+    sized = undecided.join(found.select("doc", F.length("text").alias("chars")), "doc")
+    load = F.greatest(F.count(F.lit(1)) / TEXT_TILE, F.sum("chars") / TEXT_CHARS)
+    rows = _dealt(sized, load).join(representatives, "doc").join(found, "doc")
     return _by_tile(rows, work, "u bigint, v bigint")
 
 

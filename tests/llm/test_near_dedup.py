@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from prefspark.llm import near_dedup
 from prefspark.llm.components import components
 from tests.llm.common import EDGES, documents
@@ -128,3 +130,40 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert all(found[i] == 100 for i in range(100, 161))
     assert all(found[i] == 3 for i in [7, *range(10, 61)])
     assert 5 not in found
+
+
+def test_a_full_tile_of_similar_rows_stays_small():
+    """Every pair of 2 x 1,024 rows is a candidate at first; pairs are handled in blocks and gathered batch by batch."""
+    rng, size = np.random.default_rng(4), near_dedup.TILE
+    common = rng.integers(0, 2**32, near_dedup.PERMUTATIONS, dtype=np.uint32)
+    own = rng.integers(0, 2**32, (2 * size, near_dedup.PERMUTATIONS), dtype=np.uint32)
+    table = np.where(rng.random(own.shape) < 0.88, common, own)
+    table[:, : near_dedup.ROWS] = common[: near_dedup.ROWS]
+    key = int(near_dedup.band_keys(table[:1])[0, 0])
+    rows = pa.table({
+        "key": pa.array([key] * len(table)), "i": pa.array([0] * len(table)), "j": pa.array([1] * len(table)),
+        "own": pa.array([0] * size + [1] * size), "component": pa.array(range(len(table))),
+        "signature": pa.array([r.tobytes() for r in table], pa.binary()),
+    })
+    tracemalloc.start()
+    pairs = [(a, b, m) for a, b, m in near_dedup._tile_pairs(rows, 0.85)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    a, b, matches = (np.concatenate(p) for p in zip(*pairs))
+    assert len(a) > 1_000 and max(len(p[0]) for p in pairs) <= near_dedup.PAIRS
+    full = (table[:size, None, :64] == table[None, size:, :64]).sum(axis=2) + (
+        table[:size, None, 64:] == table[None, size:, 64:]
+    ).sum(axis=2)
+    alive = np.ones((size, size), dtype=bool)
+    for n, least in near_dedup.least_matches(0.85).items():
+        agree = sum((table[:size, None, k] == table[None, size:, k]).astype(np.int32) for k in range(n))
+        alive &= agree >= least
+    assert {(x, y - size) for x, y in zip(a.tolist(), b.tolist())} == set(zip(*(v.tolist() for v in np.nonzero(alive))))
+    assert (matches == full[a, b - size]).all()
+
+
+def test_blocks_of_long_texts_are_bounded_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TEXT_CHARS", 500)
+    rows = corpus(3)
+    assert found(near_dedup.near_dedup(documents(spark, rows))) == expected(rows)
