@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, mixing, multi_index, near_dedup, secret_scan, toxicity, warc
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, merkle, mixing, multi_index, near_dedup, secret_scan, toxicity, warc
 from prefspark.llm.labelled import labelled_sample, remainder
 from prefspark.session import work_path
 
@@ -94,6 +94,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def merkle_proofs(documents: DataFrame) -> DataFrame:
+    """Proofs of documents, each folded again from the leaf of a text that every third document has in lower case."""
+
+    def leaf(text):
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    forged = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    made = merkle.proofs(documents, leaf(F.col("text")), F.when(forged, leaf(line_dedup.ascii_lower(F.col("text")))))
+    digests = [merkle.hex_of(F.col(name)).alias(name) for name in ("leaf", "subroot", "root")]
+    folded = merkle.fold(F.coalesce("other", "leaf"), F.col("proof"))
+    shown = made.select("doc_id", *digests, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -105,9 +123,70 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _merkle_oracle(levels: int = 7, upper: int = 3) -> str:
+    """The trees level by level, for up to 8 ** ``levels`` documents of a language and 8 ** ``upper`` languages."""
+
+    def climb(name: str, group: str, levels: int) -> list[str]:
+        steps = []
+        for k in range(levels):
+            steps.append(f"""
+        {name}s{k} AS (
+            SELECT *, coalesce(string_agg(digest, '') OVER (PARTITION BY {group}, pos // 8 ORDER BY pos
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(digest, '') OVER (PARTITION BY {group}, pos // 8 ORDER BY pos
+                          ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {name}{k}),
+        {name}{k + 1} AS (
+            SELECT {group}, pos // 8 AS pos, (max(n) + 7) // 8 AS n,
+                   CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+            FROM {name}{k} GROUP BY {group}, pos // 8)""")
+        return steps
+
+    def fold(before: str, after: str, level: str, on: str) -> str:
+        return f"""
+        {after} AS (
+            SELECT p.row_id, p.tree, p.at // 8 AS at,
+                   CASE WHEN s.n > 1 THEN sha256(s.l || p.folded || s.r) ELSE p.folded END AS folded,
+                   p.proof || CASE WHEN s.n > 1 THEN s.l || s.r ELSE '' END AS proof
+            FROM {before} p JOIN {level} s ON {on} AND s.pos = p.at)"""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                    lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"""
+    paths = [fold(f"p{k}", f"p{k + 1}", f"ts{k}", "s.tree = p.tree") for k in range(levels)]
+    rise = [fold(f"q{k}", f"q{k + 1}", f"us{k}", "s.top = 0") for k in range(upper)]
+    return f"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS row_id, doc_id, lang, {leaf("text")} AS leaf,
+                   CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS tampered
+            FROM documents),
+        numbered AS (
+            SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY lang) AS n
+            FROM texts),
+        t0 AS (SELECT tree, pos, n, leaf AS digest FROM numbered),{",".join(climb("t", "tree", levels))},
+        u0 AS (SELECT 0 AS top, tree AS pos, count(*) OVER () AS n, digest FROM t{levels}),{",".join(climb("u", "top", upper))},
+        p0 AS (SELECT row_id, tree, pos AS at, tampered AS folded, '' AS proof FROM numbered),{",".join(paths)},
+        q0 AS (SELECT row_id, tree, tree AS at, folded, proof FROM p{levels}),{",".join(rise)}
+        SELECT doc_id, leaf, t.digest AS subroot, u.digest AS root, sha256(q.proof) AS proof_sha256,
+               q.folded AS folded_root, q.folded = u.digest AS verified
+        FROM numbered JOIN q{upper} q USING (row_id) JOIN t{levels} t ON t.tree = numbered.tree CROSS JOIN u{upper} u
+    """
+
+
 ORACLES = {
+    "op13_merkle_manifest": _merkle_oracle(),
     "op2_source_mix": r"""
         WITH sized AS (
             SELECT row_number() OVER () AS row_id, doc_id, source,
