@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, merkle, mixing, multi_index, near_dedup, secret_scan, toxicity, warc
+from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, merkle, mixing, multi_index, near_dedup, secret_scan, toxicity, url_templates, warc
 from prefspark.llm.labelled import labelled_sample, remainder
 from prefspark.session import work_path
 
@@ -94,6 +94,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages")).drop("template")
+
+
 def merkle_proofs(documents: DataFrame) -> DataFrame:
     """Proofs of documents, each folded again from the leaf of a text that every third document has in lower case."""
 
@@ -123,9 +127,96 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op12_url_templates": op12_url_templates,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _url_oracle() -> str:
+    """The tree of path templates, level by level."""
+    sums = ("n", "block", "allow", *url_templates.CLASSES)
+    spread, last = repr(url_templates.SPREAD), url_templates.LEVELS - 1
+
+    def far(own: str, n: str) -> str:
+        rest = f"(all_{own} - {own})::DOUBLE / ({n.replace('@', 'all_')} - ({n.replace('@', '')}))"
+        roots = f"1 / sqrt({n.replace('@', '')}) + 1 / sqrt({n.replace('@', 'all_')} - ({n.replace('@', '')}))"
+        return f"abs({own}::DOUBLE / ({n.replace('@', '')}) - {rest}) > {spread} * ({roots})"
+
+    labelled = "(@block + @allow)"
+    own, everything = labelled.replace("@", ""), labelled.replace("@", "all_")
+    differs = " OR ".join(far(c, "@n") for c in url_templates.CLASSES)
+    differs += f" OR ({own} > 0 AND {everything} > {own} AND {far('block', labelled)})"
+    steps = []
+    for k in range(url_templates.LEVELS):
+        classes = ", ".join(
+            f"sum(CASE WHEN following = '{c}' THEN n ELSE 0 END) AS {c}" if c in url_templates.CLASSES else f"sum({c}) AS {c}"
+            for c in sums
+        )
+        totals = ", ".join(f"sum({c}) OVER (PARTITION BY host, made) AS all_{c}" for c in sums)
+        steps.append(f"""
+        here{k} AS (
+            SELECT *, segments[{k + 1}] AS segment, segments[{k + 2}] AS nxt,
+                   CASE WHEN nxt IS NULL THEN 'stop' ELSE 'next_' || md5(nxt)[1] END AS following
+            FROM leaves{k}),
+        branches{k} AS (
+            SELECT host, made, segment, {classes} FROM here{k} WHERE segment IS NOT NULL GROUP BY host, made, segment),
+        nodes{k} AS (SELECT *, {totals} FROM branches{k}),
+        kept{k} AS (
+            SELECT host, made, segment FROM nodes{k}
+            WHERE n >= {url_templates.SUPPORT} AND CASE WHEN all_n = n THEN TRUE ELSE {differs} END),
+        leaves{k + 1} AS (
+            SELECT h.host, h.template, h.segments, h.n, h.block, h.allow,
+                   CASE WHEN h.segment IS NULL THEN h.made
+                        ELSE h.made || '/' || CASE WHEN k.segment IS NULL THEN '*' ELSE h.segment END END AS made
+            FROM here{k} h LEFT JOIN kept{k} k ON h.host = k.host AND h.made = k.made AND h.segment = k.segment)""")
+    rules = sorted(url_templates.RULES, key=lambda r: -len(r[1]))
+
+    def fits(rule: str) -> str:
+        domain, _, prefix = rule.partition("/")
+        return f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{prefix}')"
+
+    chosen = " ".join(f"WHEN {fits(text)} THEN '{text}'" for _, text in rules)
+    says = " ".join(f"WHEN '{text}' THEN '{verdict}'" for verdict, text in rules)
+    return rf"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        split AS (
+            SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+            FROM cut),
+        ruled AS (SELECT *, CASE {chosen} END AS rule FROM split),
+        parts AS (
+            SELECT *, CASE rule {says} END AS says, string_split(regexp_replace(path, '^/|/$', '', 'g'), '/') AS all_parts
+            FROM ruled),
+        folded AS (
+            SELECT *, CASE WHEN len(all_parts) > {last}
+                      THEN list_append(all_parts[1:{last}], array_to_string(all_parts[{last + 1}:], '/')) ELSE all_parts END AS few
+            FROM parts),
+        typed AS (
+            SELECT page_id, host, path, rule, says, list_transform(few, lambda s: CASE
+                       WHEN length(s) > {url_templates.LONG} THEN '{{long}}'
+                       WHEN regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{{hex}}'
+                       WHEN len(regexp_extract_all(s, '[0-9]+')) > 2 THEN '{{mixed}}'
+                       ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS segments
+            FROM folded),
+        keyed AS (SELECT *, array_to_string(segments, '/') AS template FROM typed),
+        leaves0 AS (
+            SELECT host, template, CASE WHEN template = '' THEN [] ELSE any_value(segments) END AS segments, count(*) AS n,
+                   count(*) FILTER (WHERE says = 'block') AS block, count(*) FILTER (WHERE says = 'allow') AS allow, '' AS made
+            FROM keyed GROUP BY host, template),{",".join(steps)},
+        prior AS (SELECT (sum(block) + 1)::DOUBLE / (sum(block + allow) + 2) AS share FROM leaves{last + 1}),
+        judged AS (
+            SELECT host, made, sum(block) AS b, sum(block + allow) AS labelled,
+                   {url_templates.SMOOTHING}::DOUBLE + {url_templates.UNLABELLED}::DOUBLE * (sum(n) - sum(block + allow)) AS weight
+            FROM leaves{last + 1} GROUP BY host, made),
+        verdicts AS (
+            SELECT host, made, CASE WHEN (b + weight * share) / (labelled + weight) >= {url_templates.PURITY}::DOUBLE
+                                    THEN 'block' ELSE 'allow' END AS verdict
+            FROM judged CROSS JOIN prior)
+        SELECT page_id, host, path, rule, coalesce(says, verdict) AS verdict
+        FROM keyed JOIN leaves{last + 1} USING (host, template) JOIN verdicts USING (host, made)
+    """
+
+
 def _merkle_oracle(levels: int = 7, upper: int = 3) -> str:
     """The trees level by level, for up to 8 ** ``levels`` documents of a language and 8 ** ``upper`` languages."""
 
@@ -186,6 +277,7 @@ def _merkle_oracle(levels: int = 7, upper: int = 3) -> str:
 
 
 ORACLES = {
+    "op12_url_templates": _url_oracle(),
     "op13_merkle_manifest": _merkle_oracle(),
     "op2_source_mix": r"""
         WITH sized AS (
