@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import bpe, exact_dedup, line_dedup, line_quality, merkle, mixing, multi_index, near_dedup, secret_scan, toxicity, url_templates, warc
+from prefspark.llm import (
+    bpe,
+    exact_dedup,
+    hard_negatives,
+    line_dedup,
+    line_quality,
+    merkle,
+    mixing,
+    multi_index,
+    near_dedup,
+    secret_scan,
+    toxicity,
+    url_templates,
+    warc,
+)
 from prefspark.llm.labelled import labelled_sample, remainder
 from prefspark.session import work_path
 
@@ -94,6 +108,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), lambda i: F.pmod(i, F.lit(100)) == 0)
+
+
 def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages")).drop("template")
 
@@ -127,6 +147,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_url_templates": op12_url_templates,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -277,6 +298,28 @@ def _merkle_oracle(levels: int = 7, upper: int = 3) -> str:
 
 
 ORACLES = {
+    "op11_hard_negatives": """
+        WITH usable AS (
+            SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        numbered AS (SELECT row_number() OVER () AS row_id, * FROM usable),
+        scored AS (
+            SELECT a.row_id AS anchor, a.id AS anchor_id, b.row_id, b.id, a.label = b.label AS alike,
+                   list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM numbered a JOIN numbered b ON a.id % 100 = 0 AND a.row_id <> b.row_id),
+        positives AS (
+            SELECT * FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+        ranked AS (
+            SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor, p.row_id ORDER BY n.score DESC, n.id)::INTEGER AS rank
+            FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.alike
+                 AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
     "op12_url_templates": _url_oracle(),
     "op13_merkle_manifest": _merkle_oracle(),
     "op2_source_mix": r"""
