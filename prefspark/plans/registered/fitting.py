@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefspark.operators import fit, models, stats
-from prefspark.operators.ranker import text_pair_ranker
-from prefspark.operators.rating import RUBRIC_FEATURES
+from prefspark.functions.features import add_lexical_signals
+from prefspark.operators.ranker import load_ranker, ranker_slope, text_pair_ranker
+from prefspark.operators.rating import RUBRIC_FEATURES, lexical_ratings
+from prefspark.operators.regressor import fit_ratings, regression_slopes
 from prefspark.plans import flows, inputs
 from prefspark.plans.registered.common import FEATURES, MODEL_A, MODEL_B, PAIRS, Query, q6, r6, reward_sql, sided_pairs, sql
 from prefspark.plans.registered.pairs import RATED_SAMPLES, _rated_samples
@@ -64,15 +66,37 @@ def save_model(spark, sf_dir):
     return scored.select("prompt", "sample_idx", r6("reward").alias("reward"))
 
 
-def text_ranker(spark, sf_dir):
-    """The operator at its defaults; ``settled`` says whether the fits of all strengths came to rest within its steps."""
+def _ranked_pairs(spark, sf_dir):
     pairs = inputs.pairs(spark, sf_dir).withColumn("role", F.col("split"))
-    stored = settle(pairs.select("pair_id", "split", "role", "chosen", "rejected"), "ranked_pairs")
+    return settle(pairs.select("pair_id", "split", "role", "context", "chosen", "rejected"), "ranked_pairs")
+
+
+def text_ranker(spark, sf_dir):
+    """The operator at its defaults, on prompts and both responses; ``settled`` says whether the fits of all strengths came to rest."""
+    stored = _ranked_pairs(spark, sf_dir)
     ranker = text_pair_ranker(stored)
     accuracy = stats.pairwise_accuracy(ranker.score_pairs(stored))
     return accuracy.select("model", "split", F.lit(ranker.reg).alias("reg"), F.lit(ranker.settled).alias("settled"), r6("accuracy").alias("accuracy"), "n")
 
 
+def text_ranker_slope(spark, sf_dir):
+    """The ranker, stored and loaded again: whether the loss over the training pairs is level at its weights."""
+    stored, path = _ranked_pairs(spark, sf_dir), work_path(spark, "ranker")
+    text_pair_ranker(stored).save(spark, path)
+    found = ranker_slope(load_ranker(spark, path), stored.where(F.col("role") == "train"))
+    return found.select(F.lit("ranker").alias("model"), (F.col("slope") < SETTLED).alias("settled"), "n")
+
+
+def rating_regression(spark, sf_dir):
+    """All thirteen ratings regressed on the texts of documents: whether each target's objective is level at its weights."""
+    texts = inputs.documents(spark, sf_dir, "doc_id", "source", "text")
+    named = texts.select("doc_id", F.col("source").alias("context"), F.col("text").alias("response"))
+    measured = add_lexical_signals(named, "response", "context")
+    samples = settle(measured.withColumns(lexical_ratings("signals")).drop("signals"), "rated_documents")
+    found = regression_slopes(fit_ratings(samples, RUBRIC_FEATURES), samples, "doc_id")
+    return found.select("target", (F.col("slope") < SETTLED).alias("settled"), "n")
+
+
 def experiment_grid(spark, sf_dir):
     """Data size against the short and the full feature list, each a full cross-validated search."""
     stored = settle(flows.annotate_pairs(inputs.pairs(spark, sf_dir)), "annotated")
@@ -122,6 +146,8 @@ QUERIES: dict[str, Query] = {
     "grid_search_cv": grid_search_cv,
     "save_model": save_model,
     "text_pair_ranker": text_ranker,
+    "text_ranker_slope": text_ranker_slope,
+    "rating_regression": rating_regression,
     "experiment_grid": experiment_grid,
     "fit_pairs": fit_pairs,
     "annotate_pairs": annotate_pairs,
@@ -152,6 +178,8 @@ ORACLES: dict[str, str] = {
         body="SELECT short, n AS subset, CASE WHEN short THEN 3 ELSE 14 END AS features, TRUE AS settled, n, 24 AS settings "
         "FROM (SELECT unnest([TRUE, FALSE]) AS short), (SELECT n FROM r UNION ALL SELECT n // 2 FROM r)",
     ),
+    "text_ranker_slope": sql(PAIRS, body="SELECT 'ranker' AS model, TRUE AS settled, count(*) AS n FROM pairs WHERE split = 'train'"),
+    "rating_regression": f"SELECT unnest([{', '.join(repr(f) for f in RUBRIC_FEATURES)}]) AS target, TRUE AS settled, (SELECT count(text) FROM documents) AS n",
     "annotate_pairs": f"""WITH a AS ({word_rating_sql("response")}),
 c AS (SELECT * FROM a WHERE side = 'chosen'), r AS (SELECT * FROM a WHERE side = 'rejected')
 SELECT pair_id, max(CASE WHEN feature = 'helpfulness' THEN c.rating END) AS helpfulness_chosen,
