@@ -15,7 +15,8 @@ from prefspark.functions.text import (
     strip_role_headers,
     token_count,
 )
-from prefspark.operators.rating import Rater, rate_with
+from prefspark.operators.rating import Rater
+from prefspark.operators.replies import replied
 
 ORDERS = ("direct", "swapped")
 
@@ -83,6 +84,15 @@ def render_judge_task(
     )
 
 
+def judged_by_words(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Both orders of each comparison with nothing but the answers' word counts, which is all the offline judge reads."""
+    fields = ("order", "words1", "words2")
+    orders = F.array(
+        *[F.struct(*[c.alias(n) for c, n in zip((F.lit(o), F.col(a), F.col(b)), fields)]) for o, a, b in zip(ORDERS, (first, second), (second, first))]
+    )
+    return df.select(*[c for c in df.columns if c not in (first, second)], F.inline(orders))
+
+
 def rule_based_reply(words1: str | Column = "words1", words2: str | Column = "words2") -> Column:
     """The offline judge's reply: a score per answer from its number of words, the first answer one point up.
 
@@ -97,35 +107,52 @@ def rule_based_reply(words1: str | Column = "words1", words2: str | Column = "wo
 
 
 def judge_with(
-    tasks: DataFrame, judge: Rater | None = None, out: str = "reply"
+    tasks: DataFrame, judge: Rater | None = None, out: str = "reply", store: str | None = None, name: str = ""
 ) -> DataFrame:
-    """Add the judge's reply per task; without a judge the offline rule reads the answers' word counts."""
+    """Add the judge's reply per task; without a judge the offline rule reads the answers' word counts.
+
+    A plugged-in judge is called once for each distinct task, and its replies are kept in ``store`` (``replied``).
+    """
     if judge is None:
         if "words1" in tasks.columns:
             return tasks.withColumn(out, rule_based_reply()).drop("words1", "words2")
         return tasks.withColumn(out, rule_based_reply(token_count("answer1"), token_count("answer2")))
-    return rate_with(tasks, judge, out=out)
+    return replied(tasks, judge, store, name, out=out)
 
 
-def judge_scores_to_numbers(df: DataFrame, col: str = "scores") -> tuple[DataFrame, DataFrame]:
-    """Score texts as columns ``score1`` and ``score2``; returns (good rows, quarantined rows with a reason)."""
-    parts = F.split(F.col(col), " ", -1)
-    numbers = F.transform(parts, lambda p: F.trim(p).try_cast("double"))
-    parsed = df.withColumn("_numbers", numbers)
+def with_numbers(df: DataFrame, col: str = "scores") -> DataFrame:
+    """Score texts as columns ``score1`` and ``score2``, and the ``reason`` for which a row has none."""
+    numbers = F.transform(F.split(F.col(col), " ", -1), lambda p: F.trim(p).try_cast("double"))
     reason = F.when(F.col("_numbers").isNull() | (F.size("_numbers") != 2), "not two scores").when(
         F.exists("_numbers", lambda x: x.isNull()), "not a number"
     )
-    marked = parsed.withColumn("reason", reason)
-    good = marked.where(F.col("reason").isNull()).withColumns(
-        {"score1": F.get("_numbers", F.lit(0)), "score2": F.get("_numbers", F.lit(1))}
-    )
-    return good.drop("_numbers", "reason"), marked.where(F.col("reason").isNotNull()).drop("_numbers")
+    marked = df.withColumn("_numbers", numbers).withColumn("reason", reason)
+    scores = {f"score{i + 1}": F.when(F.col("reason").isNull(), F.get("_numbers", F.lit(i))) for i in range(2)}
+    return marked.withColumns(scores).drop("_numbers")
+
+
+def judge_scores_to_numbers(df: DataFrame, col: str = "scores") -> tuple[DataFrame, DataFrame]:
+    """Score texts as columns ``score1`` and ``score2``; returns (good rows, quarantined rows with a reason).
+
+    Who needs both halves again takes ``scored_replies``, which keeps them in one table.
+    """
+    marked = with_numbers(df, col)
+    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull()).drop("score1", "score2")
+
+
+def _with_scores(judged: DataFrame, reply: str) -> DataFrame:
+    return judged.withColumns({"scores": parse_judge_scores(reply), "parse_failed": ~has_judge_scores(reply)})
 
 
 def parse_replies(judged: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
     """Replies to numbers with ``parse_failed`` set where the reply held no scores; returns (good, quarantined)."""
-    scored = judged.withColumns({"scores": parse_judge_scores(reply), "parse_failed": ~has_judge_scores(reply)})
-    return judge_scores_to_numbers(scored, "scores")
+    return judge_scores_to_numbers(_with_scores(judged, reply), "scores")
+
+
+def scored_replies(judged: DataFrame, reply: str = "reply") -> DataFrame:
+    """Every reply once, with its scores: those without two numbers have null scores, a ``reason`` and ``parse_failed`` set."""
+    numbered = with_numbers(_with_scores(judged, reply), "scores")
+    return numbered.withColumn("parse_failed", F.col("reason").isNotNull() | F.coalesce("parse_failed", F.lit(True)))
 
 
 def with_failed(good: DataFrame, quarantined: DataFrame) -> DataFrame:

@@ -223,8 +223,13 @@ def rate_samples(
     rater: Rater | None = None,
     kind: str = "hh",
     rubric: Sequence[RubricRow] = RUBRIC,
+    store: str | None = None,
+    name: str = "",
 ) -> DataFrame:
-    """Long ratings (sample columns, feature, rating) of every sample on every rubric feature."""
+    """Long ratings (sample columns, feature, rating) of every sample on every rubric feature.
+
+    A plugged-in rater is called once for each distinct task, and its replies are kept in ``store`` (``replied``).
+    """
     if rater is None:
         measured = add_lexical_signals(samples, response, context)
         kept = [c for c in samples.columns if c not in (context, response)]
@@ -237,7 +242,9 @@ def rate_samples(
         )
         replies = measured.select(*kept, F.inline(named))
     else:
-        replies = rate_with(render_rating_task(samples, rubric, kind, context, response), rater).drop("task")
+        from prefspark.operators.replies import replied
+
+        replies = replied(render_rating_task(samples, rubric, kind, context, response), rater, store, name).drop("task")
     return replies.withColumn("rating", parse_rating("reply")).drop("reply")
 
 

@@ -100,9 +100,13 @@ def judge_candidates(
     external: DataFrame | None = None,
     judge_fn: Rater | None = None,
     kind: str = "hh",
+    store: str | None = None,
+    name: str = "",
 ) -> DataFrame:
     """Win rates of every model's best response over the first response, per model, with the spread over chunks.
 
+    A plugged-in judge sees every distinct task once; ``store`` keeps its replies for later runs.
+
     ``external`` holds (prompt, response, score); its normalized score is one more model. The external join
     comes first, so chunks hold rows that have every score.
     """
@@ -114,7 +118,7 @@ def judge_candidates(
     chunked = select.chunk_samples(scored, order_by=order_by)
     candidates = select.bon_candidates(chunked, models, order_by=order_by, by=["chunk"])
     tasks = judge.render_judge_task(candidates, kind=kind, count_words=judge_fn is None)
-    judged = judge.with_failed(*judge.parse_replies(judge.judge_with(tasks, judge_fn)))
+    judged = judge.scored_replies(judge.judge_with(tasks, judge_fn, store=store, name=name))
     return judge.preference_rate(judge.judge_debias(judged, ["model", "chunk", "prompt"]))
 
 

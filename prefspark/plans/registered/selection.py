@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from prefspark.functions.text import parse_judge_scores, has_judge_scores, parse_rating
+from prefspark.functions.text import has_judge_scores, parse_judge_scores, parse_rating, token_count
 from prefspark.operators import judge, rating, reshape, select
 from prefspark.plans import flows, inputs
 from prefspark.plans.registered.common import (
@@ -22,6 +22,8 @@ from prefspark.plans.registered.common import (
     sql,
 )
 
+from prefspark.session import settle
+
 ORDER = ("ts", "event_id")
 SIDES = ("chosen", "rejected")
 
@@ -72,8 +74,8 @@ def _digit_reply(answer1, answer2) -> F.Column:
 def preference_rate(spark, sf_dir):
     """Candidates judged in both orders, then win rates over chunks."""
     tasks = judge.render_judge_task(_chunk_candidates(spark, sf_dir))
-    replies = judge.parse_replies(tasks.withColumn("reply", _digit_reply("answer1", "answer2")))
-    return _rates(judge.judge_debias(judge.with_failed(*replies), ["model", "chunk", "prompt"]))
+    replies = judge.scored_replies(tasks.withColumn("reply", _digit_reply("answer1", "answer2")))
+    return _rates(judge.judge_debias(replies, ["model", "chunk", "prompt"]))
 
 
 def _rates(debiased):
@@ -110,7 +112,7 @@ def judge_record(spark, sf_dir):
         "pair_id", F.col("context").alias("prompt"), F.array("rejected", "chosen").alias("response")
     )
     replies = judge.judge_with(judge.render_judge_task(compared, count_words=True))
-    judged = judge.with_failed(*judge.parse_replies(replies))
+    judged = judge.scored_replies(replies)
     records = judge.judge_record(judged, ["pair_id"])
     return records.select(
         "pair_id", F.md5("prompt").alias("prompt_md5"), F.md5("prompt_swap").alias("swap_md5"), "response", "response_swap",
@@ -120,11 +122,12 @@ def judge_record(spark, sf_dir):
 
 def select_and_judge(spark, sf_dir):
     """Good against bad answers with the offline judge, in both orders."""
-    compared = inputs.pairs(spark, sf_dir).select(
-        "pair_id", F.col("context").alias("prompt"), F.array("rejected", "chosen").alias("response"), "split"
-    )
-    replies = judge.parse_replies(judge.judge_with(judge.render_judge_task(compared, count_words=True)))
-    debiased = judge.judge_debias(judge.with_failed(*replies), ["pair_id", "split"])
+    counts = settle(inputs.documents(spark, sf_dir, "doc_id", "text").select("doc_id", token_count("text").alias("words")), "word_counts")
+    sides = [counts.withColumnsRenamed({"doc_id": key, "words": f"{key}_words"}) for key in ("pair_id", "rejected_id")]
+    keys = inputs.pair_keys(spark, sf_dir).select("pair_id", "rejected_id", "split")
+    compared = keys.join(sides[0], "pair_id").join(sides[1], "rejected_id")
+    replies = judge.scored_replies(judge.judge_with(judge.judged_by_words(compared, "rejected_id_words", "pair_id_words")))
+    debiased = judge.judge_debias(replies, ["pair_id", "split"])
     rates = judge.preference_rate(debiased, by=["split"], chunk=None)
     return rates.select("split", *[r6(o).alias(o) for o in ("win", "tie", "loss")], "n", "failed")
 
@@ -159,12 +162,8 @@ def parse_judge_replies(spark, sf_dir):
 
 
 def judge_scores_to_numbers(spark, sf_dir):
-    scored = parse_judge_replies(spark, sf_dir)
-    good, held = judge.judge_scores_to_numbers(scored)
-    none = F.lit(None).cast("double")
-    return good.select("o_orderkey", "score1", "score2", F.lit(None).cast("string").alias("reason")).unionByName(
-        held.select("o_orderkey", none.alias("score1"), none.alias("score2"), "reason")
-    )
+    scored = inputs.judge_replies(spark, sf_dir).select("o_orderkey", parse_judge_scores("reply").alias("scores"))
+    return judge.with_numbers(scored).select("o_orderkey", "score1", "score2", "reason")
 
 
 def _both_orders(spark, sf_dir):
