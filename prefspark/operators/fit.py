@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -137,59 +138,72 @@ class Setting:
     fold: int
 
 
-def _derivatives(rows: DataFrame, weights: np.ndarray, folds: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss, gradient and Hessian of every setting's training rows in one pass over ``rows`` (x, y, fold).
+def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of equal length as rows of a matrix, without an object per row; null elements are NaN."""
+    column = batch.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    A task turns its Arrow batches into one summary row. Where there are many tasks (``wide``), summaries are
-    added up in groups on the way, so the driver receives at most 64 of them whatever the number of rows.
-    """
-    models, k = weights.shape
-    upper = np.triu_indices(k)
 
-    def summarize(batches):
-        total = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = np.stack(batch["x"].to_numpy()), batch["y"].to_numpy()
-            used = batch["fold"].to_numpy()[:, None] != folds[None, :]
-            margin = x @ weights.T
-            signed = np.where(y[:, None] == 1, margin, -margin)
-            loss = (np.logaddexp(0.0, -signed) * used).sum(0)
-            share = 1.0 / (1.0 + np.exp(np.clip(-margin, -700, 700)))
-            gradient = ((share - y[:, None]) * used).T @ x
-            curvature = (share * (1.0 - share) * used).T @ (x[:, upper[0]] * x[:, upper[1]])
-            part = np.concatenate([loss[:, None], gradient, curvature], axis=1).ravel()
-            total = part if total is None else total + part
-        if total is not None:
-            yield _summary(total)
+def setting_sums(x: np.ndarray, y: np.ndarray, used: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper half of the Hessian of every setting (row of ``weights``) over the rows it uses."""
+    upper = np.triu_indices(x.shape[1])
+    margin = x @ weights.T
+    signed = np.where(y[:, None] == 1, margin, -margin)
+    loss = (np.logaddexp(0.0, -signed) * used).sum(0)
+    share = 1.0 / (1.0 + np.exp(np.clip(-margin, -700, 700)))
+    gradient = ((share - y[:, None]) * used).T @ x
+    curvature = (share * (1.0 - share) * used).T @ (x[:, upper[0]] * x[:, upper[1]])
+    return np.concatenate([loss[:, None], gradient, curvature], axis=1)
+
 
-    summed = _add_up(rows.mapInPandas(summarize, "part array<double>"), wide).reshape(models, -1)
-    hessian = np.zeros((models, k, k))
-    hessian[:, upper[0], upper[1]] = summed[:, 1 + k :]
-    hessian[:, upper[1], upper[0]] = summed[:, 1 + k :]
-    return summed[:, 0], summed[:, 1 : 1 + k], hessian
+def unpacked(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient and full Hessian from rows of ``setting_sums``."""
+    upper = np.triu_indices(k)
+    hessian = np.zeros((len(sums), k, k))
+    hessian[:, upper[0], upper[1]] = sums[:, 1 + k :]
+    hessian[:, upper[1], upper[0]] = sums[:, 1 + k :]
+    return sums[:, 0], sums[:, 1 : 1 + k], hessian
 
 
-def _summary(total: np.ndarray):
-    import pandas as pd
+def sum_over(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], wide: bool) -> np.ndarray:
+    """Sum of ``part`` over the Arrow batches of ``rows``, flat.
 
-    return pd.DataFrame({"part": [total]})
+    A task turns its batches into one summary row. Where there are many tasks (``wide``), summaries are
+    added up in groups on the way, so the driver receives at most SUMMARIES of them whatever the number of rows.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                found = part(batch).ravel().astype(float)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["part"])
 
-def _add_up(parts: DataFrame, wide: bool, groups: int = SUMMARIES) -> np.ndarray:
-    def add(batches):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for part in batch["part"]:
-                total = part if total is None else total + part
+            for i in range(batch.num_rows):
+                found = batch.column("part")[i].values.to_numpy()
+                total = found if total is None else total + found
         if total is not None:
-            yield _summary(total)
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["part"])
 
+    parts = rows.mapInArrow(run, "part array<double>")
     if wide:
-        parts = parts.repartition(groups).mapInPandas(add, "part array<double>")
-    collected = parts.collect()
-    return np.sum([np.asarray(row.part) for row in collected], axis=0)
+        parts = parts.repartition(SUMMARIES).mapInArrow(add, "part array<double>")
+    return np.sum([np.asarray(p) for p in parts.toArrow().column("part").to_pylist()], axis=0)
+
+
+def _derivatives(rows: DataFrame, weights: np.ndarray, folds: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of every setting's training rows in one pass over ``rows`` (x, y, fold)."""
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        used = batch.column("fold").to_numpy()[:, None] != folds[None, :]
+        return setting_sums(matrix_of(batch, "x"), batch.column("y").to_numpy(), used, weights)
+
+    return unpacked(sum_over(rows, part, wide).reshape(len(weights), -1), weights.shape[1])
 
 
 def _lasso_targets(hessian: np.ndarray, pull: np.ndarray, start: np.ndarray, threshold: np.ndarray) -> np.ndarray:
@@ -240,24 +254,27 @@ def _newton_targets(
     return target
 
 
-def fit_settings(
-    rows: DataFrame, settings: Sequence[Setting], k: int, wide: bool = False, max_passes: int = 60, tol: float = 1e-9
+def newton(
+    evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    strengths: np.ndarray,
+    lasso: np.ndarray,
+    k: int,
+    max_passes: int = 60,
+    tol: float = 1e-9,
 ) -> np.ndarray:
-    """Weights of all settings by damped Newton steps that share their passes over the data.
+    """Weights of many penalized fits by damped Newton steps that share their passes over the data.
 
-    Every pass evaluates all unfinished settings at once, so a search costs tens of passes instead of tens per
-    fit. A step that does not lower a setting's objective is halved towards its last good point.
+    ``evaluate`` takes the numbers of the unfinished fits and their weights, and gives loss, gradient and Hessian of each from
+    one pass, so a search costs tens of passes instead of tens per fit. A step that does not lower a fit's objective
+    is halved towards its last good point.
     """
-    best = np.zeros((len(settings), k))
+    best = np.zeros((len(strengths), k))
     trial = best.copy()
-    objective = np.full(len(settings), np.inf)
-    halvings = np.zeros(len(settings), dtype=int)
-    folds = np.array([s.fold for s in settings])
-    strengths = np.array([s.C for s in settings])
-    lasso = np.array([s.penalty == "l1" for s in settings])
-    active = np.arange(len(settings))
+    objective = np.full(len(strengths), np.inf)
+    halvings = np.zeros(len(strengths), dtype=int)
+    active = np.arange(len(strengths))
     for _ in range(max_passes):
-        loss, gradient, hessian = _derivatives(rows, trial[active], folds[active], wide)
+        loss, gradient, hessian = evaluate(active, trial[active])
         size = np.where(lasso[active], np.abs(trial[active]).sum(1), 0.5 * (trial[active] ** 2).sum(1))
         value = loss + size / strengths[active]
         worse = (value > objective[active] * (1 + 1e-12)) & (halvings[active] < 30)
@@ -275,30 +292,43 @@ def fit_settings(
         active = np.concatenate([back, kept[moving]])
         if not len(active):
             return best
-    raise RuntimeError(f"{len(active)} of {len(settings)} fits have not settled after {max_passes} passes")
+    raise RuntimeError(f"{len(active)} of {len(strengths)} fits have not settled after {max_passes} passes")
+
+
+def fit_settings(
+    rows: DataFrame, settings: Sequence[Setting], k: int, wide: bool = False, max_passes: int = 60, tol: float = 1e-9
+) -> np.ndarray:
+    """Weights of all settings over ``rows`` (x, y, fold), in shared passes."""
+    folds = np.array([s.fold for s in settings])
+    strengths = np.array([s.C for s in settings])
+    lasso = np.array([s.penalty == "l1" for s in settings])
+    return newton(
+        lambda active, weights: _derivatives(rows, weights, folds[active], wide), strengths, lasso, k, max_passes, tol
+    )
 
 
 def _fold_accuracy(rows: DataFrame, weights: np.ndarray, settings: Sequence[Setting], wide: bool) -> np.ndarray:
     """Held-out accuracy of every setting that leaves a fold out, in one pass."""
     folds = np.array([s.fold for s in settings])
 
-    def count(batches):
-        total = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = np.stack(batch["x"].to_numpy()), batch["y"].to_numpy()
-            held = batch["fold"].to_numpy()[:, None] == folds[None, :]
-            hit = ((x @ weights.T > 0) == (y[:, None] == 1)) & held
-            part = np.concatenate([hit.sum(0), held.sum(0)]).astype(float)
-            total = part if total is None else total + part
-        if total is not None:
-            yield _summary(total)
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        held = batch.column("fold").to_numpy()[:, None] == folds[None, :]
+        hit = ((matrix_of(batch, "x") @ weights.T > 0) == (batch.column("y").to_numpy()[:, None] == 1)) & held
+        return np.concatenate([hit.sum(0), held.sum(0)])
 
-    hits, rows_held = _add_up(rows.mapInPandas(count, "part array<double>"), wide).reshape(2, -1)
+    hits, rows_held = sum_over(rows, part, wide).reshape(2, -1)
     return hits / np.maximum(rows_held, 1)
 
 
+def held_out_accuracy(df: DataFrame, x: Column, fold_weights: Sequence[Sequence[float]], label: str = "labels") -> DataFrame:
+    """``accuracy``: mean over folds (column ``fold``) of the share of held-out rows whose side is told, by a plain aggregate."""
+    chosen = F.get(F.array(*[F.array(*map(F.lit, w)) for w in fold_weights]), F.col("fold"))
+    products = F.zip_with(x, chosen, lambda a, b: a * b)
+    margin = F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+    hit = ((margin > 0) == (F.col(label) == 1)).cast("double")
+    return df.groupBy("fold").agg(F.avg(hit).alias("share")).agg((F.sum("share") / len(fold_weights)).alias("accuracy"))
+
+
 def grid_search_cv(
     df: DataFrame,
     features: Sequence[str],
@@ -312,8 +342,8 @@ def grid_search_cv(
 ) -> tuple[RewardModel, list[dict]]:
     """Best strength and penalty by mean held-out accuracy, refitted on all rows; returns (model, metrics).
 
-    Metrics have one entry per strength and penalty. Among equal accuracies the smallest strength wins, l1
-    before l2. All folds of all settings, and the refits, are fitted together.
+    Metrics have one entry per strength and penalty; that of the winner also holds the weights of its folds. Among equal
+    accuracies the smallest strength wins, l1 before l2. All folds of all settings, and the refits, are fitted together.
     """
     means, stds = _moments(df, features, form)
     narrow = df.select(
@@ -338,6 +368,7 @@ def grid_search_cv(
         {"model": name, "C": c, "penalty": p, "accuracy": float(a), "best": i == winner}
         for i, ((c, p), a) in enumerate(zip(grid, accuracy))
     ]
+    metrics[winner]["fold_weights"] = weights[winner * (folds + 1) :][:folds].tolist()
     return RewardModel(name, model.features, model.means, model.stds, model.coefs, acc=float(accuracy[winner])), metrics
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefspark.operators import fit, models, stats
-from prefspark.functions.features import add_lexical_signals
+from prefspark.functions.features import add_features, add_lexical_signals, registered_features
 from prefspark.operators.ranker import load_ranker, ranker_slope, text_pair_ranker
 from prefspark.operators.rating import RUBRIC_FEATURES, lexical_ratings
 from prefspark.operators.regressor import fit_ratings, regression_slopes
-from prefspark.plans import flows, inputs
+from prefspark.plans import flows, grid, inputs
 from prefspark.plans.registered.common import FEATURES, MODEL_A, MODEL_B, PAIRS, Query, q6, r6, reward_sql, sided_pairs, sql
 from prefspark.plans.registered.pairs import RATED_SAMPLES, _rated_samples
 from prefspark.plans.registered.selection import _count_words, word_rating_sql
@@ -54,7 +54,12 @@ def grid_search_cv(spark, sf_dir):
     """The full search: 12 strengths, 2 penalties, 8 folds; the refit of the best setting."""
     sided = sided_pairs(spark, sf_dir).where(F.col("split") == "train")
     model, metrics = fit.grid_search_cv(sided, FEATURES, name="search")
-    return _settled(sided, model, *_best(metrics)).withColumn("settings", F.lit(len(metrics)))
+    folds = fit.stratified_folds(sided, "pair_id", "labels", fit.FOLDS)
+    x, weights = fit.design(model.features, model.means, model.stds, "difference"), next(m for m in metrics if m["best"])["fold_weights"]
+    recounted = fit.held_out_accuracy(folds, x, weights).first().accuracy
+    checked = abs(recounted - model.acc) < SETTLED and model.acc > max(m["accuracy"] for m in metrics) - SETTLED
+    settled = _settled(sided, model, *_best(metrics)).withColumn("settings", F.lit(len(metrics)))
+    return settled.withColumn("winner_checked", F.lit(checked))
 
 
 def save_model(spark, sf_dir):
@@ -112,6 +117,39 @@ def experiment_grid(spark, sf_dir):
     return flows.experiment_grid(spark, runs, step)
 
 
+def experiment_grid_shared(spark, sf_dir):
+    """24 searches in shared passes: two extractors, short and full features, given and a scorer's labels, three data sizes.
+
+    The second extractor rates the responses without their context. Slope and winner of each run come from aggregates of their own.
+    """
+    pairs = inputs.pairs(spark, sf_dir).select("pair_id", "split", "context", "chosen", "rejected")
+    first = flows.annotate_pairs(pairs).withColumn("_context", F.col("context")).withColumn("context", F.lit(""))
+    second = flows.annotate_pairs(first, prefix="zeroshot_").drop("context").withColumnRenamed("_context", "context")
+    measured = add_features(second, {"chosen": "chosen", "rejected": "rejected"}, "context", {"length": registered_features()["length"]})
+    stored = settle(measured.drop("chosen", "rejected"), "grid_annotated")
+    scorers = {"teacher": settle(models.pair_scores(sided_pairs(spark, sf_dir), MODEL_B), "teacher_scores")}
+    rows = stored.where(F.col("split") == "train").count()
+    runs = [
+        grid.Run(prefix, short, scorer, subset)
+        for prefix in ("", "zeroshot_")
+        for short in (True, False)
+        for scorer in (None, "teacher")
+        for subset in (rows // 4, rows // 2, None)
+    ]
+    fits, shared = grid.fit_grid(stored, runs, scorers)
+    stems = list(dict.fromkeys(f for run in runs for f in run.features()))
+    checks = {c.run: c for c in grid.grid_checks(shared, fits, stems, list(scorers)).collect()}
+    table = [
+        (
+            f.run.prefix, f.run.short, f.run.scorer, f.run.subset, len(f.model.features), checks[r].slope < SETTLED,
+            abs(checks[r].accuracy - f.model.acc) < SETTLED and f.model.acc > max(m["accuracy"] for m in f.metrics) - SETTLED, checks[r].n, len(f.metrics),
+        )
+        for r, f in enumerate(fits)
+    ]
+    schema = "prefix string, short boolean, scorer string, subset long, features int, settled boolean, winner_checked boolean, n long, settings int"
+    return spark.createDataFrame(table, schema)
+
+
 def fit_pairs(spark, sf_dir):
     """Annotate, re-label by a given scorer and fit: whether the new model is the optimum on the re-labelled rows."""
     annotated = settle(flows.annotate_pairs(inputs.pairs(spark, sf_dir)), "annotated")
@@ -149,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "text_ranker_slope": text_ranker_slope,
     "rating_regression": rating_regression,
     "experiment_grid": experiment_grid,
+    "experiment_grid_shared": experiment_grid_shared,
     "fit_pairs": fit_pairs,
     "annotate_pairs": annotate_pairs,
     "compare_models": compare_models,
@@ -170,7 +209,15 @@ ORACLES: dict[str, str] = {
     "pairwise_fit_concat": sql(
         PAIRS, body="SELECT cast(unnest(range(28)) AS integer) AS feature_pos, TRUE AS settled, (SELECT count(*) FROM pairs WHERE split = 'train') AS n"
     ),
-    "grid_search_cv": sql(PAIRS, body=_settled_sql("search", ", 24 AS settings")),
+    "grid_search_cv": sql(PAIRS, body=_settled_sql("search", ", 24 AS settings, TRUE AS winner_checked")),
+    "experiment_grid_shared": sql(
+        PAIRS,
+        "r AS (SELECT count(*) AS rows FROM pairs WHERE split = 'train')",
+        "subsets AS (SELECT rows // 4 AS subset, rows FROM r UNION ALL SELECT rows // 2, rows FROM r UNION ALL SELECT NULL, rows FROM r)",
+        body="SELECT prefix, short, scorer, subset, CASE WHEN short THEN 3 ELSE 14 END AS features, TRUE AS settled, TRUE AS winner_checked, "
+        "coalesce(subset, rows) AS n, 24 AS settings FROM subsets, (SELECT unnest(['', 'zeroshot_']) AS prefix), "
+        "(SELECT unnest([TRUE, FALSE]) AS short), (SELECT unnest([NULL, 'teacher']) AS scorer)",
+    ),
     "fit_pairs": sql(PAIRS, body=_settled_sql("student", ", 24 AS settings")),
     "experiment_grid": sql(
         PAIRS,
