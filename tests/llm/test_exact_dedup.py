@@ -40,3 +40,16 @@ def test_a_shared_digest_does_not_join_texts(spark):
 
 def test_empty_table(spark):
     assert exact_dedup(documents(spark, [])).count() == 0
+
+
+def test_one_row_repeated_many_times_with_and_without_an_id(spark):
+    """Rows that repeat id and text cost a row each, not an array, and one of them stays."""
+    many = spark.range(2_000_000, numPartitions=8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 < 2 THEN 'again' ELSE concat('t', id) END AS text"
+    )
+    placed = exact_dedup(many)
+    sums = placed.groupBy((F.col("group_size") > 1).alias("copies")).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"), F.max("keep_id").alias("keep"))
+    found = {r.copies: r for r in sums.collect()}
+    assert (found[True].n, found[True].kept, found[True].keep) == (1_333_334, 1, 7)
+    assert (found[False].n, found[False].kept) == (666_666, 666_666)
+    assert "explode(sequence" not in placed._jdf.queryExecution().toString()
