@@ -72,6 +72,55 @@ def pair_scores(
     )
 
 
+#: Rows of a table of models that travel to every task.
+MAX_TERMS = 100_000
+
+
+def score_models(
+    df: DataFrame,
+    terms: DataFrame,
+    label: str = "labels",
+    sides: tuple[str, str] = ("a", "b"),
+    keep: Sequence[str] = ("pair_id", "split"),
+) -> DataFrame:
+    """Scores of both sides under every model of a table of terms: ``model, *keep, score_chosen, score_rejected``.
+
+    One plan of the same length for any number of models: the table becomes one row, a scalar subquery, and each pair grows a
+    row per model inside the scanning task. The table has at most MAX_TERMS rows, which is checked; a feature that the pairs
+    lack is an error. A missing feature value gives a null score.
+    """
+    sized = terms.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("feature")).alias("names")).first()
+    if sized.n > MAX_TERMS:
+        raise ValueError(f"{sized.n} terms, at most {MAX_TERMS} are scored at once")
+    if not sized.n:
+        raise ValueError("no model to score with")
+    place = (F.array_position(F.array(*map(F.lit, sized.names)), F.col("feature")) - 1).cast("int")
+    term = F.struct("feature_pos", place.alias("at"), "mean", "std", "coef")
+    listed = terms.groupBy("model").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    models = listed.agg(F.array_sort(F.collect_list(F.struct("model", "terms"))).alias("models")).scalar()
+    wide = df
+    for side in sides:
+        wide = feature_array(wide, sized.names, side, out=f"_features_{side}")
+    kept = wide.select(*keep, label, *[f"_features_{side}" for side in sides])
+    each = kept.select("*", F.inline(models))
+
+    def score(side: str) -> Column:
+        def add(total: Column, t: Column) -> Column:
+            return total + (F.get(f"_features_{side}", t["at"]) - t["mean"]) / t["std"] * t["coef"]
+
+        return F.aggregate("terms", F.lit(0.0), add)
+
+    first, second = (score(side) for side in sides)
+    scored = each.withColumns({"score_a": first, "score_b": second})
+    preferred = F.col(label).eqNullSafe(F.lit(1))
+    return scored.select(
+        "model",
+        *keep,
+        F.when(preferred, F.col("score_a")).otherwise(F.col("score_b")).alias("score_chosen"),
+        F.when(preferred, F.col("score_b")).otherwise(F.col("score_a")).alias("score_rejected"),
+    )
+
+
 def model_tables(spark: SparkSession, models: Sequence[RewardModel]) -> tuple[DataFrame, DataFrame]:
     """Models as (terms, headers): one row per feature, one row per model."""
     terms = [

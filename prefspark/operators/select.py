@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,46 @@ def bon_curve(bon: DataFrame) -> DataFrame:
     return bon.groupBy("n").agg(*columns, F.count(F.lit(1)).alias("prompts"))
 
 
+REPLICATES = 1_000
+#: Chances that a prompt is drawn at most 0, 1, 2, ... times in a replicate: Poisson with mean 1.
+_DRAWN = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9))
+
+
+def bon_band(
+    bon: DataFrame, replicates: int = REPLICATES, seed: int = 0, level: float = 0.95, prompt: str = "prompt"
+) -> DataFrame:
+    """Resampled band of the curve: per n the mean selected score of both scorers between the quantiles of its replicates.
+
+    In a replicate a prompt counts a Poisson number of times, read off a digest of seed, replicate and prompt: the same in every
+    run, and the same for all n, so replicates are whole curves. Prompts grow their replicates inside the task and a partial aggregate
+    adds them up; the shuffle carries one row per n and replicate. Null scores do not count; null prompts are one prompt.
+    """
+    listed = bon.groupBy(prompt).agg(F.collect_list(F.struct("n", "best_score_a", "best_score_b")).alias("picked"))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.coalesce(F.col(prompt).cast("string"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    times = sum((F.when(draw >= F.lit(p), 1).otherwise(0) for p in _DRAWN[1:]), F.when(draw >= F.lit(_DRAWN[0]), 1).otherwise(0))
+    drawn = listed.select(prompt, "picked", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    counted = drawn.withColumn("times", times).where(F.col("times") > 0).select("replicate", "times", F.inline("picked"))
+    sides = {"a": "best_score_a", "b": "best_score_b"}
+    sums = [
+        c
+        for side, score in sides.items()
+        for c in (
+            F.sum(F.col("times") * F.col(score)).alias(f"sum_{side}"),
+            F.sum(F.when(F.col(score).isNotNull(), F.col("times"))).alias(f"count_{side}"),
+        )
+    ]
+    curves = counted.groupBy("n", "replicate").agg(*sums)
+    tail = (1 - level) / 2
+    ends = [
+        F.percentile(F.col(f"sum_{side}") / F.col(f"count_{side}"), F.lit(q)).alias(f"{name}_{side}")
+        for side in sides
+        for name, q in (("low", tail), ("high", 1 - tail))
+    ]
+    means = bon.groupBy("n").agg(*[F.avg(score).alias(f"mean_{side}") for side, score in sides.items()])
+    return means.join(curves.groupBy("n").agg(*ends, F.count(F.lit(1)).alias("replicates")), "n")
+
+
 def bon_candidates(
     df: DataFrame,
     score_cols: Sequence[str],

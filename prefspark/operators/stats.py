@@ -157,13 +157,20 @@ def pair_losses(
 def score_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson r of two score columns with the row count, the t statistic of r = 0 and its two-sided p-value.
 
-    The p-value is taken from the one summary row of each group by a small function; no scored row goes through it.
+    Without groups the one summary row comes to the driver, which takes the p-value. With groups a small function takes it from the
+    summary row of each; no scored row goes through it.
     """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     r = F.corr(a, b)
     n = F.count(F.when(both, 1))
     summary = [r.alias("r"), n.alias("n")]
     table = df.groupBy(*by).agg(*summary) if by else df.agg(*summary)
+    if not by:
+        found = table.first()
+        r, n = found.r, found.n
+        t = None if r is None or n <= 2 or r * r >= 1 else r * math.sqrt((n - 2) / (1 - r * r))
+        p = None if r is None else correlation_p_value(r, n)
+        return df.sparkSession.createDataFrame([(r, n, t, p)], "r double, n long, t double, p double")
     r, n = F.col("r"), F.col("n")
     t = r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
     p = F.udf(lambda r, n: None if r is None else correlation_p_value(r, n), "double")

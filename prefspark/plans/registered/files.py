@@ -21,7 +21,8 @@ SCORES = (
     T.StructType().add("prompt", T.StringType()).add("response", T.StringType()).add("score", T.DoubleType())
 )
 ROWS_PER_DOCUMENT = 1000
-FILES = 5
+#: Files of read_many_json: this many at least, and one for so many documents.
+FILES, DOCUMENTS_PER_FILE = 5, 64
 
 
 def _plain_pairs(spark, sf_dir):
@@ -75,7 +76,7 @@ def read_column_json(spark, sf_dir):
     for layout in ("list", "map"):
         path = work_path(spark, f"columns-{layout}")
         documents = _score_documents(spark, sf_dir, layout).select("value")
-        documents.unionByName(documents).coalesce(1).write.text(path)
+        documents.unionByName(documents).write.text(path)
         rows = json_layouts.read_column_json(spark, path, SCORES, layout).withColumn("layout", F.lit(layout))
         found = rows if found is None else found.unionByName(rows)
     return found.select("layout", "prompt", "response", "score", (F.col("row_index") % ROWS_PER_DOCUMENT).alias("row_index"))
@@ -88,13 +89,15 @@ def read_many_json(spark, sf_dir):
     count.
     """
     path = work_path(spark, "many")
-    documents = _score_documents(spark, sf_dir, "list").withColumn("part", F.pmod("bucket", F.lit(FILES)))
+    documents = _score_documents(spark, sf_dir, "list")
+    files = max(FILES, -(-documents.select("bucket").count() // DOCUMENTS_PER_FILE))
+    documents = documents.withColumn("part", F.pmod("bucket", F.lit(files)))
     dealt = documents.repartition("part").sortWithinPartitions("part", "bucket").select("value", "part")
     dealt.write.partitionBy("part").text(path)
     documents.select("value").write.json(f"{path}/other")
     wanted = SCORES.add("missing", T.StringType())
     rows = json_layouts.read_many_json(spark, path, r"part-\d+.*[.]txt$", wanted)
-    part = F.pmod(F.floor(F.split("response", "#")[1].cast("bigint") / ROWS_PER_DOCUMENT), F.lit(FILES))
+    part = F.pmod(F.floor(F.split("response", "#")[1].cast("bigint") / ROWS_PER_DOCUMENT), F.lit(files))
     first = F.min("row_index").over(Window.partitionBy(part))
     numbers = rows.agg(F.count_distinct("row_index").alias("numbers"), (F.max("row_index") + 1).alias("reached"))
     return rows.select(
@@ -183,9 +186,10 @@ ORACLES: dict[str, str] = {
     ),
     "read_many_json": sql(
         SAMPLES_NUM,
-        body="SELECT prompt, response, score_a AS score, cast(NULL AS string) AS missing, event_id // 1000 % 5 AS part, "
-        "row_number() OVER (PARTITION BY event_id // 1000 % 5 ORDER BY event_id) - 1 AS in_file, "
-        "count(*) OVER () AS numbers, count(*) OVER () AS reached FROM samples_num",
+        f"files AS (SELECT greatest({FILES}, (count(DISTINCT event_id // 1000) + {DOCUMENTS_PER_FILE - 1}) // {DOCUMENTS_PER_FILE}) AS files FROM samples_num)",
+        body="SELECT prompt, response, score_a AS score, cast(NULL AS string) AS missing, event_id // 1000 % files AS part, "
+        "row_number() OVER (PARTITION BY event_id // 1000 % files ORDER BY event_id) - 1 AS in_file, "
+        "count(*) OVER () AS numbers, count(*) OVER () AS reached FROM samples_num, files",
     ),
     "read_interchange": SELECTION_SQL["bon_candidates"],
     "write_table": sql(

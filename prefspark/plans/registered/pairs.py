@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prefspark.functions.features import add_features, register_feature, registered_features
 from prefspark.functions.text import token_count
@@ -19,6 +20,7 @@ from prefspark.plans.registered.common import (
     SIDED,
     SIDE_SEED,
     Query,
+    given_model,
     pair_scores_sql,
     q6,
     r6,
@@ -276,6 +278,19 @@ def pair_scores(spark, sf_dir):
     return scores.select("model", "pair_id", "split", *[r6(c).alias(c) for c in ("score_chosen", "score_rejected", "score_a", "score_b")])
 
 
+#: As many models as a search has settings, given by rule.
+GIVEN_MODELS = tuple(given_model(f"given_{i:02d}", -1.0 + i / 12) for i in range(24))
+
+
+def score_models(spark, sf_dir):
+    """24 models from their table, scored in one plan and ranked by accuracy."""
+    terms, _ = models.model_tables(spark, GIVEN_MODELS)
+    scored = models.score_models(sided_pairs(spark, sf_dir), terms)
+    accuracy = stats.pairwise_accuracy(scored)
+    best_first = Window.partitionBy("split").orderBy(F.desc(F.round("accuracy", 6)), "model")
+    return accuracy.select("model", "split", r6("accuracy").alias("accuracy"), "n", F.row_number().over(best_first).alias("place"))
+
+
 def pairwise_accuracy(spark, sf_dir):
     return stats.pairwise_accuracy(_two_models(spark, sf_dir)).select("model", "split", r6("accuracy").alias("accuracy"), "n")
 
@@ -303,7 +318,7 @@ QUERIES: dict[str, Query] = {
         randomize_sides, orient_by_label, option_of_label, pseudo_label_swap, pseudo_label_swap_sides, adopt_pseudo_labels,
         label_agreement, debias_scores, debias_statistics, cross_fit_attach, attach_scores_inner, attach_features_left,
         attach_by_key, concat_datasets, add_original_fields, pooled_standardize, side_standardize, linear_reward,
-        normalize_reward, normalize_external, pair_scores, pairwise_accuracy, reward_stats, pair_losses, score_correlation,
+        normalize_reward, normalize_external, pair_scores, score_models, pairwise_accuracy, reward_stats, pair_losses, score_correlation,
     )
 }
 
@@ -457,6 +472,14 @@ UNION ALL SELECT pair_id, NULL, NULL, NULL, true FROM sided WHERE split = 'test'
         *_SCORES_A,
         body="SELECT model, pair_id, split, " + ", ".join(f"{q6(c)} AS {c}" for c in ("score_chosen", "score_rejected", "score_a", "score_b")) + " FROM model_a_scores",
     ),
+    "score_models": sql(
+        SIDED,
+        *[pair_scores_sql(m) for m in GIVEN_MODELS],
+        "every AS (" + " UNION ALL ".join(f"SELECT model, split, score_chosen, score_rejected FROM {m.name}_scores" for m in GIVEN_MODELS) + ")",
+        "rated_models AS (SELECT model, split, avg(CASE WHEN score_chosen > score_rejected THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM every GROUP BY 1, 2)",
+        body=f"SELECT model, split, {q6('accuracy')} AS accuracy, n, "
+        "row_number() OVER (PARTITION BY split ORDER BY round(accuracy, 6) DESC, model)::integer AS place FROM rated_models",
+    ),
     "pairwise_accuracy": sql(
         *_TWO,
         body=f"SELECT model, split, {q6('avg(CASE WHEN score_chosen > score_rejected THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM scores GROUP BY 1, 2",

@@ -38,6 +38,11 @@ def bon_curve(spark, sf_dir):
     return curve.select("n", *rounded, "prompts")
 
 
+def bon_band(spark, sf_dir):
+    band = select.bon_band(select.best_of_n(inputs.samples_num(spark, sf_dir), order_by=ORDER))
+    return band.select("n", *[r6(f"{part}_{side}").alias(f"{part}_{side}") for part in ("mean", "low", "high") for side in "ab"], "replicates")
+
+
 def bon_candidates(spark, sf_dir):
     picked = select.bon_candidates(inputs.samples_num(spark, sf_dir), ["score_a", "score_b"], order_by=ORDER)
     return picked.select("model", "prompt", F.element_at("response", 1).alias("baseline"), F.element_at("response", 2).alias("best"))
@@ -213,6 +218,7 @@ def rate_with_plugin(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "best_of_n": best_of_n,
     "bon_curve": bon_curve,
+    "bon_band": bon_band,
     "bon_candidates": bon_candidates,
     "chunk_samples": chunk_samples,
     "chunk_candidates": chunk_candidates,
@@ -338,6 +344,21 @@ _RATE_ROWS = (
 
 ORACLES: dict[str, str] = {
     "best_of_n": sql(SAMPLES_NUM, _BON, body="SELECT n, best_score_a, best_score_b, response, prompt FROM bon"),
+    "bon_band": sql(
+        SAMPLES_NUM,
+        _BON,
+        "drawn AS (SELECT prompt, rep, ('0x' || substr(md5('0:' || rep || ':' || prompt), 1, 8))::BIGINT / 4294967296.0::double AS u "
+        f"FROM (SELECT DISTINCT prompt FROM bon), (SELECT unnest(range(1, {select.REPLICATES + 1})) AS rep))",
+        "times AS (SELECT prompt, rep, " + " + ".join(f"(u >= {p!r}::double)::bigint" for p in select._DRAWN) + " AS times FROM drawn)",
+        "curves AS (SELECT n, rep, "
+        + ", ".join(f"sum(times * best_score_{s}) / sum(times) FILTER (best_score_{s} IS NOT NULL) AS mean_{s}" for s in "ab")
+        + " FROM bon JOIN times USING (prompt) WHERE times > 0 GROUP BY n, rep)",
+        "ends AS (SELECT n, "
+        + ", ".join(f"quantile_cont(mean_{s}, {(1 - 0.95) / 2!r}) AS low_{s}, quantile_cont(mean_{s}, {1 - (1 - 0.95) / 2!r}) AS high_{s}" for s in "ab")
+        + ", count(*) AS replicates FROM curves GROUP BY n)",
+        "means AS (SELECT n, avg(best_score_a) AS mean_a, avg(best_score_b) AS mean_b FROM bon GROUP BY n)",
+        body="SELECT n, " + ", ".join(f"{q6(f'{part}_{s}')} AS {part}_{s}" for part in ("mean", "low", "high") for s in "ab") + ", replicates FROM means JOIN ends USING (n)",
+    ),
     "bon_curve": sql(
         SAMPLES_NUM,
         _BON,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefspark.functions.ordering import counted_slots, key_at_rank, with_position
-from prefspark.operators import curate, reshape, select
+from prefspark.operators import curate, models, reshape, select
 
 
 def test_with_position_matches_plain_ranks_in_a_hot_group(spark):
@@ -185,3 +185,32 @@ def test_unknown_features_are_errors(spark):
         curate.prune_columns(df, ["y"])
     assert curate.select_features(["readability", "intent"], prefix="zeroshot_") == ["zeroshot_readability", "zeroshot_intent", "length"]
     assert curate.select_features(["readability", "intent"], subset=["intent"]) == ["intent"]
+
+
+def test_the_resampled_band_holds_the_mean_and_leaves_out_nulls(spark):
+    rows = [(n, float(i % 7), None if i == 3 else float(-i), "r", f"p{i}" if i else None) for i in range(60) for n in (1, 2)]
+    bon = spark.createDataFrame(rows, "n int, best_score_a double, best_score_b double, response string, prompt string")
+    band = {r.n: r for r in select.bon_band(bon, replicates=400).collect()}
+    assert set(band) == {1, 2} and band[1].replicates == 400 and band[1].asDict() | {"n": 2} == band[2].asDict()
+    scores = [float(i % 7) for i in range(60)]
+    error = (sum((s - sum(scores) / 60) ** 2 for s in scores) / 60) ** 0.5 / 60**0.5
+    assert band[1].low_a < band[1].mean_a < band[1].high_a
+    assert abs((band[1].high_a - band[1].low_a) / (2 * 1.96 * error) - 1) < 0.2
+    assert abs(band[1].mean_b - sum(-i for i in range(60) if i != 3) / 59) < 1e-9
+    assert select.bon_band(bon.repartition(5), replicates=400).where("n = 1").first() == band[1]
+
+
+def test_many_models_score_like_each_alone(spark):
+    names = [models.RewardModel(f"m{i}", ("x", "y")[: 1 + i % 2], (0.5, 1.0)[: 1 + i % 2], (2.0, 3.0)[: 1 + i % 2], (i - 3.0, 1.0)[: 1 + i % 2]) for i in range(6)]
+    rows = [(i, "train", i % 2, float(i), float(-i), float(i * i % 5), None if i == 4 else 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "pair_id long, split string, labels int, x_a double, x_b double, y_a double, y_b double")
+    terms, _ = models.model_tables(spark, names)
+    found = {(r.model, r.pair_id): (r.score_chosen, r.score_rejected) for r in models.score_models(df, terms).collect()}
+    assert len(found) == 54
+    for model in names:
+        for r in models.pair_scores(df, model).collect():
+            assert found[model.name, r.pair_id] == (r.score_chosen, r.score_rejected)
+    with pytest.raises(ValueError, match="no model"):
+        models.score_models(df, terms.where("1 = 0"))
+    with pytest.raises(Exception, match="z"):
+        models.score_models(df, terms.withColumn("feature", F.lit("z")))
