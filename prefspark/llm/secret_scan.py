@@ -38,6 +38,8 @@ ORDINARY_LENGTH = 6
 CANDIDATE_LENGTH = 16
 MIN_LOG_RATIO = 24.0
 MIN_MEAN_RATIO = 1.5
+#: A dip of this much, below the mean asked for, ends a stretch.
+DIP = 12.0
 BACK_OFF = 10.0
 RANDOM_SAMPLES = 2_000
 
@@ -153,30 +155,77 @@ def fit(samples: DataFrame, extra: np.ndarray | None = None) -> MarkovModel:
     return MarkovModel(ratio.ravel())
 
 
-def find(texts: list[str], model: MarkovModel, least: float = MIN_LOG_RATIO) -> list[list[tuple[str, int, int]]]:
-    """Spans (kind, start, end) per text. A run counts if it overlaps no fixed pattern and its ratio reaches ``least``."""
-    states, first, last, starts = _runs(texts)
-    names = list(KINDS)
-    out = []
+def _best_sums(scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Highest sum of any stretch inside each segment of ``scores``, by one cumulative sum for all."""
+    segment, starts = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+    upto = np.cumsum(scores)
+    before = upto - scores
+    # Each segment lies below all earlier ones, so that the running minimum starts anew.
+    below = segment * (np.ptp(before) + 1.0)
+    return np.maximum.reduceat(upto - (np.minimum.accumulate(before - below) + below), starts)
+
+
+def _dense_stretches(ratio: list[float]) -> list[tuple[int, int]]:
+    """Stretches whose ratio stays above MIN_MEAN_RATIO a character, apart from dips of less than DIP, left to right."""
+    found, start, total, best, end, at = [], 0, 0.0, 0.0, 0, 0
+    while at < len(ratio):
+        total += ratio[at] - MIN_MEAN_RATIO
+        at += 1
+        if total > best:
+            best, end = total, at
+        if total <= 0 or total < best - DIP or at == len(ratio):
+            if best > 0:
+                found.append((start, end))
+                at = end
+            start, total, best, end = at, 0.0, 0.0, at
+    return found
+
+
+def _random_spans(states: np.ndarray, model: MarkovModel, least: float) -> list[tuple[int, int]]:
+    """Stretches of ``states`` that the random model explains better, none of them touching another.
+
+    A run none of whose stretches reaches ``least`` is done with. In the others dense stretches are looked for; each takes in the rest
+    of the parts, between separators, that it lies in where the mean allows, and counts if its ratio reaches ``least``. So a secret is
+    found behind an ordinary path and beside another secret.
+    """
+    edges = np.diff(np.r_[np.int8(0), (states > 0).astype(np.int8), np.int8(0)])
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     long = last - first >= CANDIDATE_LENGTH
     first, last = first[long], last[long]
-    lengths = last - first
-    if len(first):
-        at = np.repeat(first, lengths) + _within(lengths)
-        scores = np.add.reduceat(model.ratio[_steps(states)[at]], np.cumsum(lengths) - lengths)
-        chosen = (scores >= least) & (scores >= MIN_MEAN_RATIO * lengths)
-        first, last = first[chosen], last[chosen]
-    owner = np.searchsorted(starts, first, side="right") - 1
-    added: dict[int, list[tuple[int, int]]] = {}
-    for i, a, b in zip(owner.tolist(), first.tolist(), last.tolist()):
-        added.setdefault(i, []).append((a - int(starts[i]), b - int(starts[i])))
-    for i, text in enumerate(texts):
-        base = [(start, number, end) for start, number, end, _ in base_spans(text)]
-        free = [
-            (a, len(names), b) for a, b in added.get(i, []) if not any(s < b and a < e for s, _, e in base)
-        ]
-        out.append([([*names, MARKOV][number], start, end) for start, number, end in sorted(base + free)])
-    return out
+    if not len(first):
+        return []
+    ratio, lengths, found = model.ratio[_steps(states)], last - first, []
+    hit = _best_sums(ratio[np.repeat(first, lengths) + _within(lengths)], lengths) >= least
+    for low, high in zip(first[hit].tolist(), last[hit].tolist()):
+        free = low
+        for start, end in _dense_stretches(ratio[low:high].tolist()):
+            a, b = max(low + start, free), low + end
+            wide, far = a, b
+            while wide > free and states[wide - 1] not in SEPARATORS:
+                wide -= 1
+            while far < high and states[far] not in SEPARATORS:
+                far += 1
+            if ratio[wide:far].sum() >= MIN_MEAN_RATIO * (far - wide):
+                a, b = wide, far
+            if b - a >= CANDIDATE_LENGTH and ratio[a:b].sum() >= max(least, MIN_MEAN_RATIO * (b - a)):
+                found.append((a, b))
+                free = b
+    return found
+
+
+def find(texts: list[str], model: MarkovModel, least: float = MIN_LOG_RATIO) -> list[list[tuple[str, int, int]]]:
+    """Spans (kind, start, end) per text: those of the fixed patterns, and random stretches of what these leave."""
+    states, _, _, starts = _runs(texts)
+    states, names = states.copy(), list(KINDS)
+    spans = [[(start, number, end) for start, number, end, _ in base_spans(text)] for text in texts]
+    for base, offset in zip(spans, starts.tolist()):
+        for start, _, end in base:
+            states[offset + start : offset + end] = 0
+    added = _random_spans(states, model, least)
+    owner = np.searchsorted(starts, [a for a, _ in added], side="right") - 1
+    for i, (a, b) in zip(owner.tolist(), added):
+        spans[i].append((a - int(starts[i]), len(names), b - int(starts[i])))
+    return [[([*names, MARKOV][number], start, end) for start, number, end in sorted(own)] for own in spans]
 
 
 def scan(df: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
