@@ -48,7 +48,8 @@ def exact_dedup(
     narrow = settle(narrow, "exact_digests")
     often = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     often = settle(often, "exact_shared")
-    copies = keyed.join(_salted(often, salts), ["digest", "salt"], "left_semi")
+    # The same plan at every size: texts meet the repeated digests by a sort-merge join, also where these are few.
+    copies = keyed.join(_salted(often, salts).hint("merge"), ["digest", "salt"], "left_semi")
     parts = copies.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     classes = parts.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     stored = settle(classes.select("digest", "keep_id", "group_size"), "exact_classes")
