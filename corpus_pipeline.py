@@ -41,7 +41,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     dropped = settle(decided.where("NOT kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("key")), "dropped")
     digest = exact_dedup.sha256_of(F.coalesce("row.text", F.lit("")))
     alike = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key"))
-    kept = _packed(docs).withColumn("digest", digest).join(dropped, alike, "left_anti")
+    # The same join at every size; whole rows move once.
+    kept = _packed(docs).withColumn("digest", digest).join(dropped.hint("merge"), alike, "left_anti")
     repeated = settle(decided.where("kept AND n > 1").select(F.col("doc_id").alias("id"), F.col("digest").alias("key")), "repeated")
     if not repeated.isEmpty():
         among = kept.join(repeated, alike, "left_semi").groupBy("row.doc_id", "digest").agg(F.first("row").alias("row"))
@@ -63,7 +64,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     dropped = settle(decided.select(F.col("doc_id").alias("id"), key.alias("key")).distinct(), "near_dropped")
     own = F.when(F.col("row.doc_id").isNull(), near_dedup.text_key(F.col("row.text")))
     alike = F.col("row.doc_id").eqNullSafe(F.col("id")) & own.eqNullSafe(F.col("key"))
-    return _packed(docs).join(dropped, alike, "left_anti").select("row.*")
+    return _packed(docs).join(dropped.hint("merge"), alike, "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
