@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,10 @@ LEARNING_RATE = 0.1
 TOLERANCE = 1e-3
 
 SLOT_TOKENS = 65_536
+#: Numbers that one task of an ascent step reads (16 MiB), as far as stored partitions can be put together.
+TASK_NUMBERS = 2**21
+#: Up to so many tasks the driver adds up a step's sums itself.
+DIRECT_TASKS = 256
 
 
 def first_index(ids: str | Column, token) -> Column:
@@ -178,6 +185,36 @@ def moment_gap(df: DataFrame, coefficients: Sequence[float], pref: str = "prefer
     return list(scored.agg(*gaps).first())
 
 
+_BLOCK = "x binary, offset binary, prefers_a binary"
+
+
+def _difference_blocks(df: DataFrame, features: int, pref: str):
+    """Rows as blocks of numbers: feature differences, differences of log scores, and whether the first option is preferred.
+
+    Rows with a null feature or log score have no share and stay out. A block is one Arrow batch.
+    """
+    pairs = df.select(
+        F.array(
+            *[F.get("features_a", F.lit(i)).cast("double") - F.get("features_b", F.lit(i)).cast("double") for i in range(features)]
+        ).alias("x"),
+        (F.col("log_score_a") - F.col("log_score_b")).cast("double").alias("offset"),
+        F.when(F.col(pref) == "A", 1.0).otherwise(0.0).alias("prefers_a"),
+    ).where(F.col("offset").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, offset, prefers_a = batch.columns
+            parts = (x.flatten(), offset, prefers_a)
+            packed = [pa.array([part.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for part in parts]
+            yield pa.RecordBatch.from_arrays(packed, names=["x", "offset", "prefers_a"])
+
+    def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, offset, prefers_a = (np.frombuffer(part, dtype=np.float64) for part in row)
+        return x.reshape(len(offset), features), offset, prefers_a
+
+    return pairs.mapInArrow(pack, _BLOCK).rdd.map(unpack)
+
+
 def moment_matching_fit(
     df: DataFrame,
     features: int,
@@ -189,21 +226,34 @@ def moment_matching_fit(
 ) -> tuple[list[float], int, float]:
     """Gradient ascent on the coefficients until the largest moment gap is below ``tol``.
 
-    Each step is one narrow aggregate; the driver holds one number per feature. Returns (coefficients, steps,
-    last gap). Fits that need thousands of steps are better served by :func:`conditional_fit`.
+    The rows are packed into blocks of numbers once and kept by the executors (on disk where memory ends; a lost block is packed
+    again from ``df``). A step is one job over them without a plan of its own, and a block sends one number per feature.
+    Returns (coefficients, steps, last gap). Fits that need thousands of steps are better served by :func:`conditional_fit`.
     """
-    columns = ["log_score_a", "log_score_b", "features_a", "features_b", pref]
-    held = df.select(*columns).persist()
-    weights = list(start) if start is not None else [0.0] * features
+    blocks = _difference_blocks(df, features, pref).persist(StorageLevel.MEMORY_AND_DISK)
+    weights = np.zeros(features) if start is None else np.array(start, dtype=np.float64)
+
+    def gaps(total: np.ndarray, block: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+        x, offset, prefers_a = block
+        share = 0.5 * (1.0 + np.tanh(0.5 * (offset + x @ at)))
+        return total + np.append((prefers_a - share) @ x, len(offset))
+
     try:
+        rows = blocks.map(lambda block: len(block[1])).sum()
+        if not rows:
+            raise ValueError("no row has all features and log scores")
+        tasks = min(blocks.getNumPartitions(), -(-rows * (features + 2) // TASK_NUMBERS))
+        dealt, depth = blocks.coalesce(tasks), 1 if tasks <= DIRECT_TASKS else 2
         for step in range(1, max_steps + 1):
-            gap = moment_gap(held, weights, pref)
-            weights = [w + lr * g for w, g in zip(weights, gap)]
-            error = max(abs(g) for g in gap)
+            at = weights
+            total = dealt.treeAggregate(np.zeros(features + 1), lambda t, b: gaps(t, b, at), np.add, depth)
+            gap = total[:-1] / total[-1]
+            weights = weights + lr * gap
+            error = float(np.abs(gap).max())
             if error < tol:
-                return weights, step, error
+                return weights.tolist(), step, error
     finally:
-        held.unpersist()
+        blocks.unpersist()
     raise RuntimeError(f"gap {error:g} after {max_steps} steps is not below {tol:g}")
 
 

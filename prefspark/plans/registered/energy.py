@@ -8,6 +8,7 @@ from prefspark.functions.text import token_count
 from prefspark.operators import ebm
 from prefspark.operators.labels import preference_option, randomize_sides
 from prefspark.operators.reshape import collect_samples
+from prefspark.operators.stats import pooled_standardize
 from prefspark.plans import inputs
 from prefspark.plans.registered.common import PAIRS, SIDE_SEED, TOKENS, Query, q6, r6, sql
 from prefspark.session import settle
@@ -82,11 +83,35 @@ def moment_matching_fit(spark, sf_dir):
     )
 
 
+def moment_matching_ascent(spark, sf_dir):
+    """The ascent at its own rate and tolerance: coefficients, steps, and whether the moments match at the end.
+
+    It starts from the conditional fit's weights rounded to one digit, which leaves it 50 to 110 of several hundred steps.
+    Features are the length and the characters a word, standardized; log scores are a hundredth of those of the other queries, so
+    that no share is so close to 0 or 1 that a small rate stands still.
+    """
+    options = _options(spark, sf_dir)
+    columns = {}
+    for side in ("a", "b"):
+        length, words = (F.get(f"features_{side}", F.lit(i)) for i in range(2))
+        columns |= {f"x0_{side}": length, f"x1_{side}": length * 10.0 / F.greatest(words, F.lit(0.1))}
+    scaled = pooled_standardize(options.withColumns(columns), ["x0", "x1"], eps=0.0)
+    arrays = {f"features_{side}": F.array(f"x0_{side}", f"x1_{side}") for side in ("a", "b")}
+    scores = {f"log_score_{side}": F.col(f"log_score_{side}") / 100.0 for side in ("a", "b")}
+    stored = settle(scaled.withColumns({**arrays, **scores}).select(*arrays, *scores, "preferred"), "scaled_options")
+    start = [round(w, 1) for w in ebm.conditional_fit(stored, 2)]
+    weights, steps, gap = ebm.moment_matching_fit(stored, 2, start=start)
+    return spark.createDataFrame(
+        [(i, round(w, 6), steps, gap < ebm.TOLERANCE) for i, w in enumerate(weights)],
+        "feature_pos int, coefficient double, steps int, matched boolean",
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         sequence_log_prob, sequence_log_prob_arrays, ebm_scores, ebm_moments, target_moments, log_likelihood, option_accuracy,
-        moment_matching_fit,
+        moment_matching_fit, moment_matching_ascent,
     )
 }
 
@@ -158,3 +183,24 @@ ORACLES["moment_matching_fit"] = sql(
     body=f"SELECT 0 AS feature_pos, round(w0, 4) + 0.0 AS coefficient, TRUE AS matched FROM step{_STEPS} "
     f"UNION ALL SELECT 1, round(w1, 4) + 0.0, TRUE FROM step{_STEPS}",
 )
+
+# Newton's method from zero, and the ascent's own steps from its rounded result; every step reads all pairs.
+_SHARE = "(0.5 * (1 + (1 - exp(-abs(o + w0 * d0 + w1 * d1))) / (1 + exp(-abs(o + w0 * d0 + w1 * d1))) * sign(o + w0 * d0 + w1 * d1)))"
+ORACLES["moment_matching_ascent"] = sql(
+    PAIRS, _OPTIONS,
+    "worded AS (SELECT preferred, a0, a0 * 10 / greatest(a1, 0.1) AS a2, b0, b0 * 10 / greatest(b1, 0.1) AS b2, la, lb FROM feat)",
+    "both_sides AS (SELECT a0 AS v0, a2 AS v1 FROM worded UNION ALL SELECT b0, b2 FROM worded)",
+    "spread AS (SELECT stddev_pop(v0) AS s0, stddev_pop(v1) AS s1 FROM both_sides)",
+    "x AS MATERIALIZED (SELECT CASE preferred WHEN 'A' THEN 1.0::double ELSE 0.0::double END AS y, "
+    "(a0 - b0) / s0 AS d0, (a2 - b2) / s1 AS d1, (la - lb)::double / 100 AS o FROM worded, spread)",
+    "newton AS (SELECT 0 AS step, 0.0::double AS w0, 0.0::double AS w1 UNION ALL SELECT step + 1, w0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), "
+    f"w1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (SELECT step, any_value(w0) AS w0, any_value(w1) AS w1, sum((y - {_SHARE}) * d0) AS g0, "
+    f"sum((y - {_SHARE}) * d1) AS g1, sum({_SHARE} * (1 - {_SHARE}) * d0 * d0) AS h00, sum({_SHARE} * (1 - {_SHARE}) * d0 * d1) AS h01, "
+    f"sum({_SHARE} * (1 - {_SHARE}) * d1 * d1) AS h11 FROM x, newton WHERE step < {_STEPS} GROUP BY step))",
+    f"ascent AS (SELECT 0 AS step, round(w0, 1) AS w0, round(w1, 1) AS w1, 1e9::double AS gap FROM newton WHERE step = {_STEPS} UNION ALL "
+    f"SELECT step + 1, any_value(w0) + {ebm.LEARNING_RATE}::double * avg((y - {_SHARE}) * d0), any_value(w1) + {ebm.LEARNING_RATE}::double * avg((y - {_SHARE}) * d1), "
+    f"greatest(abs(avg((y - {_SHARE}) * d0)), abs(avg((y - {_SHARE}) * d1))) FROM x, ascent WHERE gap >= {ebm.TOLERANCE}::double GROUP BY step)",
+    "final AS (SELECT * FROM ascent ORDER BY step DESC LIMIT 1)",
+    body=f"SELECT 0 AS feature_pos, {q6('w0')} AS coefficient, step AS steps, gap < {ebm.TOLERANCE} AS matched FROM final "
+    f"UNION ALL SELECT 1, {q6('w1')}, step, gap < {ebm.TOLERANCE} FROM final",
+).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -146,6 +146,18 @@ def test_moment_ascent_follows_its_rule(spark):
         ebm.moment_matching_fit(options(spark, rows), 1, max_steps=1)
 
 
+def test_moment_ascent_leaves_out_incomplete_rows_and_starts_where_told(spark):
+    rows = [(-1.0, -2.0, [1.0, 9.0], [3.0, 9.0], "B"), (-2.0, -1.0, [2.0, 9.0], [0.5, 9.0], "B"), (0.0, 0.0, [1.0, 9.0], [0.0, 9.0], "A")]
+    holes = [(None, -2.0, [1.0], [3.0], "B"), (0.0, 0.0, [None], [3.0], "A"), (0.0, 0.0, [], [3.0], "A"), (0.0, 0.0, None, [3.0], "A")]
+    near = [round(w, 1) for w in ebm.conditional_fit(options(spark, rows).withColumns({f"features_{s}": F.slice(f"features_{s}", 1, 1) for s in "ab"}), 1)]
+    clean = ebm.moment_matching_fit(options(spark, rows), 1, start=near)
+    weights, steps, gap = ebm.moment_matching_fit(options(spark, rows + holes).repartition(5), 1, start=near)
+    assert steps == clean[1] and np.allclose([*weights, gap], [*clean[0], clean[2]])
+    assert abs(ebm.moment_gap(options(spark, rows), clean[0])[0]) < ebm.TOLERANCE
+    with pytest.raises(ValueError):
+        ebm.moment_matching_fit(options(spark, holes), 1)
+
+
 def test_likelihood_survives_underflow_and_ties_go_second(spark):
     df = options(spark, [(-5000.0, -5001.0, [0.0], [0.0], "A")])
     assert math.isclose(ebm.log_likelihood(df, [1.0]).first().log_likelihood, -math.log1p(math.exp(-1)), rel_tol=1e-9)
