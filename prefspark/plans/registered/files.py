@@ -14,7 +14,7 @@ from prefspark.plans import inputs
 from prefspark.plans.registered.common import PAIRS, SAMPLES_NUM, Query, r6, sql
 from prefspark.plans.registered.selection import ORACLES as SELECTION_SQL
 from prefspark.session import settle, work_path
-from prefspark.sources import json_layouts, sinks, tables
+from prefspark.sources import arrow_files, json_layouts, sinks, tables
 from prefspark.streaming.resumable import process_new_files
 
 SCORES = (
@@ -116,6 +116,17 @@ def read_interchange(spark, sf_dir):
     return stored.select("model", "prompt", F.element_at("response", 1).alias("baseline"), F.element_at("response", 2).alias("best"))
 
 
+def arrow_interchange(spark, sf_dir):
+    """The candidates through Arrow files: written by tasks, committed, and read in splits."""
+    picked = select.bon_candidates(
+        inputs.samples_num(spark, sf_dir), ["score_a", "score_b"], order_by=("ts", "event_id")
+    )
+    path = work_path(spark, "candidates-arrow")
+    arrow_files.write_arrow(picked, path)
+    stored = arrow_files.read_arrow(spark, path)
+    return stored.select("model", "prompt", F.element_at("response", 1).alias("baseline"), F.element_at("response", 2).alias("best"))
+
+
 def write_table(spark, sf_dir):
     pairs = settle(_plain_pairs(spark, sf_dir), "plain_pairs")
     found = None
@@ -167,8 +178,8 @@ def resumable_stream(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        read_pairs, read_scored_samples, read_keyed_json, read_column_json, read_many_json, read_interchange, write_table,
-        write_no_clobber, resumable_write, resumable_stream,
+        read_pairs, read_scored_samples, read_keyed_json, read_column_json, read_many_json, read_interchange,
+        arrow_interchange, write_table, write_no_clobber, resumable_write, resumable_stream,
     )
 }
 
@@ -192,6 +203,7 @@ ORACLES: dict[str, str] = {
         "count(*) OVER () AS numbers, count(*) OVER () AS reached FROM samples_num, files",
     ),
     "read_interchange": SELECTION_SQL["bon_candidates"],
+    "arrow_interchange": SELECTION_SQL["bon_candidates"],
     "write_table": sql(
         PAIRS,
         body=" UNION ALL ".join(f"SELECT {_DIGESTS}, '{f}' AS format FROM pairs" for f in sinks.FORMATS),
