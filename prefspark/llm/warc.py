@@ -8,6 +8,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +17,12 @@ from pyspark.sql import functions as F
 
 from prefspark.session import settle, work_path
 
-SHARD_BYTES = 16 * 2**20
-MAX_SHARDS = 1_024
+#: Payload bytes of a shard, which one task writes.
+SHARD_BYTES = 32 * 2**20
 #: A file is closed once it holds this many compressed bytes.
-ROLL_BYTES = 64 * 2**20
-BOUNDARY_SAMPLE = 20_000
+ROLL_BYTES = 4 * 2**20
+#: Keys that the driver holds to cut shards: so many, or so many a shard where that is more.
+CUT_KEYS, CUT_KEYS_PER_SHARD = 20_000, 8
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 6
 CHUNK = 2**20
@@ -110,23 +113,35 @@ class _RollingFile:
             self.seq += 1
 
 
-def _boundaries(keyed: DataFrame, shard_bytes: int) -> list[int]:
-    """Smallest ids of all shards but the first, from a hash-ordered sample of bounded size: the same on every run."""
-    total = keyed.agg(F.sum("payload_bytes").alias("b")).first().b or 0
-    shards = min(MAX_SHARDS, max(1, -(-total // shard_bytes)))
-    ids = keyed.select("page_id").where(F.col("page_id").isNotNull())
-    sample = sorted(
-        r.page_id for r in ids.orderBy(F.xxhash64("page_id"), "page_id").limit(BOUNDARY_SAMPLE).collect()
-    )
-    cuts = {sample[len(sample) * i // shards] for i in range(1, shards)} if sample else set()
-    return sorted(cuts - set(sample[:1]))
+def _place(page_id: Column, key: Column) -> Column:
+    """Position of a record as text that sorts like (id, digest of the payload), without an id first."""
+    shifted = (page_id.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("string")
+    return F.concat(F.coalesce(F.lpad(shifted, 20, "0"), F.lit("")), key)
 
 
-def _shard_of(page_id: Column, boundaries: list[int]) -> Column:
-    if not boundaries:
+def _cuts(keyed: DataFrame, shard_bytes: int) -> list[str]:
+    """Places at which all shards but the first begin, from a hash-ordered sample: the same on every run, even in bytes."""
+    total = keyed.agg(F.sum("payload_bytes").alias("b")).first().b or 0
+    shards = max(1, -(-total // shard_bytes))
+    wanted = max(CUT_KEYS, CUT_KEYS_PER_SHARD * shards)
+    drawn = keyed.select(_place(F.col("page_id"), F.col("key")).alias("place"), "payload_bytes")
+    sample = sorted(map(tuple, drawn.orderBy(F.xxhash64("place"), "place").limit(wanted).collect()))
+    # A record weighs at least one byte, so that empty payloads are dealt as well.
+    weights = np.cumsum([max(size, 1) for _, size in sample])
+    ends = {int(i) for i in np.searchsorted(weights, [weights[-1] * n / shards for n in range(1, shards)])} if sample else set()
+    return sorted({sample[i][0] for i in ends} - {place for place, _ in sample[:1]})
+
+
+def _shard_of(place: Column, cuts: list[str]) -> Column:
+    """Number of cuts at or before a place, by binary search."""
+    if not cuts:
         return F.lit(0)
-    at_least = F.filter(F.array(*[F.lit(b).cast("long") for b in boundaries]), lambda b: b <= page_id)
-    return F.when(page_id.isNull(), 0).otherwise(F.size(at_least))
+    known = np.array(cuts, dtype="S84")
+
+    def search(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known, places.to_numpy().astype("S84"), side="right").astype(np.int32))
+
+    return F.pandas_udf(search, "int")(place)
 
 
 def _committed(manifest: DataFrame, root: str) -> DataFrame:
@@ -159,14 +174,17 @@ def write_archives(
 
     Of rows with equal payloads of at least ``min_bytes`` bytes that with the largest id holds the payload, the others
     are revisits of it. Equality goes by SHA-256, combined inside each task before the shuffle. Shards are ranges of
-    ids; rows are range-sorted by shard and id, and a row's reference travels as a row of its own that sorts just before
-    it, so payloads are shuffled once. A task streams one record at a time.
+    (id, digest) of about ``shard_bytes`` payload bytes each, however many there are, so rows without an id or of one id are dealt
+    by their payloads; only rows equal in both meet in one task. Rows are range-sorted, and a row's reference travels as a row of its
+    own that sorts just before it, so payloads are shuffled once. A task streams one record at a time and remembers one digest.
+
+    The driver holds eight keys of about 100 bytes a shard: for 100 TB pass ``shard_bytes`` and ``roll_bytes`` of a GiB or so.
 
     Files are named by shard and number. They are written under temporary names; Spark's own commit of the manifest
     decides which attempt of a task counts, and only its files get their names. Attempts that were lost leave temporary
     files only, and these are removed at the end. The same rows give the same bytes in the same files.
 
-    Null payload is empty; null url gives no URI; null ids go to the first shard and are revisits where another row has
+    Null payload is empty; null url gives no URI; null ids go to the first shards and are revisits where another row has
     an id. Rows that repeat the id and payload of a response are responses too. No rows in, no files. Other columns are
     ignored.
     """
@@ -193,7 +211,7 @@ def write_archives(
         .select("key", "keeper"),
         "warc_keepers",
     )
-    boundaries = _boundaries(keyed, shard_bytes)
+    cuts = _cuts(keyed, shard_bytes)
     references = (
         keyed.join(keepers, "key")
         .where(~F.col("page_id").eqNullSafe(F.col("keeper")))
@@ -205,18 +223,18 @@ def write_archives(
         F.lit(1).alias("role"),
         "url",
         "payload",
-        F.lit(None).cast("string").alias("key"),
+        F.sha2("payload", 256).alias("key"),
         F.lit(None).cast("long").alias("keeper"),
     ).unionByName(references.withColumn("role", F.lit(0)), allowMissingColumns=True)
     ordered = (
-        rows.withColumn("shard", _shard_of(F.col("page_id"), boundaries))
-        .repartitionByRange(len(boundaries) + 1, "shard")
-        .sortWithinPartitions("shard", "page_id", "role", "url", "payload")
+        rows.withColumn("shard", _shard_of(_place(F.col("page_id"), F.col("key")), cuts))
+        .repartitionByRange(len(cuts) + 1, "shard")
+        .sortWithinPartitions("shard", "page_id", "key", "role", "url")
         .select("shard", "page_id", "role", "url", "payload", "key", "keeper")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, keepers_of, current, seen = None, {}, object(), {}
+        out, current, refers_to, copy = None, None, None, -1
         done: list[dict] = []
         for batch in batches:
             for shard, page_id, role, url, payload, key, keeper in zip(*(c for c in batch.columns)):
@@ -224,15 +242,13 @@ def write_archives(
                 if out is None or out.shard != shard:
                     done.extend(out.close() if out else ())
                     out = _RollingFile(root, shard, roll_bytes)
-                if page_id != current:
-                    current, keepers_of, seen = page_id, {}, {}
+                if (page_id, key.as_py()) != current:
+                    current, refers_to, copy = (page_id, key.as_py()), None, -1
                 if role.as_py() == 0:
-                    keepers_of[key.as_py()] = keeper.as_py()
+                    refers_to = keeper.as_py()
                     continue
-                body = payload.as_py()
-                digest = hashlib.sha256(body).hexdigest()
-                copy = seen[digest] = seen.get(digest, -1) + 1
-                data = record(page_id, url.as_py(), body, keepers_of.get(digest), copy)
+                copy += 1
+                data = record(page_id, url.as_py(), payload.as_py(), refers_to, copy)
                 done.extend(out.write(data))
         done.extend(out.close() if out else ())
         fields = [f.split(" ")[0] for f in MANIFEST.split(", ")]

@@ -77,3 +77,20 @@ def test_empty_table(spark):
     root = work_path(spark, "warc-test")
     manifest = warc.write_archives(pages(spark, []), root)
     assert manifest.count() == 0 and read(spark, manifest, root) == []
+
+
+def test_rows_without_an_id_and_of_one_id_are_dealt(spark):
+    """A third of the bytes without an id and a third of one id: several shards each, of about equal bytes."""
+    text = lambda i: f"<p>{hashlib.sha256(str(i).encode()).hexdigest() * 20}</p>"
+    rows = [(page, "u", text(3 * i + n)) for i in range(200) for n, page in enumerate((None, 7, 1_000 + i))]
+    rows += [(-5, "u", text(0)), (-(2**63), "u", "least"), (2**63 - 1, "u", "largest")]
+    root = work_path(spark, "warc-test")
+    manifest = warc.write_archives(pages(spark, rows), root, shard_bytes=40_000, roll_bytes=300)
+    found = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read(spark, manifest, root)]
+    assert sorted(found, key=str) == expected(rows)
+    held = defaultdict(int)
+    for r in manifest.collect():
+        held[r.shard] += r.records
+    total = sum(len(t) for _, _, t in rows)
+    assert len(held) == -(-total // 40_000) and max(held.values()) < 2 * len(rows) / len(held)
+    assert all(manifest.where(f"shard = {shard}").count() > 1 for shard in list(held)[:2])
