@@ -115,7 +115,7 @@ class _RollingFile:
 
 def _place(page_id: Column, key: Column) -> Column:
     """Position of a record as text that sorts like (id, digest of the payload), without an id first."""
-    shifted = (page_id.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("string")
+    shifted = (page_id.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string")
     return F.concat(F.coalesce(F.lpad(shifted, 20, "0"), F.lit("")), key)
 
 
