@@ -231,7 +231,7 @@ def write_archives(
     ).unionByName(references.withColumn("role", F.lit(0)), allowMissingColumns=True)
     ordered = (
         rows.withColumn("shard", _shard_of(_place(F.col("page_id"), F.col("key")), cuts))
-        .repartitionByRange(len(cuts) + 1, "shard")
+        .repartitionById(len(cuts) + 1, F.col("shard"))
         .sortWithinPartitions("shard", "page_id", "key", "role", "url")
         .select("shard", "page_id", "role", "url", "payload", "key", "keeper")
     )
