@@ -1,6 +1,7 @@
 """Models learned from texts: the ranker and the rating regression against plain solvers, storing and sample scoring."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,50 @@ def test_regression_is_the_ridge_solution_for_every_target(spark, tmp_path):
     assert error < 0.5 * np.var([r[3] for r in rows])
     with pytest.raises(RuntimeError, match="not settled"):
         regressor.fit_ratings(df, targets, num_features=BUCKETS, max_passes=3)
+
+
+def test_work_on_texts_is_bounded_by_entries_and_gives_the_same_vectors(spark, monkeypatch):
+    """A batch of many texts is worked on in parts; a single text with more entries than a part is a part of its own."""
+    words = pa.array([[1, 2, 3, 2], [], [4], list(range(50)), [5, 6], [7]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([[8, 9]] * 6, pa.list_(pa.int64())), words], names=["k", "w"])
+    monkeypatch.setattr(hashed_text, "ENTRIES", 15)
+    parts = list(hashed_text._text_blocks(batch, "k", ["w"]))
+    assert [p.num_rows for p in parts] == [3, 1, 2] and pa.Table.from_batches(parts).column("w").to_pylist() == words.to_pylist()
+    whole = hashed_text.vectors(words, batch.column("k"), BUCKETS)
+    found, first = [], 0
+    for p in parts:
+        row, index, value = hashed_text.vectors(p.column("w"), p.column("k"), BUCKETS)
+        found += zip((row + first).tolist(), index.tolist(), value.tolist())
+        first += p.num_rows
+    assert sorted(found) == sorted(zip(*(v.tolist() for v in whole)))
+
+
+@pytest.fixture
+def largest(spark, monkeypatch):
+    """The most entries (of one call of ``vectors``, of one block of a pass) and the text columns that Arrow functions got, run in this process."""
+    seen, vectors, init = {"vectors": 0, "block": 0, "texts": set()}, hashed_text.vectors, hashed_text.Block.__init__
+
+    def noted(words, keys, buckets):
+        found = vectors(words, keys, buckets)
+        seen["vectors"] = max(seen["vectors"], len(found[0]))
+        return found
+
+    def begun(self, batch):
+        init(self, batch)
+        seen["block"] = max(seen["block"], len(self.value))
+
+    def here(df, func, schema):
+        seen["texts"] |= {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+        got = list(func(iter(df.toArrow().combine_chunks().to_batches())))
+        return spark.createDataFrame(pa.Table.from_batches(got), schema)
+
+    monkeypatch.setattr(hashed_text, "ENTRIES", 400)
+    monkeypatch.setattr(hashed_text, "vectors", noted)
+    monkeypatch.setattr(hashed_text.Block, "__init__", begun)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", here)
+    return seen
+
+
+def test_rows_and_passes_of_the_ranker_hold_bounded_parts(spark, largest):
+    hashed_text.summed(hashed_text.hashed_rows(pairs(spark), [("chosen", 1.0), ("rejected", -1.0)], "context", BUCKETS, ["pair_id"]), lambda b, _: np.ones(1), 1)
+    assert 0 < largest["vectors"] <= 400 and 0 < largest["block"] <= 400
