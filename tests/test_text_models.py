@@ -154,3 +154,10 @@ def largest(spark, monkeypatch):
 def test_rows_and_passes_of_the_ranker_hold_bounded_parts(spark, largest):
     hashed_text.summed(hashed_text.hashed_rows(pairs(spark), [("chosen", 1.0), ("rejected", -1.0)], "context", BUCKETS, ["pair_id"]), lambda b, _: np.ones(1), 1)
     assert 0 < largest["vectors"] <= 400 and 0 < largest["block"] <= 400
+
+
+def test_scores_of_pairs_hold_bounded_parts_and_take_no_texts_along(spark, largest):
+    model = ranker.TextPairRanker(np.arange(BUCKETS) / BUCKETS, 0.1, True)
+    scored = model.score_pairs(pairs(spark))
+    assert scored.columns == ["model", "pair_id", "split", "score_chosen", "score_rejected"] and scored.count() == 160
+    assert 0 < largest["vectors"] <= 400 and largest["texts"] == {"split"}
