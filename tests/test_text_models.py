@@ -161,3 +161,10 @@ def test_scores_of_pairs_hold_bounded_parts_and_take_no_texts_along(spark, large
     scored = model.score_pairs(pairs(spark))
     assert scored.columns == ["model", "pair_id", "split", "score_chosen", "score_rejected"] and scored.count() == 160
     assert 0 < largest["vectors"] <= 400 and largest["texts"] == {"split"}
+
+
+def test_passes_of_the_regression_hold_bounded_parts(spark, largest):
+    rows = [(i, "p q", " ".join(f"w{(i * j) % 50}" for j in range(20)), float(i % 7), None if i % 3 else 1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, context string, response string, a double, b double")
+    assert np.isfinite(regressor.fit_ratings(df, ("a", "b"), num_features=64, max_passes=100).weights).all()
+    assert 0 < largest["vectors"] <= 400 and 0 < largest["block"] <= 400
