@@ -244,7 +244,10 @@ def rate_samples(
     else:
         from prefspark.operators.replies import replied
 
-        replies = replied(render_rating_task(samples, rubric, kind, context, response), rater, store, name).drop("task")
+        def render(rows: DataFrame) -> DataFrame:
+            return render_rating_task(rows, rubric, kind, context, response)
+
+        replies = replied(samples, rater, store, name, render=render, within=["feature_pos"])
     return replies.withColumn("rating", parse_rating("reply")).drop("reply")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.operators.rating import Rater, rate_with
@@ -28,6 +30,11 @@ def _stored(df: DataFrame, store: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max("reply").alias("reply"), F.sum("attempts").cast("int").alias("attempts"))
 
 
+def _locator(within: Sequence[str]) -> Column:
+    """Where a task comes from: its source row and its place among the tasks of that row."""
+    return F.struct("_row", *within)
+
+
 def replied(
     tasks: DataFrame,
     rater: Rater,
@@ -37,6 +44,8 @@ def replied(
     out: str = "reply",
     waves: int = WAVES,
     attempts: int = ATTEMPTS,
+    render: Callable[[DataFrame], DataFrame] | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """``tasks`` with a reply each, from ``store`` or from one call per distinct task text.
 
@@ -46,23 +55,39 @@ def replied(
     asked again, in this run and later ones, until it has had ``attempts`` calls; then its reply stays null. The replies
     are read back from the store, so whatever is computed from them never calls the rater again.
 
+    With ``render``, ``tasks`` are the rows that tasks are made of: it turns rows into rows with a ``task`` each, any number per row, row by row, and keeps
+    other columns; ``within`` names those that tell the tasks of a row apart. Texts then are written and move as they are in the
+    rows, not once for each task, and tasks are rendered where they are digested and where they are asked; the result has no ``task``.
+
     Without ``store`` a fresh one in the shared folder serves this call alone. A null task gets a null reply and no call.
     Tasks that repeat more than HOT_ROWS times meet their reply in several partitions. No rows in, no rows out.
     """
     spark = tasks.sparkSession
     store = store or work_path(spark, "replies")
     digest = F.unhex(F.sha2(F.concat(F.lit(f"{name}\n"), F.col(task)).cast("binary"), 256))
-    keyed = tasks.withColumn("_key", digest)
-    counted = keyed.where(F.col("_key").isNotNull()).groupBy("_key", task).agg(F.count(F.lit(1)).alias("n"))
-    distinct = settle(counted.select(F.col("_key").alias("key"), F.col(task).alias("task"), "n"), "distinct_tasks")
+    # Written once, so that a row keeps its number whatever is computed again.
+    sources = settle(tasks.withColumn("_row", F.monotonically_increasing_id()), "task_sources")
+    made = render(sources) if render else sources
+    columns = [c for c in made.columns if c != "_row" and not (render and c == task)]
+    keyed = made.select(*columns, "_row", digest.alias("_key"))
+    if render:
+        keyed = settle(keyed, "keyed_tasks")
+    counted = keyed.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("key"))
+    distinct = settle(counted.agg(F.min(_locator(within)).alias("at"), F.count(F.lit(1)).alias("n")), "distinct_tasks")
     wave = F.pmod(F.xxhash64("key"), F.lit(waves)).cast("int")
     for attempt in range(attempts):
         known = _stored(tasks, store)
         done = known.where(F.col("reply").isNotNull() | (F.col("attempts") >= attempts)).select("key")
-        todo = settle(distinct.join(done, "key", "left_anti").select("key", "task", wave.alias("wave")), "open_tasks")
-        open_waves = sorted(r.wave for r in todo.select("wave").distinct().collect())
+        todo = distinct.join(done, "key", "left_anti").select(F.col("at._row").alias("_row"), F.struct("at", "key", wave.alias("wave")).alias("ask"))
+        asks = todo.groupBy("_row").agg(F.collect_list("ask").alias("_asks"))
+        opened = settle(sources.join(asks, "_row"), "open_tasks")
+        open_waves = sorted(r.wave for r in opened.select(F.explode("_asks.wave").alias("wave")).distinct().collect())
         for number in open_waves:
-            asked = rate_with(todo.where(F.col("wave") == number), rater, out="reply")
+            rows = opened.withColumn("_asks", F.filter("_asks", lambda a: a.wave == number)).where(F.size("_asks") > 0)
+            own = F.filter("_asks", lambda a: a["at"] == _locator(within))
+            found = (render(rows) if render else rows).withColumn("_own", own).where(F.size("_own") > 0)
+            chosen = found.select(F.col("_own")[0].key.alias("key"), F.col(task).alias("task"), F.lit(number).alias("wave"))
+            asked = rate_with(chosen, rater, out="reply")
             asked.select("key", "reply", F.lit(1).alias("attempts"), "wave").write.mode("append").parquet(store)
         if not open_waves:
             break
@@ -71,8 +96,8 @@ def replied(
         distinct.where(F.col("n") > HOT_ROWS).select(F.col("key").alias("_key"), F.ceil(F.col("n") / HOT_ROWS).alias("_parts")), "hot_tasks"
     )
     if hot.isEmpty():
-        return keyed.join(replies, "_key", "left").select(*tasks.columns, out)
+        return keyed.join(replies, "_key", "left").select(*columns, out)
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
-    dealt = keyed.join(hot, "_key", "left").withColumn("_part", F.pmod(F.xxhash64(*tasks.columns), parts)).drop("_parts")
+    dealt = keyed.join(hot, "_key", "left").withColumn("_part", F.pmod(F.xxhash64("_row", *columns), parts)).drop("_parts")
     copies = replies.join(hot, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.join(copies.drop("_parts"), ["_key", "_part"], "left").select(*tasks.columns, out)
+    return dealt.join(copies.drop("_parts"), ["_key", "_part"], "left").select(*columns, out)

@@ -128,3 +128,18 @@ def test_scored_replies_keep_every_row(spark):
     assert found[3].parse_failed and found[3].score1 == 0.0 and found[4].parse_failed and not found[6].parse_failed
     good, held = judge.parse_replies(spark.createDataFrame(rows, "id int, reply string"))
     assert {r.id for r in good.collect()} | {r.id for r in held.collect()} == set(found)
+
+
+def test_texts_of_rated_samples_are_written_and_moved_as_they_are_not_once_a_task(spark, tmp_path, monkeypatch):
+    written, whole = [], replies.settle
+    monkeypatch.setattr(replies, "settle", lambda df, label: written.append(whole(df, label)) or written[-1])
+    rows = [(i, "c", f"text {i % 40} {'w ' * 200}{i % 40}" if i % 9 else None) for i in range(90)]
+    samples = spark.createDataFrame(rows, "id int, context string, response string")
+    rated = rating.rate_samples(samples, rater=lambda: lambda texts: [str(len(t)) for t in texts])
+    task = rating.render_rating_task(samples, keep_texts=True).select("id", "feature", F.length("task").alias("n"))
+    found = rated.join(task, ["id", "feature"])
+    assert rated.columns == ["id", "feature_pos", "feature", "rating"]
+    assert found.count() == 90 * len(rating.RUBRIC) and found.where("NOT (rating <=> n)").isEmpty()
+    told = sum(r.n or 0 for df in written for c, t in df.dtypes if t == "string" for r in df.agg(F.sum(F.length(c)).alias("n")).collect())
+    # The samples, those of them that are asked, and the names of the features.
+    assert told < 3 * sum(len(r[2] or "") + len(r[1]) for r in rows) + 13 * 90 * 60
