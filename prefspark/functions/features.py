@@ -51,23 +51,28 @@ def add_lexical_signals(df: DataFrame, response: str, context: str, out: str = "
     """Integer counts of a response and its overlap with the context, as one struct (null for a null response).
 
     The word lists and the struct are columns of their own, and the struct is conditional, so that the optimizer
-    keeps each of them as one evaluation instead of copying it into every expression that reads a field.
+    keeps each of them as one evaluation instead of copying it into every expression that reads a field. The counts are taken
+    in a function over an array of one text, which Spark evaluates apart from the code it generates for the stage: with
+    the counts of both sides of a pair that code was one method too large for the JVM to compile.
     """
     text, asked, reply = F.col(response), f"_asked_{out}", f"_reply_{out}"
 
-    def occurrences(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern))
-
-    counts = F.struct(
-        F.length(text).alias("chars"),
-        F.size(reply).alias("words"),
-        F.size(F.array_distinct(reply)).alias("distinct_words"),
-        F.size(asked).alias("context_words"),
-        F.size(F.array_intersect(asked, reply)).alias("shared_words"),
-        occurrences("[0-9]").alias("digits"),
-        occurrences("[.!?]").alias("stops"),
-        occurrences("!").alias("shouts"),
-        occurrences("\n").alias("line_breaks"),
-    )
+    def counts(t: Column) -> Column:
+        def occurrences(pattern: str) -> Column:
+            return F.regexp_count(t, F.lit(pattern))
+
+        return F.struct(
+            F.length(t).alias("chars"),
+            F.size(reply).alias("words"),
+            F.size(F.array_distinct(reply)).alias("distinct_words"),
+            F.size(asked).alias("context_words"),
+            F.size(F.array_intersect(asked, reply)).alias("shared_words"),
+            occurrences("[0-9]").alias("digits"),
+            occurrences("[.!?]").alias("stops"),
+            occurrences("!").alias("shouts"),
+            occurrences("\n").alias("line_breaks"),
+        )
+
     listed = df.withColumns({reply: words(text), asked: F.array_distinct(words(context))})
-    return listed.withColumn(out, F.when(text.isNotNull(), counts)).drop(reply, asked)
+    counted = F.transform(F.array(text), lambda t: F.when(t.isNotNull(), counts(t)))[0]
+    return listed.withColumn(out, counted).drop(reply, asked)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefspark.plans import inputs
 from prefspark.functions import text
-from prefspark.functions.features import add_features, register_feature
+from prefspark.functions.features import add_features, add_lexical_signals, register_feature
 from prefspark.operators import curate, judge, rating
 
 
@@ -150,3 +150,18 @@ def test_a_dialogue_of_many_turns_stays_one_dialogue(spark, tmp_path):
     assert told[8] == "\n\nHuman: hello\n\nAssistant: hi" and told[7].count("turn ") == 258
     kept = curate.single_round_filter(inputs.transcripts(spark, str(tmp_path)), ["t"])
     assert [r.conv_id for r in kept.collect()] == [8]
+
+
+def test_counts_of_both_sides_stay_out_of_generated_stage_code(spark):
+    """With them the one method of the stage was too large for the JVM to compile, and ran several times slower."""
+    rows = [(1, "a c", "One two! 3\nfour.", None), (2, "b", "", "b B b? 12"), (3, None, "x", "y")]
+    pairs = spark.createDataFrame(rows, "pair_id int, context string, chosen string, rejected string")
+    rated = rating.rate_pairs_wide(pairs)
+    executed = rated._jdf.queryExecution().executedPlan().toString()
+    held = [line for line in executed.split("\n") if "regexp_extract_all(" in line and "Project" in line]
+    assert held and not any("*(" in line.split("Project")[0] for line in held)
+    signals = {}
+    for side in ("chosen", "rejected"):
+        signals[side] = {r.pair_id: r.signals for r in add_lexical_signals(pairs, side, "context").collect()}
+    assert signals["rejected"][1] is None and tuple(signals["rejected"][2]) == (9, 4, 3, 1, 1, 2, 1, 0, 0)
+    assert tuple(signals["chosen"][1]) == (16, 4, 4, 2, 0, 1, 2, 1, 1) and signals["chosen"][2].words == 0
