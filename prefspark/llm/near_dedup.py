@@ -267,15 +267,45 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int
     )
 
 
-def _dealt(members: DataFrame, load: Column) -> DataFrame:
-    """Members of each bucket dealt to blocks of about one ``load``; each pair (i, j) of blocks is one tile of its rows."""
-    blocks = settle(members.groupBy("key").agg(F.ceil(load).alias("blocks")), "near_buckets")
-    return (
-        members.join(blocks, "key")
-        .withColumn("own", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
+def _dealt(members: DataFrame, tile: int, wide: DataFrame) -> DataFrame:
+    """Members (``key, doc, component, chars``) of each bucket dealt to blocks, with the columns of ``wide`` by ``doc``.
+
+    A block has about ``tile`` members or TEXT_CHARS characters, and each pair (i, j) of blocks is one tile of its rows. The bucket's
+    largest component has blocks of its own, which never meet each other: a member of it comes once for each block of the others,
+    so a group that is joined already but for a few members is not copied for each of its blocks. ``wide`` is met before rows are copied.
+    """
+
+    def blocks(n: str, chars: str) -> Column:
+        return F.ceil(F.greatest(F.col(n) / tile, F.col(chars) / TEXT_CHARS))
+
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    buckets = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("n", "component", "chars")).alias("main")
+    )
+    rests = buckets.select(
+        "key",
+        F.col("main.component").alias("main"),
+        blocks("n", "chars").alias("all"),
+        blocks("main.n", "main.chars").alias("mains"),
+        (F.col("n") - F.col("main.n")).alias("n"),
+        (F.col("chars") - F.col("main.chars")).alias("chars"),
+    )
+    one = F.col("all") <= 1
+    counted = settle(
+        rests.select(
+            "key",
+            "main",
+            F.when(one, 0).otherwise(F.col("mains")).alias("mains"),
+            F.when(one, 1).otherwise(F.greatest(blocks("n", "chars"), F.lit(1))).alias("rests"),
+        ),
+        "near_buckets",
     )
+    apart, drawn = (F.col("component") == F.col("main")) & (F.col("mains") > 0), F.xxhash64("doc", "key")
+    own = F.when(apart, F.col("rests") + F.pmod(drawn, F.col("mains"))).otherwise(F.pmod(drawn, F.col("rests")))
+    met = F.when(apart, F.col("rests")).otherwise(F.col("rests") + F.col("mains"))
+    placed = members.join(counted, "key").select("key", "doc", "component", own.alias("own"), met.alias("met"))
+    copied = placed.join(wide, "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("met") - 1)))
+    return copied.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("met", "other")
 
 
 def _surviving_pairs(
@@ -360,7 +390,7 @@ def _undecided(members: DataFrame, representatives: DataFrame, threshold: float)
         chosen = rows.select(["key", "doc", "component"]).take(np.flatnonzero(met)).combine_chunks()
         return pa.RecordBatch.from_arrays([c.combine_chunks() for c in chosen.columns], names=chosen.column_names)
 
-    rows = _dealt(members, F.count(F.lit(1)) / TILE).join(representatives, "doc")
+    rows = _dealt(members.withColumn("chars", F.lit(0)), TILE, representatives)
     return _by_tile(rows, work, "key bigint, doc bigint, component bigint").distinct()
 
 
@@ -414,8 +444,7 @@ def _links_between(
 
     found = _texts_of(undecided.select("doc"), texts, classes)
     sized = undecided.join(found.select("doc", F.length("text").alias("chars")), "doc")
-    load = F.greatest(F.count(F.lit(1)) / TEXT_TILE, F.sum("chars") / TEXT_CHARS)
-    rows = _dealt(sized, load).join(representatives, "doc").join(found, "doc")
+    rows = _dealt(sized, TEXT_TILE, found.join(representatives, "doc"))
     return _by_tile(rows, work, "u bigint, v bigint")
 
 

@@ -167,3 +167,31 @@ def test_blocks_of_long_texts_are_bounded_by_characters(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TEXT_CHARS", 500)
     rows = corpus(3)
     assert found(near_dedup.near_dedup(documents(spark, rows))) == expected(rows)
+
+
+def test_members_of_a_joined_group_are_not_copied_for_each_block_of_their_own_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    dealt, whole = [], near_dedup._by_tile
+    monkeypatch.setattr(near_dedup, "_by_tile", lambda rows, *a: dealt.append(rows.select("i", "j", "own", "doc", "component").collect()) or whole(rows, *a))
+    signature = np.random.default_rng(2).integers(0, 2**32, near_dedup.PERMUTATIONS, dtype=np.uint32)
+    key = int(near_dedup.band_keys(signature[None, :])[0, 0])
+    for group, others in ((200, 3), (40, 40), (10, 5)):
+        docs = range(group + others)
+        representatives = spark.createDataFrame([(d, bytearray(signature.tobytes())) for d in docs], "doc bigint, signature binary")
+        members = spark.createDataFrame([(key, d, max(0, d - group)) for d in docs], "key bigint, doc bigint, component bigint")
+        # Every member has a candidate of another component.
+        assert sorted(r.doc for r in near_dedup._undecided(members, representatives, 0.85).collect()) == [*docs]
+        tiles = {}
+        for r in dealt.pop():
+            tiles.setdefault((r.i, r.j), []).append(r)
+        met = [
+            (min(a.doc, b.doc), max(a.doc, b.doc))
+            for (i, j), rows in tiles.items()
+            for a in rows
+            for b in rows
+            if a.own == i and b.own == j and a.component != b.component and (i < j or a.doc < b.doc)
+        ]
+        apart = {(a, b) for a in docs for b in docs if a < b and max(0, a - group) != max(0, b - group)}
+        assert len(met) == len(apart) and {*met} == apart
+        if others == 3:
+            assert sum(map(len, tiles.values())) < 2 * len(docs)
