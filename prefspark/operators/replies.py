@@ -30,6 +30,14 @@ def _stored(df: DataFrame, store: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max("reply").alias("reply"), F.sum("attempts").cast("int").alias("attempts"))
 
 
+def _some_failed(df: DataFrame, store: str) -> bool:
+    """Whether a store holds a call without a reply; otherwise nothing that was asked is asked again, and no row need move to find out."""
+    try:
+        return not df.sparkSession.read.schema(STORED).parquet(store).where("reply IS NULL").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def _locator(within: Sequence[str]) -> Column:
     """Where a task comes from: its source row and its place among the tasks of that row."""
     return F.struct("_row", *within)
@@ -76,6 +84,8 @@ def replied(
     distinct = settle(counted.agg(F.min(_locator(within)).alias("at"), F.count(F.lit(1)).alias("n")), "distinct_tasks")
     wave = F.pmod(F.xxhash64("key"), F.lit(waves)).cast("int")
     for attempt in range(attempts):
+        if attempt and not _some_failed(tasks, store):
+            break
         known = _stored(tasks, store)
         done = known.where(F.col("reply").isNotNull() | (F.col("attempts") >= attempts)).select("key")
         todo = distinct.join(done, "key", "left_anti").select(F.col("at._row").alias("_row"), F.struct("at", "key", wave.alias("wave")).alias("ask"))

@@ -143,3 +143,15 @@ def test_texts_of_rated_samples_are_written_and_moved_as_they_are_not_once_a_tas
     told = sum(r.n or 0 for df in written for c, t in df.dtypes if t == "string" for r in df.agg(F.sum(F.length(c)).alias("n")).collect())
     # The samples, those of them that are asked, and the names of the features.
     assert told < 3 * sum(len(r[2] or "") + len(r[1]) for r in rows) + 13 * 90 * 60
+
+
+def test_sources_move_once_where_every_call_has_its_reply(spark, tmp_path, monkeypatch):
+    labels, whole = [], replies.settle
+    monkeypatch.setattr(replies, "settle", lambda df, label: labels.append(label) or whole(df, label))
+    rows = [(1, "c", "one"), (2, "c", "two"), (3, "c", None)]
+    samples = spark.createDataFrame(rows, "id int, context string, response string")
+    store = str(tmp_path / "store")
+    rated = rating.rate_samples(samples, rater=lambda: lambda texts: ["8"] * len(texts), store=store)
+    assert rated.where("rating = 8").count() == 2 * len(rating.RUBRIC) and labels.count("open_tasks") == 1
+    silent = rating.rate_samples(samples, rater=lambda: lambda texts: [None] * len(texts), store=store, name="silent")
+    assert silent.where("rating IS NOT NULL").isEmpty() and labels.count("open_tasks") == 1 + replies.ATTEMPTS
