@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.operators.hashed_text import add_scores, hashed_rows, summed
+from prefspark.operators.hashed_text import add_scores, bounded_batches, hashed_rows, summed
 from prefspark.session import settle
 
 NUM_FEATURES = 1 << 14
@@ -35,10 +36,11 @@ class RatingRegressor:
         return add_scores(df, [(text, names)], prompt if self.with_prompt else None, self.weights, self.means)
 
     def weight_table(self, spark: SparkSession) -> DataFrame:
-        """``bucket, weights`` with one weight per target, for buckets that have any."""
+        """``bucket, weights`` with one weight per target, for buckets that have any. It goes to the JVM as a table: no executor starts
+        Python for it."""
         used = np.flatnonzero(self.weights.any(axis=0))
-        rows = [(int(i), [float(w) for w in self.weights[:, i]]) for i in used]
-        return spark.createDataFrame(rows, "bucket int, weights array<double>")
+        weights = pa.array(list(self.weights[:, used].T), pa.list_(pa.float64()))
+        return spark.createDataFrame(pa.table({"bucket": pa.array(used, pa.int32()), "weights": weights}), "bucket int, weights array<double>")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Store as two small tables; fails where one is stored already."""
@@ -80,7 +82,8 @@ def fit_ratings(
     size, with_prompt = len(targets), prompt in samples.columns
     rated = F.array(*[F.col(f"`{t}`").cast("double") for t in targets]).alias("y")
     hashed = hashed_rows(samples, [(text, 1.0)], prompt if with_prompt else None, num_features, [rated])
-    rows = settle(hashed, "regression_rows").persist()
+    with bounded_batches(samples.sparkSession):
+        rows = settle(hashed, "regression_rows")
 
     def totals(_, batch):
         y = _targets_of(batch, size)
@@ -99,52 +102,53 @@ def fit_ratings(
 
         return part
 
-    try:
-        counted = summed(rows, totals, 2 * size)
-        n = np.maximum(counted[:size], 1.0)
-        means = counted[size:] / n
-        residual = summed(rows, correlations(means), size * num_features).reshape(size, -1) / n[:, None]
-        weights, direction = np.zeros((size, num_features)), residual.copy()
-        length, passes = (residual**2).sum(1), 2
-        open_ = np.flatnonzero(np.abs(residual).max(1) > SLOPE)
-        while len(open_):
-            if passes >= max_passes:
-                raise RuntimeError(f"{len(open_)} of {size} targets have not settled after {passes} passes")
-            p = direction[open_]
-            image = summed(rows, products(p, open_), len(open_) * num_features).reshape(len(open_), -1) / n[open_, None] + reg * p
-            passes += 1
-            step = length[open_] / (p * image).sum(1)
-            weights[open_] += step[:, None] * p
-            residual[open_] -= step[:, None] * image
-            grown = (residual[open_] ** 2).sum(1)
-            direction[open_] = residual[open_] + (grown / length[open_])[:, None] * p
-            length[open_] = grown
-            open_ = open_[np.abs(residual[open_]).max(1) > SLOPE]
-    finally:
-        rows.unpersist()
+    counted = summed(rows, totals, 2 * size)
+    n = np.maximum(counted[:size], 1.0)
+    means = counted[size:] / n
+    residual = summed(rows, correlations(means), size * num_features).reshape(size, -1) / n[:, None]
+    weights, direction = np.zeros((size, num_features)), residual.copy()
+    length, passes = (residual**2).sum(1), 2
+    open_ = np.flatnonzero(np.abs(residual).max(1) > SLOPE)
+    while len(open_):
+        if passes >= max_passes:
+            raise RuntimeError(f"{len(open_)} of {size} targets have not settled after {passes} passes")
+        p = direction[open_]
+        image = summed(rows, products(p, open_), len(open_) * num_features).reshape(len(open_), -1) / n[open_, None] + reg * p
+        passes += 1
+        step = length[open_] / (p * image).sum(1)
+        weights[open_] += step[:, None] * p
+        residual[open_] -= step[:, None] * image
+        grown = (residual[open_] ** 2).sum(1)
+        direction[open_] = residual[open_] + (grown / length[open_])[:, None] * p
+        length[open_] = grown
+        open_ = open_[np.abs(residual[open_]).max(1) > SLOPE]
     return RatingRegressor(tuple(targets), means, weights, reg, with_prompt, passes)
 
 
 def regression_slopes(
     model: RatingRegressor, samples: DataFrame, key: str, text: str = "response", prompt: str = "context"
 ) -> DataFrame:
-    """``target, slope, n``: the largest slope of each target's objective over ``samples``, by aggregates apart from the solver."""
+    """``target, slope, n``: the largest slope of each target's objective over ``samples``, by aggregates apart from the solver.
+
+    The weights, whose size is that of the model, go to the rows, and rows move whole to their errors: no entry is shuffled by itself.
+    """
     spark, size = samples.sparkSession, len(model.targets)
     rated = F.array(*[F.col(f"`{t}`").cast("double") for t in model.targets]).alias("y")
-    rows = settle(
-        hashed_rows(samples, [(text, 1.0)], prompt if model.with_prompt else None, model.weights.shape[1], [key, rated]), "slope_rows"
-    )
+    hashed = hashed_rows(samples, [(text, 1.0)], prompt if model.with_prompt else None, model.weights.shape[1], [key, rated])
+    with bounded_batches(spark):
+        rows = settle(hashed, "slope_rows")
     weights = settle(model.weight_table(spark), "slope_weights")
-    entries = rows.select(key, F.inline(F.arrays_zip("index", "value"))).withColumnRenamed("index", "bucket")
+    entry = F.inline(F.arrays_zip(F.col("index").alias("bucket"), "value"))
     at = range(size)
     sums = [F.sum(F.get("weights", F.lit(t)) * F.col("value")).alias(f"f{t}") for t in at]
-    fitted = entries.join(weights, "bucket").groupBy(key).agg(*sums)
+    fitted = rows.select(key, entry).join(F.broadcast(weights), "bucket").groupBy(key).agg(*sums)
     errors = rows.select(key, "y").join(fitted, key, "left").select(
         key, *[(F.coalesce(f"f{t}", F.lit(0.0)) + F.lit(float(model.means[t])) - F.get("y", F.lit(t))).alias(f"e{t}") for t in at]
     )
     errors = settle(errors, "slope_errors")
     n = errors.agg(*[F.count(f"e{t}").alias(f"n{t}") for t in at]).first()
-    slopes = entries.join(errors, key).groupBy("bucket").agg(*[F.sum(F.col(f"e{t}") * F.col("value")).alias(f"g{t}") for t in at])
+    missed = rows.select(key, "index", "value").join(errors, key).select(*[f"e{t}" for t in at], entry)
+    slopes = missed.groupBy("bucket").agg(*[F.sum(F.col(f"e{t}") * F.col("value")).alias(f"g{t}") for t in at])
     left = [
         F.max(F.abs(F.coalesce(f"g{t}", F.lit(0.0)) / max(n[t], 1) + model.reg * F.coalesce(F.get("weights", F.lit(t)), F.lit(0.0))))
         for t in at

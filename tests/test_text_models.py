@@ -168,3 +168,55 @@ def test_passes_of_the_regression_hold_bounded_parts(spark, largest):
     df = spark.createDataFrame(rows, "id int, context string, response string, a double, b double")
     assert np.isfinite(regressor.fit_ratings(df, ("a", "b"), num_features=64, max_passes=100).weights).all()
     assert 0 < largest["vectors"] <= 400 and 0 < largest["block"] <= 400
+
+
+def rated(spark, n=300):
+    rows = [(i, f"p{i % 3}", " ".join(f"w{(i * j) % 50}" for j in range(20)), float(i % 7), None if i % 3 else float(i % 5)) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, context string, response string, a double, b double").repartition(1)
+
+
+def test_passes_get_batches_of_bounded_bytes_and_the_setting_of_the_session_comes_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hashed_text, "BATCH_BYTES", 1 << 14, raising=False)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    rows = hashed_text.hashed_rows(rated(spark), [("response", 1.0)], "context", 64, ["a"])
+    rows.write.parquet(path := str(tmp_path / "rows"))
+    parts, seen, large = hashed_text.summed(
+        spark.read.parquet(path), lambda _, batch: np.array([1.0, batch.num_rows, batch.nbytes > 3 << 14]), 3
+    )
+    assert seen == 300 and parts >= 5 and large == 0
+    assert spark.conf.get(setting) == before and spark.conf.get(setting, None) is None
+    try:
+        spark.conf.set(setting, 1 << 30)
+        assert hashed_text.summed(spark.read.parquet(path), lambda _, batch: np.ones(1), 1) == 1
+        assert spark.conf.get(setting) == str(1 << 30)
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_passes_of_the_regression_read_the_written_rows_and_keep_no_copy_in_memory(spark, monkeypatch):
+    kept, summed = [], regressor.summed
+
+    def noted(rows, part, size):
+        kept.append(rows.storageLevel.useMemory or rows.storageLevel.useDisk)
+        return summed(rows, part, size)
+
+    monkeypatch.setattr(regressor, "summed", noted)
+    model = regressor.fit_ratings(rated(spark), ("a", "b"), num_features=64, max_passes=100)
+    assert len(kept) == model.passes and not any(kept)
+
+
+def test_slopes_move_rows_instead_of_their_entries(spark):
+    df = rated(spark)
+    model = regressor.fit_ratings(df, ("a", "b"), num_features=64, max_passes=100)
+    moved = regressor.RatingRegressor(model.targets, model.means, model.weights * 1.2, model.reg, True, model.passes)
+    found = regressor.regression_slopes(moved, df, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate") < plan.index("Join Inner")
+    x, stored = matrix(df, [("response", 1.0)], "context", 64, ("a", "b"))
+    slopes = {r.target: r for r in found.collect()}
+    for t, name in enumerate(model.targets):
+        known = np.array([r[name] is not None for r in stored])
+        y = np.array([r[name] or 0.0 for r in stored])[known]
+        slope = x[known].T @ (x[known] @ moved.weights[t] + moved.means[t] - y) / known.sum() + moved.reg * moved.weights[t]
+        assert slopes[name].n == known.sum() and slopes[name].slope == pytest.approx(np.abs(slope).max(), rel=1e-9) and slopes[name].slope > 1e-4
